@@ -9,7 +9,7 @@ from ..sources.evidence import EVIDENCE, evidence_problems
 
 # Parts every pack must hold, and keys its header must have.
 REQUIRED_PARTS = ("datapackage.json", "evidence.jsonl", "manifest-sha256.txt")
-HEADER_KEYS = ("bkpack_version", "producer", "product_count")
+HEADER_KEYS = ("version", "producer", "product_count")
 PACK_VERSION = "1.0"
 POLICY = "no-evidence-no-value"
 
@@ -37,7 +37,7 @@ def manifest(parts: DataFrame) -> DataFrame:
 
 
 def _evidence_errors(parts: DataFrame) -> DataFrame:
-    """Problems of each evidence line; a part may be split over rows by ``line``, else lines are cut here."""
+    """Problems of each evidence line, numbered as in the part."""
     lines = parts.filter(F.col("path") == "evidence.jsonl").select(
         "pack", F.posexplode(F.filter(F.split(F.col("content").cast("string"), r"\r?\n"), lambda x: F.trim(x) != "")).alias("n", "line")
     )
@@ -53,7 +53,7 @@ def _evidence_errors(parts: DataFrame) -> DataFrame:
     return bad.unionByName(rule)
 
 
-def audit_packs(parts: DataFrame, listed: DataFrame) -> DataFrame:
+def audit_packs(parts: DataFrame, listed: DataFrame, header_keys: tuple[str, ...] = HEADER_KEYS) -> DataFrame:
     """Every error of every pack as (pack, error); a pack without rows here is sound.
 
     ``parts`` has (pack, path, content); ``listed`` is each pack's own manifest as (pack, path, sha256).  A pack
@@ -78,7 +78,7 @@ def audit_packs(parts: DataFrame, listed: DataFrame) -> DataFrame:
             F.when(
                 F.try_variant_get("h", f"$.{k}", "variant").isNull(),
                 F.lit(f"datapackage.json missing required key: '{k}'"),
-            ) for k in HEADER_KEYS
+            ) for k in header_keys
         ]))).alias("error"),
     )
     stored = readable.select("pack", "path", F.sha2("content", 256).alias("actual"))

@@ -62,8 +62,8 @@ def nearest_knowledge(paths: DataFrame, knowledge: DataFrame) -> DataFrame:
     return (
         above.unionByName(below)
         .groupBy("path")
-        .agg(F.max(F.struct(F.size("stored_path").alias("n"), (-F.col("stored_ord")).alias("o"))).alias("best"))
-        .select("path", (-F.col("best.o")).alias("stored_ord"))
+        .agg(F.min(F.struct((-F.size("stored_path")).alias("n"), "stored_ord")).alias("best"))
+        .select("path", "best.stored_ord")
     )
 
 

@@ -79,7 +79,7 @@ def cell_values(population: DataFrame, fields: DataFrame) -> DataFrame:
 
 def fill_stats(cells: DataFrame) -> DataFrame:
     """Per template column: rows per bucket and the share that was written."""
-    counted = cells.groupBy("template_id", "name").pivot("bucket", list(BUCKETS)).agg(F.count("*")).na.fill(0)
+    counted = cells.groupBy("template_id", "name").pivot("bucket", list(BUCKETS)).agg(F.count(F.lit(1))).na.fill(0)
     total = sum((F.col(b) for b in BUCKETS[1:]), F.col(BUCKETS[0]))
     return counted.withColumn("fill_rate", F.col("written") / total)
 
@@ -125,7 +125,8 @@ def sheet_cells(cells: DataFrame, parts: DataFrame) -> DataFrame:
 
 def write_sheets(cells: DataFrame, path: str) -> None:
     """One folder per category and part, long-form cells inside."""
-    cells.write.mode("overwrite").partitionBy("category_slug", "part").parquet(path)
+    placed = cells.repartition("category_slug", "part")
+    placed.write.mode("overwrite").partitionBy("category_slug", "part").parquet(path)
 
 
 def verify_sheet(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def read_knowledge(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         F.coalesce("review_status", F.lit("pending_review")).alias("review_status"),
         F.coalesce("industry_references", F.array().cast(
             "array<struct<name:string,description:string,source_url:string>>")).alias("industry_references"),
-    ).withColumn("ord", F.xxhash64("path_text"))
+    ).withColumn("ord", F.col("path_text"))
     ranges = knowledge.select("ord", F.explode("plausible_ranges").alias("field", "r")).select(
         "ord", "field", "r.min", "r.max", "r.unit", "r.source_url"
     )

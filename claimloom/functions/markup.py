@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import strip
 
 _REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
@@ -25,16 +26,22 @@ def unescape(c: Column) -> Column:
     """Character references replaced in one pass, so ``&amp;lt;`` becomes ``&lt;`` and no further."""
     names = "\x02".join(f"{name}\x01{chr(code)}" for name, code in name2codepoint.items())
     table = F.str_to_map(F.lit(f"apos\x01'\x02{names}"), F.lit("\x02"), F.lit("\x01"))
-    plain = F.split(c, _REFERENCE, -1)
-    found = F.regexp_extract_all(c, F.lit(_REFERENCE))
 
-    def piece(reference: Column, i: Column) -> Column:
+    def piece(reference: Column, follow: Column) -> Column:
         named = F.coalesce(F.try_element_at(table, reference), F.concat(F.lit("&"), reference, F.lit(";")))
         char = F.when(F.startswith(reference, F.lit("#")), _code_point(reference)).otherwise(named)
-        return F.concat(char, F.get(plain, i + 1))
+        return F.concat(char, follow)
 
-    decoded = F.concat(F.get(plain, F.lit(0)), F.array_join(F.transform(found, piece), ""))
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    def decoded(v: Column) -> Column:
+        found = F.regexp_extract_all(v, F.lit(_REFERENCE))
+        return let(
+            F.split(v, _REFERENCE, -1),
+            lambda plain: F.concat(
+                F.get(plain, F.lit(0)), F.array_join(F.transform(found, lambda r, i: piece(r, F.get(plain, i + 1))), "")
+            ),
+        )
+
+    return let(c, lambda v: F.when(F.contains(v, F.lit("&")), decoded(v)).otherwise(v))
 
 
 def without_comments(html: Column) -> Column:
@@ -63,10 +70,14 @@ def inner_text(markup: Column, separator: str = " ") -> Column:
     return F.array_join(F.filter(runs, lambda t: t != ""), separator)
 
 
+def after_first(parts: Column) -> Column:
+    """A split without what stood before its first mark."""
+    return F.slice(parts, F.lit(2), F.lit(1 << 30))
+
+
 def blocks(html: Column, name: str, ends: str) -> Column:
     """Content of each element called ``name``, cut at its end tag, at another end in ``ends``, or at the next start."""
-    starts = F.split(html, rf"(?i)<(?:{name})(?=[\s>/])", -1)
-    inside = F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0)))
+    inside = after_first(F.split(html, rf"(?i)<(?:{name})(?=[\s>/])", -1))
     return F.transform(inside, lambda b: F.regexp_extract(b, rf"(?is)^[^>]*>(.*?)(?:</(?:{ends})\b|\z)", 1))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import WHITE_SPACE, WS, strip
 
 CANONICAL_UNIT = "mm"
@@ -85,8 +86,7 @@ def normalize_value(c: Column) -> Column:
     groups = F.split(F.regexp_replace(raw, _MEASURE, f"{_MARK}$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK)
     return F.when(raw == "", _spec("text", raw, None, LOW)).when(
         raw.rlike("^[+-]?[0-9]"),
-        # The groups are bound once by the lambda and reused by every branch.
-        F.transform(F.array(groups), lambda g: _read_measure(raw, g))[0],
+        let(groups, lambda g: _read_measure(raw, g)),
     ).when(raw.isNotNull(), _spec("text", raw, None, HIGH))
 
 
@@ -95,15 +95,18 @@ def _read_measure(raw: Column, g: Column) -> Column:
     many = F.get(g, F.lit(2)) != ""
     signed = F.substring(F.get(g, F.lit(1)), 1, 1).isin("+", "-")
     numbers = F.transform(F.filter(F.slice(g, 2, 3), lambda p: p != ""), parse_number)
-    factor = mm_factor(F.get(g, F.lit(4)))
-    clear = factor.isNotNull() & F.forall(numbers, lambda n: n["v"].isNotNull() & ~n["ambiguous"])
-    mm = F.transform(numbers, lambda n: _round4(n["v"] * factor))
-    return (
-        F.when(~matched | (many & signed), _spec("text", raw, None, HIGH))
-        .when(~clear, _spec("text", raw, None, LOW))
-        .when(many, _spec("dims", raw, mm, HIGH))
-        .otherwise(_spec("scalar", raw, mm, HIGH))
-    )
+
+    def measured(m: Column) -> Column:
+        clear = m["factor"].isNotNull() & F.forall(m["numbers"], lambda n: n["v"].isNotNull() & ~n["ambiguous"])
+        mm = F.transform(m["numbers"], lambda n: _round4(n["v"] * m["factor"]))
+        return (
+            F.when(~clear, _spec("text", raw, None, LOW))
+            .when(many, _spec("dims", raw, mm, HIGH))
+            .otherwise(_spec("scalar", raw, mm, HIGH))
+        )
+
+    parsed = F.struct(numbers.alias("numbers"), mm_factor(F.get(g, F.lit(4))).alias("factor"))
+    return F.when(~matched | (many & signed), _spec("text", raw, None, HIGH)).otherwise(let(parsed, measured))
 
 
 def decimal_text(c: Column, keep_point: bool = False) -> Column:
@@ -135,7 +138,7 @@ def option_list(c: Column) -> Column:
         return F.when((F.size(g) == 3) & clear, texts)
 
     candidate = F.contains(raw, F.lit("/")) & raw.rlike("^[0-9]")
-    return F.when(candidate, F.transform(F.array(groups), read)[0])
+    return F.when(candidate, let(groups, read))
 
 
 def from_mm(mm: Column, unit: Column) -> Column:
@@ -158,8 +161,7 @@ def single_axis_length(c: Column) -> Column:
 
 def size_mm(c: Column) -> Column:
     """The size in mm when the text is one number with a unit, else null."""
-    spec = normalize_value(c)
-    return F.when(spec["kind"] == "scalar", spec["nums"][0])
+    return let(normalize_value(c), lambda spec: F.when(spec["kind"] == "scalar", spec["nums"][0]))
 
 
 def confirmed_numeric(c: Column) -> Column:

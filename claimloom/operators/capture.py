@@ -108,12 +108,15 @@ def capture_plan(candidates: DataFrame, pages: DataFrame, limit: int = DEFAULT_L
     has at most a few hundred candidates (see :func:`job_candidates`), which bounds the running window.
     """
     probe = candidates.join(pages, "url", "left")
+    said = lambda status, reason: F.struct(
+        F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason")
+    )
     status = (
-        F.when(~F.col("allowed"), F.struct(F.lit("blocked").alias("status"), F.lit("disallowed by robots.txt").alias("reason")))
-        .when(~F.coalesce("fetched", F.lit(False)), F.struct(F.lit("skipped"), F.lit("page could not be fetched")))
-        .when(~F.coalesce("has_fields", F.lit(False)), F.struct(F.lit("skipped"), F.lit("no usable evidence on page")))
-        .when(F.coalesce("n_rows", F.lit(0)) == 0, F.struct(F.lit("skipped"), F.lit("no evidence rows assembled")))
-        .otherwise(F.struct(F.lit("captured"), F.lit(None).cast("string")))
+        F.when(~F.col("allowed"), said("blocked", "disallowed by robots.txt"))
+        .when(~F.coalesce("fetched", F.lit(False)), said("skipped", "page could not be fetched"))
+        .when(~F.coalesce("has_fields", F.lit(False)), said("skipped", "no usable evidence on page"))
+        .when(F.coalesce("n_rows", F.lit(0)) == 0, said("skipped", "no evidence rows assembled"))
+        .otherwise(said("captured", None))
     )
     before = Window.partitionBy("job").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum((F.col("s.status") == "captured").cast("int")).over(before), F.lit(0))

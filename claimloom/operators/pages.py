@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as m
 from ..functions import urls
+from ..functions.binding import let
 from ..functions.text import blank_to_null, strip
 from .image_walk import walk_images
 
@@ -54,23 +55,29 @@ def _first(v: Column, key: str) -> Column:
 
 
 def product_image(v: Column) -> Column:
-    image = _first(v, "image")
-    url, content = _get(image, "$.url", "variant"), _get(image, "$.contentUrl", "variant")
-    chosen = F.when(F.coalesce(url.cast("string"), F.lit("")) != "", url).otherwise(content)
-    nested = F.when(_is_text(chosen), F.nullif(chosen.cast("string"), F.lit("")))
-    return F.when(_is_text(image), blank_to_null(image.cast("string"))).otherwise(nested)
+    def read(image: Column) -> Column:
+        url, content = _get(image, "$.url", "variant"), _get(image, "$.contentUrl", "variant")
+        chosen = F.when(F.coalesce(url.cast("string"), F.lit("")) != "", url).otherwise(content)
+        nested = F.when(_is_text(chosen), F.nullif(chosen.cast("string"), F.lit("")))
+        return F.when(_is_text(image), blank_to_null(image.cast("string"))).otherwise(nested)
+
+    return let(_first(v, "image"), read)
 
 
 def product_brand(v: Column) -> Column:
-    brand = _first(v, "brand")
-    return F.when(_is_text(brand), blank_to_null(brand.cast("string"))).otherwise(_string(brand, "$.name"))
+    return let(
+        _first(v, "brand"),
+        lambda b: F.when(_is_text(b), blank_to_null(b.cast("string"))).otherwise(_string(b, "$.name")),
+    )
 
 
 def product_price(v: Column) -> Column:
-    offer = _first(v, "offers")
-    direct = _get(offer, "$.price", "variant")
-    missing = direct.isNull() | (F.schema_of_variant(direct) == "VOID")
-    return F.when(missing, _scalar(offer, "$.priceSpecification.price")).otherwise(_scalar(offer, "$.price"))
+    def read(offer: Column) -> Column:
+        direct = _get(offer, "$.price", "variant")
+        missing = direct.isNull() | (F.schema_of_variant(direct) == "VOID")
+        return F.when(missing, _scalar(offer, "$.priceSpecification.price")).otherwise(_scalar(offer, "$.price"))
+
+    return let(_first(v, "offers"), read)
 
 
 def _is_product(v: Column) -> Column:
@@ -128,30 +135,39 @@ def jsonld_products(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFr
 # ---------------------------------------------------------------- page metadata
 
 def _metadata(html: Column, url: Column) -> Column:
-    source = m.visible(html)
-    found = F.transform(
-        m.tags(source, "meta"),
-        lambda tag: F.struct(
-            m.attribute(tag, "property").alias("property"), m.attribute(tag, "name").alias("name"),
-            m.attribute(tag, "content").alias("content"),
-        ),
-    )
+    def read(b: Column) -> Column:
+        found = b["tags"]
 
-    def content(attr: str, key: str) -> Column:
-        return blank_to_null(F.get(F.filter(found, lambda tag: tag[attr] == key), F.lit(0))["content"])
+        def content(attr: str, key: str) -> Column:
+            return blank_to_null(F.get(F.filter(found, lambda tag: tag[attr] == key), F.lit(0))["content"])
 
-    def image(value: Column) -> Column:
-        return F.when(value.isNotNull(), urls.absolute_url(url, value))
+        def image(attr: str, key: str) -> Column:
+            return let(content(attr, key), lambda v: F.when(v.isNotNull(), urls.resolve(b["base"], v)))
 
-    return F.struct(
-        content("property", "og:title").alias("og:title"),
-        content("property", "og:description").alias("og:description"),
-        image(content("property", "og:image")).alias("og:image"),
-        image(content("name", "twitter:image")).alias("twitter:image"),
-        content("name", "description").alias("meta_description"),
-        m.first_text(source, "title").alias("title"),
-        m.first_text(source, "h1").alias("h1"),
+        return F.struct(
+            content("property", "og:title").alias("og:title"),
+            content("property", "og:description").alias("og:description"),
+            image("property", "og:image").alias("og:image"),
+            image("name", "twitter:image").alias("twitter:image"),
+            content("name", "description").alias("meta_description"),
+            m.first_text(b["source"], "title").alias("title"),
+            m.first_text(b["source"], "h1").alias("h1"),
+        )
+
+    def tag_parts(tag: Column) -> Column:
+        return F.struct(
+            m.attribute(tag, "property").alias("property"), m.attribute(tag, "name").alias("name"),
+            m.attribute(tag, "content").alias("content"),
+        )
+
+    parts = let(
+        m.visible(html),
+        lambda source: F.struct(
+            source.alias("source"), F.transform(m.tags(source, "meta"), tag_parts).alias("tags"),
+            urls.url_base(url).alias("base"),
+        ),
     )
+    return let(parts, read)
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -186,41 +202,43 @@ def metadata_fields(meta: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- specification pairs
 
 def _spec_pairs(html: Column) -> Column:
-    source = m.visible(html)
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
 
     def row(body: Column) -> Column:
-        cells = m.blocks(body, "t[hd]", "t[hd]|tr")
-        return F.when(F.size(cells) == 2, pair(m.inner_text(cells[0]), m.inner_text(cells[1])))
+        return let(
+            m.blocks(body, "t[hd]", "t[hd]|tr"),
+            lambda cells: F.when(F.size(cells) == 2, pair(m.inner_text(cells[0]), m.inner_text(cells[1]))),
+        )
 
-    rows = F.transform(m.blocks(source, "tr", "tr|table"), row)
+    def item(s: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(s, r"(?i)^<(d[td])[\s>/]", 1)).alias("tag"),
+            m.inner_text(F.regexp_extract(s, r"(?is)^[^>]*>(.*?)(?:</d[tdl]\b|\z)", 1)).alias("text"),
+        )
 
     def definitions(body: Column) -> Column:
-        starts = F.split(body, r"(?i)(?=<d[td][\s>/])", -1)
-        items = F.filter(
-            F.transform(
-                starts,
-                lambda s: F.struct(
-                    F.lower(F.regexp_extract(s, r"(?i)^<(d[td])[\s>/]", 1)).alias("tag"),
-                    m.inner_text(F.regexp_extract(s, r"(?is)^[^>]*>(.*?)(?:</d[tdl]\b|\z)", 1)).alias("text"),
-                ),
-            ),
-            lambda x: x["tag"] != "",
-        )
+        items = F.filter(F.transform(F.split(body, r"(?i)(?=<d[td][\s>/])", -1), item), lambda x: x["tag"] != "")
 
-        def value(x: Column, i: Column) -> Column:
-            terms = F.filter(F.slice(items, F.lit(1), i), lambda y: y["tag"] == "dt")
-            return F.when(x["tag"] == "dd", pair(F.try_element_at(terms, F.lit(-1))["text"], x["text"]))
+        def values(known: Column) -> Column:
+            def value(x: Column, i: Column) -> Column:
+                terms = F.filter(F.slice(known, F.lit(1), i), lambda y: y["tag"] == "dt")
+                return F.when(x["tag"] == "dd", pair(F.try_element_at(terms, F.lit(-1))["text"], x["text"]))
 
-        return F.transform(items, value)
+            return F.transform(known, value)
 
-    tables = F.when(F.contains(F.lower(source), F.lit("<table")), rows)
-    lists = F.when(
-        F.contains(F.lower(source), F.lit("<dl")), F.flatten(F.transform(m.blocks(source, "dl", "dl"), definitions))
-    )
-    none = F.array().cast("array<struct<key:string,value:string>>")
-    both = F.concat(F.coalesce(tables, none), F.coalesce(lists, none))
-    return F.filter(both, lambda p: (p["key"] != "") & (p["value"] != ""))
+        return let(items, values)
+
+    def read(source: Column) -> Column:
+        tables = F.when(source.rlike("(?i)<table[\\s>]"), F.transform(m.blocks(source, "tr", "tr|table"), row))
+        lists = F.when(
+            source.rlike("(?i)<dl[\\s>]"), F.flatten(F.transform(m.blocks(source, "dl", "dl"), definitions))
+        )
+        both = F.concat(F.coalesce(tables, none), F.coalesce(lists, none))
+        return F.filter(both, lambda p: (p["key"] != "") & (p["value"] != ""))
+
+    # Pages without a table or a list are passed over before any markup is taken apart.
+    return F.when(html.rlike("(?i)<(?:table|dl)[\\s>]"), let(m.visible(html), read)).otherwise(none)
 
 
 def spec_pairs(pages: DataFrame) -> DataFrame:
@@ -234,11 +252,16 @@ def spec_pairs(pages: DataFrame) -> DataFrame:
 
 def _links(html: Column, url: Column) -> Column:
     hrefs = F.transform(m.tags(m.visible(html), "a"), lambda tag: m.attribute(tag, "href"))
-    page_host, self_url = urls.host(url), urls.without_fragment(url)
-    targets = F.transform(
-        F.filter(hrefs, lambda h: ~urls.skipped_link(h)), lambda h: urls.without_fragment(urls.absolute_url(url, h))
-    )
-    return F.array_distinct(F.filter(targets, lambda u: (urls.host(u) == page_host) & (u != self_url)))
+
+    def targets(base: Column) -> Column:
+        seen = F.transform(
+            F.filter(hrefs, lambda h: ~urls.skipped_link(h)), lambda h: urls.without_fragment(urls.resolve(base, h))
+        )
+        return F.array_distinct(
+            F.filter(seen, lambda u: (urls.host(u) == base["host"]) & (u != base["page"]))
+        )
+
+    return let(urls.url_base(url), targets)
 
 
 def same_host_links(pages: DataFrame) -> DataFrame:
@@ -249,34 +272,34 @@ def same_host_links(pages: DataFrame) -> DataFrame:
 
 
 def _media(html: Column, url: Column) -> Column:
-    source = m.visible(html)
-    ref = lambda u, kind: F.struct(u.alias("url"), F.lit(kind).alias("media_type"))
-    starts = F.split(source, r"(?i)<video(?=[\s>/])", -1)
-    videos = F.flatten(
-        F.transform(
-            F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))),
-            lambda b: F.transform(
-                F.concat(
-                    F.array(F.concat(F.lit("<video"), F.regexp_extract(b, "(?s)^([^>]*>)", 1))),
-                    m.tags(F.regexp_extract(b, r"(?is)^(.*?)(?:</video\b|\z)", 1), "source"),
-                ),
-                lambda tag: m.attribute(tag, "src"),
-            ),
-        )
-    )
-    stills = F.transform(
-        m.tags(source, "img|a|source"),
-        lambda tag: F.coalesce(*[F.nullif(m.attribute(tag, a), F.lit("")) for a in ("src", "href", "data-src")]),
-    )
-    gifs = F.filter(stills, lambda u: u.rlike(r"(?is)\.gif(?:[?#].*)?$"))
-    present = lambda u: F.coalesce(u, F.lit("")) != ""
     none = F.array().cast("array<struct<url:string,media_type:string>>")
-    found = F.concat(
-        F.coalesce(F.transform(F.filter(videos, present), lambda u: ref(urls.absolute_url(url, u), "video")), none),
-        F.transform(gifs, lambda u: ref(urls.absolute_url(url, u), "gif")),
-    )
-    all_urls = F.transform(found, lambda r: r["url"])
-    return F.filter(found, lambda r, i: F.array_position(all_urls, r["url"]) == i + 1)
+    present = lambda u: F.coalesce(u, F.lit("")) != ""
+
+    def video_sources(block: Column) -> Column:
+        own = F.concat(F.lit("<video"), F.regexp_extract(block, "(?s)^([^>]*>)", 1))
+        nested = m.tags(F.regexp_extract(block, r"(?is)^(.*?)(?:</video\b|\z)", 1), "source")
+        return F.transform(F.concat(F.array(own), nested), lambda tag: m.attribute(tag, "src"))
+
+    def still(tag: Column) -> Column:
+        return F.coalesce(*[F.nullif(m.attribute(tag, a), F.lit("")) for a in ("src", "href", "data-src")])
+
+    def read(b: Column) -> Column:
+        ref = lambda u, kind: F.struct(urls.resolve(b["base"], u).alias("url"), F.lit(kind).alias("media_type"))
+        blocks = m.after_first(F.split(b["source"], r"(?i)<video(?=[\s>/])", -1))
+        videos = F.filter(F.flatten(F.transform(blocks, video_sources)), present)
+        gif_tags = F.filter(m.tags(b["source"], "img|a|source"), lambda tag: F.contains(F.lower(tag), F.lit(".gif")))
+        gifs = F.filter(F.transform(gif_tags, still), lambda u: u.rlike(r"(?is)\.gif(?:[?#].*)?$"))
+        found = F.concat(F.transform(videos, lambda u: ref(u, "video")), F.transform(gifs, lambda u: ref(u, "gif")))
+        return let(found, once)
+
+    def once(found: Column) -> Column:
+        return let(
+            F.transform(found, lambda r: r["url"]),
+            lambda seen: F.filter(found, lambda r, i: F.array_position(seen, r["url"]) == i + 1),
+        )
+
+    parts = F.struct(m.visible(html).alias("source"), urls.url_base(url).alias("base"))
+    return F.when(html.rlike(r"(?i)<video|\.gif"), let(parts, read)).otherwise(none)
 
 
 def media_refs(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.binding import let
 from ..functions.measures import confirmed_numeric, option_list, single_axis_length
 from .match import TemplateIndex, padded
 
@@ -15,7 +16,10 @@ EXACT, CASE_INSENSITIVE, NORMALIZED, WHOLE_WORD = 1.0, 0.95, 0.85, 0.7
 def whole_word_terms(value: Column, vocabulary: Column, vocabulary_padded: Column | None = None) -> Column:
     """Vocabulary terms found in the value as whole words, in vocabulary order, each once."""
     terms = F.transform(vocabulary, padded) if vocabulary_padded is None else vocabulary_padded
-    needle = padded(value)
+    return let(terms, lambda known: let(padded(value), lambda needle: _words_in(needle, vocabulary, known)))
+
+
+def _words_in(needle: Column, vocabulary: Column, terms: Column) -> Column:
     hit = lambda term, i: (F.get(terms, i) != "  ") & F.contains(needle, F.get(terms, i))
     return F.array_distinct(F.filter(vocabulary, hit))
 
@@ -28,39 +32,49 @@ def match_vocabulary(
     Two or more hits at a level are an ambiguity and end the search; ``terms`` then lists the whole-word hits.
     """
     lowered = F.transform(vocabulary, F.lower) if lowered is None else lowered
-    terms_padded = F.transform(vocabulary, padded) if vocabulary_padded is None else vocabulary_padded
-    raw, raw_lower, raw_padded = value, F.lower(value), padded(value)
-
-    def hits(haystack: Column, needle: Column) -> Column:
-        return F.size(haystack) - F.size(F.array_remove(haystack, needle))
+    terms = F.transform(vocabulary, padded) if vocabulary_padded is None else vocabulary_padded
+    none = F.array().cast("array<string>")
 
-    def level(term: Column, method: str, confidence: float, terms: Column) -> Column:
+    def level(term: Column, method: str, confidence: float, words: Column = none) -> Column:
         return F.struct(
             term.cast("string").alias("term"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
-            terms.alias("terms"),
+            words.alias("terms"),
         )
 
-    none = F.array().cast("array<string>")
-    words = whole_word_terms(value, vocabulary, terms_padded)
-    n_exact, n_lower = hits(vocabulary, raw), hits(lowered, raw_lower)
-    n_norm = F.when(raw_padded == "  ", 0).otherwise(hits(terms_padded, raw_padded))
+    def hits(haystack: Column, needle: Column) -> Column:
+        return F.size(haystack) - F.size(F.array_remove(haystack, needle))
 
     def at(haystack: Column, needle: Column) -> Column:
         return F.get(vocabulary, (F.array_position(haystack, needle) - 1).cast("int"))
 
-    nothing = level(F.lit(None), "no_match", 0.0, none)
-    return (
-        F.when(t.is_blank(raw) | (F.coalesce(F.size(vocabulary), F.lit(0)) <= 0), nothing)
-        .when(n_exact == 1, level(raw, "exact", EXACT, none))
-        .when(n_exact > 1, level(F.lit(None), "exact_ambiguous", 0.0, words))
-        .when(n_lower == 1, level(at(lowered, raw_lower), "case_insensitive", CASE_INSENSITIVE, none))
-        .when(n_lower > 1, level(F.lit(None), "case_insensitive_ambiguous", 0.0, words))
-        .when(n_norm == 1, level(at(terms_padded, raw_padded), "normalized", NORMALIZED, none))
-        .when(n_norm > 1, level(F.lit(None), "normalized_ambiguous", 0.0, words))
-        .when(F.size(words) == 1, level(words[0], "whole_word_containment", WHOLE_WORD, none))
-        .when(F.size(words) > 1, level(F.lit(None), "whole_word_containment_ambiguous", 0.0, words))
-        .otherwise(nothing)
+    def ladder(b: Column) -> Column:
+        words = _words_in(b["padded"], vocabulary, terms)
+        contained = let(
+            words,
+            lambda w: F.when(F.size(w) == 1, level(w[0], "whole_word_containment", WHOLE_WORD))
+            .when(F.size(w) > 1, level(F.lit(None), "whole_word_containment_ambiguous", 0.0, w))
+            .otherwise(level(F.lit(None), "no_match", 0.0)),
+        )
+        unclear = lambda method: level(F.lit(None), f"{method}_ambiguous", 0.0, words)
+        return (
+            F.when(b["exact"] == 1, level(value, "exact", EXACT))
+            .when(b["exact"] > 1, unclear("exact"))
+            .when(b["lower"] == 1, level(at(lowered, F.lower(value)), "case_insensitive", CASE_INSENSITIVE))
+            .when(b["lower"] > 1, unclear("case_insensitive"))
+            .when(b["norm"] == 1, level(at(terms, b["padded"]), "normalized", NORMALIZED))
+            .when(b["norm"] > 1, unclear("normalized"))
+            .otherwise(contained)
+        )
+
+    counted = let(
+        padded(value),
+        lambda p: F.struct(
+            p.alias("padded"), hits(vocabulary, value).alias("exact"), hits(lowered, F.lower(value)).alias("lower"),
+            F.when(p == "  ", 0).otherwise(hits(terms, p)).alias("norm"),
+        ),
     )
+    empty = t.is_blank(value) | (F.coalesce(F.size(vocabulary), F.lit(0)) <= 0)
+    return F.when(empty, level(F.lit(None), "no_match", 0.0)).otherwise(let(counted, ladder))
 
 
 def field_values(evidence: DataFrame, matched: DataFrame, index: TemplateIndex) -> DataFrame:
@@ -101,12 +115,12 @@ def _routed(evidence: DataFrame, matched: DataFrame, index: TemplateIndex) -> Da
 
 def numeric_status(value: Column) -> Column:
     """One confirmed measurement fills the field; an option list is a variant; anything else needs a person."""
-    options = option_list(value)
-    return (
-        F.when(confirmed_numeric(value), _status("populated", value, None, None))
-        .when(options.isNotNull(), _status("variant_candidate", None, "multi_option_numeric", options))
-        .otherwise(_status("needs_input", None, "not_one_confirmed_number", None))
+    several = let(
+        option_list(value),
+        lambda options: F.when(options.isNotNull(), _status("variant_candidate", None, "multi_option_numeric", options))
+        .otherwise(_status("needs_input", None, "not_one_confirmed_number", None)),
     )
+    return F.when(confirmed_numeric(value), _status("populated", value, None, None)).otherwise(several)
 
 
 def dropdown_status(m: Column) -> Column:

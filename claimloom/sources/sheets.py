@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.binding import let
+from ..session import cut_lineage
 
 HEADER_SCAN = 6
 # Sheets every template needs, and the headings that end a block of instructions.
@@ -91,8 +93,8 @@ def header_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def field_types(cells: DataFrame, validations: DataFrame, headers: DataFrame) -> DataFrame:
-    """(template_id, col, type, locked, is_formula, formula1) from the row below the header and the validations."""
+def _columns(cells: DataFrame, validations: DataFrame, headers: DataFrame) -> DataFrame:
+    """Header cells with the type, lock and formula flags of their column and its validation."""
     body = cells.filter("sheet = 'Template'").join(headers, "template_id").filter("row = header_row + 1").select(
         "template_id", "col", "number_format", "locked", "is_formula"
     )
@@ -100,40 +102,59 @@ def field_types(cells: DataFrame, validations: DataFrame, headers: DataFrame) ->
         F.when(F.col("formula1").isNotNull(), "dropdown")
         .when(is_numeric_format(F.col("number_format")), "numeric").otherwise("string")
     )
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     return (
-        header_cells(cells, headers).select("template_id", "col")
+        header_cells(cells, headers)
         .join(body, ["template_id", "col"], "left")
         .join(validation_columns(validations), ["template_id", "col"], "left")
         .select(
-            "template_id", "col", kind.alias("type"), F.coalesce("locked", F.lit(False)).alias("locked"),
-            F.coalesce("is_formula", F.lit(False)).alias("is_formula"), "formula1",
+            "template_id", "col", "header_row", "name", "required", "conditional", kind.alias("type"), flag("locked"),
+            flag("is_formula"), "formula1",
         )
     )
 
 
-def field_vocabulary(types: DataFrame, lookup_columns: DataFrame) -> DataFrame:
-    """(template_id, col, dropdown_source, vocabulary) of dropdown columns: inline, a lookup column, or unresolved."""
+def field_types(cells: DataFrame, validations: DataFrame, headers: DataFrame) -> DataFrame:
+    """(template_id, col, type, locked, is_formula, formula1) from the row below the header and the validations."""
+    return _columns(cells, validations, headers).select(
+        "template_id", "col", "type", "locked", "is_formula", "formula1"
+    )
+
+
+def _with_vocabulary(columns: DataFrame, lookup_columns: DataFrame) -> DataFrame:
     f = t.strip(F.coalesce("formula1", F.lit("")))
     reference = r"^'?([^'!]+)'?!\$?([A-Za-z]+)\$?\d+(?::\$?[A-Za-z]+\$?\d+)?$"
     inline = F.startswith(f, F.lit('"')) & F.endswith(f, F.lit('"'))
-    inner = F.substring(f, F.lit(2), F.length(f) - 2)
-    words = F.filter(F.transform(F.split(inner, ","), t.strip), lambda w: w != "")
-    is_lookup = ~inline & (F.regexp_extract(f, reference, 1) == "Lookup")
-    letters = F.when(is_lookup, F.regexp_extract(f, reference, 2))
-    empty = F.array().cast("array<string>")
+    words = F.filter(F.transform(F.split(F.substring(f, F.lit(2), F.length(f) - 2), ","), t.strip), lambda w: w != "")
     by_letter = lookup_columns.select(
         "template_id", column_letter(F.col("col")).alias("letters"), F.col("name").alias("lookup_name"), "values"
     )
+    empty = F.array().cast("array<string>")
+    is_dropdown, is_lookup = F.col("type") == "dropdown", F.col("letters").isNotNull()
+    letters = F.when(
+        is_dropdown & ~inline & (F.regexp_extract(f, reference, 1) == "Lookup"), F.regexp_extract(f, reference, 2)
+    )
     return (
-        types.filter("type = 'dropdown'").withColumn("letters", letters)
+        columns.withColumn("letters", letters).withColumn("inline", inline)
         .join(by_letter, ["template_id", "letters"], "left")
-        .select(
-            "template_id", "col",
-            F.when(inline, "inline")
-            .when(is_lookup, F.concat(F.lit("lookup:"), F.coalesce("lookup_name", F.lit("None"))))
-            .otherwise("reference").alias("dropdown_source"),
-            F.when(inline, words).when(is_lookup, F.coalesce("values", empty)).otherwise(empty).alias("vocabulary"),
+        .withColumn(
+            "dropdown_source",
+            F.when(is_dropdown, F.when(F.col("inline"), "inline")
+                   .when(is_lookup, F.concat(F.lit("lookup:"), F.coalesce("lookup_name", F.lit("None"))))
+                   .otherwise("reference")),
         )
+        .withColumn(
+            "vocabulary",
+            F.when(is_dropdown & F.col("inline"), words).when(is_lookup, F.coalesce("values", empty)).otherwise(empty),
+        )
+        .drop("letters", "inline", "lookup_name", "values")
+    )
+
+
+def field_vocabulary(types: DataFrame, lookup_columns: DataFrame) -> DataFrame:
+    """(template_id, col, dropdown_source, vocabulary) of dropdown columns: inline, a lookup column, or unresolved."""
+    return _with_vocabulary(types.filter("type = 'dropdown'"), lookup_columns).select(
+        "template_id", "col", "dropdown_source", "vocabulary"
     )
 
 
@@ -153,17 +174,22 @@ def sections(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def _first_at(array: Column, test) -> Column:
     """0-based position of the first element that passes, null when none does."""
-    at = F.array_position(F.transform(array, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True)) - 1
-    return F.when(at >= 0, at.cast("int"))
+    at = F.array_position(F.transform(array, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True))
+    return (F.nullif(at, F.lit(0)) - 1).cast("int")
 
 
 def _block(lines: Column, heading: str) -> Column:
-    start = _first_at(lines, lambda x: F.lower(x) == heading)
-    rest = F.slice(lines, start + 2, F.greatest(F.size(lines) - start - 1, F.lit(0)))
-    stop = _first_at(rest, lambda x: F.lower(x).isin(*HEADINGS) | F.startswith(F.lower(x), F.lit("pattern:")))
-    return F.when(start.isNull(), F.array().cast("array<string>")).otherwise(
-        F.slice(rest, F.lit(1), F.coalesce(stop, F.size(rest)))
-    )
+    stops = lambda x: F.lower(x).isin(*HEADINGS) | F.startswith(F.lower(x), F.lit("pattern:"))
+    empty = F.array().cast("array<string>")
+
+    def after(start: Column) -> Column:
+        rest = F.slice(lines, F.coalesce(start, F.lit(0)) + 2, F.lit(1 << 30))
+        cut = let(
+            rest, lambda r: F.slice(r, F.lit(1), F.coalesce(_first_at(r, stops), F.size(r)))
+        )
+        return F.when(start.isNull(), empty).otherwise(cut)
+
+    return let(_first_at(lines, lambda x: F.lower(x) == heading), after)
 
 
 def instructions(cells: DataFrame) -> DataFrame:
@@ -171,35 +197,37 @@ def instructions(cells: DataFrame) -> DataFrame:
     lines = _sheet(cells, "Instructions").groupBy("template_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), lambda x: x["text"]).alias("lines")
     )
-    all_lines = F.col("lines")
-    text = F.array_join("lines", "\n")
-    pairs = F.transform(
-        F.regexp_extract_all(text, F.lit(r"([a-z_]+_id:\s*cat_[A-Za-z0-9_-]+)")),
-        lambda p: F.struct(
-            F.substring_index(p, ":", 1).alias("key"), t.strip(F.regexp_replace(p, "^[^:]*:", "")).alias("value")
-        ),
-    )
-    last_pairs = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]),
-    )
-    after = F.get(all_lines, _first_at(all_lines, lambda x: F.contains(F.lower(x), F.lit("generated for"))) + 1)
-    arrow = F.get(all_lines, _first_at(all_lines, lambda x: F.contains(x, F.lit(" > "))))
-    limit = F.nullif(F.regexp_extract(text, r"(?i)up to\s+([0-9,]+)\s+products", 1), F.lit(""))
-    required = F.transform(_block(all_lines, "required fields"), lambda x: t.strip(F.ltrim(x, F.lit("- "))))
-    return lines.select(
-        "template_id",
-        F.struct(
+
+    def last_of_each(pairs: Column) -> Column:
+        return F.filter(
+            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.lit(1 << 30)), lambda q: q["key"] == p["key"])
+        )
+
+    def read(b: Column) -> Column:
+        ln, text = b["lines"], b["text"]
+        pairs = F.transform(
+            F.regexp_extract_all(text, F.lit(r"([a-z_]+_id:\s*cat_[A-Za-z0-9_-]+)")),
+            lambda p: F.struct(
+                F.substring_index(p, ":", 1).alias("key"), t.strip(F.regexp_replace(p, "^[^:]*:", "")).alias("value")
+            ),
+        )
+        after = F.get(ln, _first_at(ln, lambda x: F.contains(F.lower(x), F.lit("generated for"))) + 1)
+        arrow = F.get(ln, _first_at(ln, lambda x: F.contains(x, F.lit(" > "))))
+        limit = F.regexp_extract(text, r"(?i)up to\s+([0-9,]+)\s+products", 1)
+        required = F.transform(_block(ln, "required fields"), lambda x: t.strip(F.ltrim(x, F.lit("- "))))
+        return F.struct(
             F.coalesce(after, arrow).alias("breadcrumb"),
-            F.map_from_entries(last_pairs).alias("category_ids"),
-            F.get(all_lines, _first_at(all_lines, lambda x: F.startswith(F.lower(x), F.lit("pattern:")))).alias("naming_convention"),
+            F.map_from_entries(let(pairs, last_of_each)).alias("category_ids"),
+            F.get(ln, _first_at(ln, lambda x: F.startswith(F.lower(x), F.lit("pattern:")))).alias("naming_convention"),
             F.replace(limit, F.lit(","), F.lit("")).try_cast("int").alias("row_limit"),
-            F.filter(all_lines, lambda x: F.lower(x).rlike("media|url")).alias("media_options"),
+            F.filter(ln, lambda x: F.lower(x).rlike("media|url")).alias("media_options"),
             F.filter(required, lambda x: x != "").alias("required_fields"),
-            _block(all_lines, "template sections").alias("sections"),
-            F.col("lines").alias("raw_lines"),
-        ).alias("i"),
-    )
+            _block(ln, "template sections").alias("sections"),
+            ln.alias("raw_lines"),
+        )
+
+    bound = F.struct(F.col("lines").alias("lines"), F.array_join("lines", "\n").alias("text"))
+    return lines.select("template_id", let(bound, read).alias("i"))
 
 
 def archive_category(archive: Column, prefix: str = "") -> Column:
@@ -240,23 +268,21 @@ def parse_templates(
     cells: DataFrame, validations: DataFrame, files: DataFrame, scan: int = HEADER_SCAN, archive_prefix: str = ""
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(templates, template_fields, failures)."""
-    failures = template_failures(cells, files, scan)
+    # Two narrow tables, one row per template, that every later step looks at: written once.
+    failures = cut_lineage(template_failures(cells, files, scan))
     sound = files.join(failures.select("template_id"), "template_id", "left_anti")
-    headers = header_rows(cells, scan).join(sound.select("template_id"), "template_id", "left_semi")
+    headers = cut_lineage(header_rows(cells, scan).join(sound.select("template_id"), "template_id", "left_semi"))
     lookup_columns = lookups(cells)
-    types = field_types(cells, validations, headers)
     order = Window.partitionBy("template_id").orderBy("col_no")
     fields = (
-        header_cells(cells, headers)
-        .join(types, ["template_id", "col"])
-        .join(field_vocabulary(types, lookup_columns), ["template_id", "col"], "left")
+        _with_vocabulary(_columns(cells, validations, headers), lookup_columns)
         .join(sections(cells, headers), ["template_id", "col"], "left")
         .join(sound.select("template_id", F.coalesce("protected", F.lit(False)).alias("protected")), "template_id")
         .withColumnRenamed("col", "col_no")
         .select(
             "template_id", (F.row_number().over(order) - 1).alias("field_ord"), "name", column_letter(F.col("col_no")).alias("col"),
             "type", "required", "conditional", (F.col("locked") & F.col("protected")).alias("locked"), "is_formula", "section",
-            "dropdown_source", F.coalesce("vocabulary", F.array().cast("array<string>")).alias("vocabulary"),
+            "dropdown_source", "vocabulary",
         )
     )
     named = lookup_columns.groupBy("template_id", "name").agg(F.max_by("values", "col").alias("values"))

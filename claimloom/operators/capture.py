@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import urls
+from ..session import settle
 
 DEFAULT_LIMIT = 25
 MAX_LINKS = 200
@@ -66,9 +67,9 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Adds ``allowed`` to rows with a ``url``: the first rule whose prefix fits decides; no rule means allowed.
 
-    The rules travel as one short array per host, so a busy host is an ordinary (splittable) join.
+    The rules travel as one short array per host; a busy host meets them by broadcast or by a splittable join.
     """
-    rules = robots_rules(robots, agent).withColumnRenamed("host", "_host")
+    rules = settle(robots_rules(robots, agent).withColumnRenamed("host", "_host"))
     target = urls.robots_target(F.col("url"))
     fits = lambda r: (r["prefix"] == "*") | F.startswith(F.col("_target"), r["prefix"])
     return (

@@ -59,7 +59,7 @@ def field_routes(fields: DataFrame, aliases: DataFrame | None = None) -> DataFra
         "template_id", "canon", F.lit(-1).alias("priority"), F.lit(False).alias("needs_length"),
         F.col("canon").alias("field_canon"), "name", "required_rows",
     )
-    renamed = targets.join(F.broadcast(aliases), targets["name"] == aliases["target"]).select(
+    renamed = targets.join(aliases, targets["name"] == aliases["target"]).select(
         "template_id", t.alias_key(F.col("alias")).alias("canon"), F.col("alias_ord").alias("priority"),
         "needs_length", F.col("canon").alias("field_canon"), "name", "required_rows",
     )
@@ -81,7 +81,7 @@ def resolve_alias(names: DataFrame, available: DataFrame, aliases: DataFrame | N
     aliases = alias_table(names.sparkSession) if aliases is None else aliases
     options = (
         available.select("group_id", "field").distinct()
-        .join(F.broadcast(aliases), F.col("field") == F.col("target"))
+        .join(aliases, F.col("field") == F.col("target"))
         .select("group_id", t.alias_key(F.col("alias")).alias("alias_key"), "alias_ord", "needs_length", "target")
         .withColumn("has_length", F.explode(F.array(F.lit(False), F.lit(True))))
         .filter(~F.col("needs_length") | F.col("has_length"))
@@ -222,7 +222,7 @@ def score_signatures(signatures: DataFrame, index: TemplateIndex) -> DataFrame:
 def score_templates(evidence: DataFrame, index: TemplateIndex) -> DataFrame:
     """Record x overlapping template with precision and recall."""
     records = cut_lineage(record_signatures(evidence, index))
-    scores = score_signatures(records, index)
+    scores = settle(score_signatures(records, index))
     recall = F.when(F.col("n_required") > 0, F.col("n_covered") / F.col("n_required")).otherwise(F.lit(0.0))
     return records.join(scores, "signature").select(
         "record_id", "template_id", "n_fields", "matched", (F.col("matched") / F.col("n_fields")).alias("precision"),
@@ -259,7 +259,7 @@ def top_tier(
     """One row per record: its qualifying tier (possibly empty) and the precisions that go with it."""
     # One narrow row per record feeds both the distinct signatures and the join back: written once.
     records = cut_lineage(record_signatures(evidence, index))
-    tiers = signature_tiers(score_signatures(records, index), min_recall)
+    tiers = settle(signature_tiers(score_signatures(records, index), min_recall))
     precision = F.coalesce(F.col("best_passed"), F.lit(0)) / F.greatest(F.col("n_fields"), F.lit(1))
     qualifies = (F.col("best_passed") > 0) & (precision >= min_precision)
     return records.join(tiers, "signature", "left").select(
@@ -323,7 +323,7 @@ def _word_hits(tied: DataFrame, spoken: DataFrame, members: DataFrame, index: Te
     words = spoken.select(
         "record_id", "tier_key", "canon", "seq", F.explode(t.whole_words(F.col("value"))).alias("word")
     ).join(index.leaf_words, "word", "left_semi")
-    return words.join(telling_words(members), ["tier_key", "word"]).select(
+    return words.join(settle(telling_words(members)), ["tier_key", "word"]).select(
         "record_id", F.lit("word").alias("kind"), "template_id", "word", "canon", "seq"
     )
 

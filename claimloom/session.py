@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A table is only offered for broadcast after it was seen to hold no more rows than this.
 BROADCAST_ROWS = 500_000
+# ... and no more bytes than this, counted as JSON text.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,10 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a lookup table once, count it, and offer it for broadcast only when it is proven small.
+def settle(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Write a lookup table once, measure it, and offer it for broadcast only when it is proven small.
 
-    A larger table comes back without a hint, and Spark joins it by shuffle.
+    A larger table comes back without a hint.  Spark then joins it by shuffle, and because it is a plain stored
+    table both sides of that join are plain exchanges, which adaptive execution can split when a key is hot.
     """
     written = cut_lineage(df)
-    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in written.columns])))
+    n, total = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(written) if n <= rows and total <= size else written

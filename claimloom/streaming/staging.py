@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from ..session import settle
+
 
 def _write_batch(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -51,5 +53,5 @@ def finalize(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.parquet(path)
     latest = rows.groupBy("job", "record_id").agg(F.max("batch_id").alias("batch_id"))
-    kept = rows.join(latest, ["job", "record_id", "batch_id"], "left_semi").drop("batch_id")
+    kept = rows.join(settle(latest), ["job", "record_id", "batch_id"], "left_semi").drop("batch_id")
     return kept.dropDuplicates()

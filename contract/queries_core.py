@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from claimloom.functions import measures as me
 from claimloom.functions import text as t
 from claimloom.functions import urls
 from claimloom.operators import assemble, match, populate, publish
-from claimloom.session import cut_lineage
+from claimloom.session import _ensure_checkpoint_dir, cut_lineage
+from claimloom.sources import evidence as source
 from claimloom.sources.evidence import evidence_problems
 
 from . import catalogue as c
@@ -110,6 +113,31 @@ SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'SKU-' || page_id ELSE coalesce(
   regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) END AS record_id FROM pages"""
 
 
+def evidence_jsonl(spark, sf):
+    """Evidence written as JSON lines, read back and checked again."""
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/jsonl-{uuid.uuid4().hex}"
+    source.write_evidence(evidence(spark, sf), path)
+    back = source.validated(source.read_evidence(spark, path).drop("_corrupt_record"))
+    return back.select("record_id", "seq", "field", F.coalesce("value", F.lit("(null)")).alias("value"), F.col("absence").cast("int").alias("absence"))
+
+
+EVIDENCE_JSONL = f"WITH {c.EVIDENCE_CTE} SELECT record_id, seq, field, coalesce(value, '(null)') AS value, CAST(absence AS INTEGER) AS absence FROM evidence"
+
+
+def word_sets(spark, sf):
+    d = c.read(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
+    text = F.col("text")
+    return d.select(
+        "doc_id", F.size(t.word_set(text)).alias("n_words"), F.array_join(F.array_sort(t.word_set(text)), " ").alias("words"),
+        F.size(t.ascii_words(text)).alias("n_ascii"), F.md5(t.vocabulary_text(text)).alias("vocabulary_md5"))
+
+
+WORD_SETS = f"""WITH w AS (SELECT doc_id, text, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda w: len(w) > 1 AND w NOT IN ({', '.join(f"'{w}'" for w in t.STOP_WORDS)})) AS l FROM documents)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n_words, array_to_string(list_sort(l), ' ') AS words,
+  CAST(len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)))) AS INTEGER) AS n_ascii, md5({q.vtext('text')}) AS vocabulary_md5 FROM w"""
+
+
 def canonical_names(spark, sf):
     e = evidence(spark, sf)
     return e.select(
@@ -290,7 +318,7 @@ def _vocab_rows(spark, sf):
     f = index(spark).fields.filter("template_id = 't01' AND type = 'dropdown'").select("name", "vocabulary")
     return evidence(spark, sf).filter("value IS NOT NULL").select(
         "record_id", "seq", "value", t.canonical(F.col("field")).alias("canon")
-    ).join(F.broadcast(f.withColumn("canon", t.canonical(F.col("name")))), "canon")
+    ).join(f.withColumn("canon", t.canonical(F.col("name"))), "canon")
 
 
 def dropdown_ladder(spark, sf):
@@ -540,6 +568,7 @@ FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1, 2"""
 
 
 QUERIES = {
+    "evidence_jsonl": (evidence_jsonl, EVIDENCE_JSONL), "word_sets": (word_sets, WORD_SETS),
     "evidence_long": (evidence_long, EVIDENCE_LONG), "evidence_violations": (evidence_violations, EVIDENCE_VIOLATIONS),
     "record_id_from_url": (record_id_from_url, RECORD_ID), "canonical_names": (canonical_names, CANONICAL),
     "unit_normalise": (unit_normalise, UNIT_NORMALISE), "option_lists": (option_lists, OPTION_LISTS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as t
-from claimloom.operators import audit, knowledge
+from claimloom.operators import audit, classify, knowledge, match
 from claimloom.sources import sheets, stores
 
 from . import catalogue as c
@@ -299,6 +299,28 @@ p AS (SELECT template_id, CASE WHEN template_id % 5 = 0 THEN 'Hardware' ELSE 'Ha
   WHERE template_id NOT IN (SELECT template_id FROM fails))
 SELECT path, file, field_count, writable_count, 'cat_y' AS product_type_id FROM p JOIN n USING (template_id) QUALIFY row_number() OVER (PARTITION BY path ORDER BY file DESC) = 1"""
 
+
+def _parsed(spark, sf):
+    return sheets.parse_templates(_cells(spark, sf), _validations(spark, sf), _files(spark, sf), archive_prefix="XX_")
+
+
+def writable_fields(spark, sf):
+    fields = _parsed(spark, sf)[1]
+    need = match.required_writable(fields).select("template_id", "name", F.lit(1).alias("needed"))
+    return match.writable(fields).join(need, ["template_id", "name"], "left").select("template_id", "name", F.coalesce("needed", F.lit(0)).alias("needed"))
+
+
+WRITABLE = f"""{_W} SELECT n.template_id, n.name, CAST(n.required AS INTEGER) AS needed FROM names n JOIN types t USING (template_id, col) JOIN files f USING (template_id)
+  WHERE n.template_id NOT IN (SELECT template_id FROM fails) AND NOT (t.locked AND f.protected) AND NOT t.is_formula AND n.name <> 'Floor Price'"""
+
+
+def category_words(spark, sf):
+    return classify.category_words(_parsed(spark, sf)[0])
+
+
+CATEGORY_WORDS = f"""{_W} SELECT template_id, unnest(list_distinct(['hardware', {c.NOUN}])) AS word
+  FROM files JOIN part ON p_partkey = template_id WHERE template_id NOT IN (SELECT template_id FROM fails)"""
+
 # ---------------------------------------------------------------- packs: one per part
 
 _PACK = "'pack' || CAST(p_partkey AS STRING)"
@@ -382,6 +404,7 @@ QUERIES = {
     "template_vocabulary": (template_vocabulary, TEMPLATE_VOCABULARY), "template_instructions": (template_instructions, TEMPLATE_INSTRUCTIONS),
     "template_failures": (template_failures, TEMPLATE_FAILURES), "template_totals": (template_totals, TEMPLATE_TOTALS),
     "parsed_fields": (parsed_fields, PARSED_FIELDS), "template_index": (template_index, TEMPLATE_INDEX),
+    "writable_fields": (writable_fields, WRITABLE), "category_words": (category_words, CATEGORY_WORDS),
     "manifest_audit": (manifest_audit, _AUDIT), "audit_summary": (audit_summary, AUDIT_SUMMARY), "pack_header": (pack_header, PACK_HEADER),
     "pack_manifest": (pack_manifest, PACK_MANIFEST),
 }

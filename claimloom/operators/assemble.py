@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import urls
+from ..functions.binding import let
 from ..functions.measures import format_value, normalize_value
 from ..session import cut_lineage, settle
 from .classify import MIN_SCORE, suggest
-from .pages import MAX_JSON_DEPTH, PRODUCT_FIELDS, extract_pages
+from .pages import (
+    MAX_JSON_DEPTH, PRODUCT_FIELDS, best_metadata, page_summary, product_struct, spec_pair_array,
+)
 
 # How far each source is trusted.
 SPEC_TABLE, SPEC_TABLE_UNCLEAR, STRUCTURED, LOOSE, VOCABULARY = 0.95, 0.4, 0.9, 0.6, 0.7
 
-_ROW = "struct<field:string,value:string,confidence:double>"
-
-
 def _row(field: Column, value: Column, confidence: Column) -> Column:
     return F.struct(
         field.cast("string").alias("field"), value.cast("string").alias("value"),
@@ -137,6 +137,32 @@ def brand_from_vocabulary(texts: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
+def _product_pages(pages: DataFrame, max_depth: int) -> DataFrame:
+    """(page_id, source_uri, record_id, rows, text) of the pages that state a product.
+
+    The gate is a generator: what it lets through is computed once, and metadata is read from product pages only.
+    """
+    def rows(product: Column) -> Column:
+        return F.struct(
+            product.alias("product"), _structured_rows(product, STRUCTURED).alias("own"),
+            _spec_rows(spec_pair_array(F.col("html"))).alias("spec"),
+        )
+
+    def gate(p: Column) -> Column:
+        return F.when((F.size(p["own"]) > 0) | (F.size(p["spec"]) > 0), F.array(p))
+
+    found = pages.filter(F.coalesce("html", F.lit("")) != "").select(
+        "page_id", "url", "html", F.explode(let(let(product_struct(F.col("html"), max_depth), rows), gate)).alias("p")
+    )
+    product = F.col("p.product")
+    either = lambda k: F.coalesce(product[k], F.col("meta")[k])
+    return found.withColumn("meta", best_metadata(page_summary(F.col("html"), F.col("url")))).select(
+        "page_id", F.col("url").alias("source_uri"), urls.record_id(product["sku"], F.col("url")).alias("record_id"),
+        F.concat("p.own", "p.spec", _metadata_rows(product, F.col("meta"))).alias("rows"),
+        F.concat_ws(" ", either("name"), either("description")).alias("text"),
+    )
+
+
 def assemble_evidence(
     pages: DataFrame, templates: DataFrame, min_score: float = MIN_SCORE, max_depth: int = MAX_JSON_DEPTH
 ) -> DataFrame:
@@ -145,23 +171,7 @@ def assemble_evidence(
     ``templates`` has category_path, naming_convention, breadcrumb and brands.  The HTML is read once; the narrow
     result is written, because the suggestion needs a shuffle and reading every page twice would cost far more.
     """
-    found = extract_pages(pages, max_depth).select(
-        "page_id", "url", "product", "meta",
-        _structured_rows(F.col("product"), STRUCTURED).alias("own"), _spec_rows(F.col("pairs")).alias("spec"),
-    )
-    narrow = cut_lineage(
-        found.filter((F.coalesce(F.size("own"), F.lit(0)) > 0) | (F.size("spec") > 0)).select(
-            "page_id", F.col("url").alias("source_uri"), urls.record_id(F.col("product.sku"), F.col("url")).alias("record_id"),
-            F.concat(
-                F.coalesce("own", F.array().cast(f"array<{_ROW}>")), "spec",
-                _metadata_rows(F.col("product"), F.col("meta")),
-            ).alias("rows"),
-            F.concat_ws(
-                " ", F.coalesce(F.col("product.name"), F.col("meta.name")),
-                F.coalesce(F.col("product.description"), F.col("meta.description")),
-            ).alias("text"),
-        )
-    )
+    narrow = cut_lineage(_product_pages(pages, max_depth))
     docs = narrow.filter(~t.is_blank(F.col("text"))).select(F.col("page_id").alias("doc_id"), "text")
     suggestion = cut_lineage(suggested_category(docs, templates, min_score))
     brandless = narrow.filter(~F.exists("rows", lambda r: F.lower(t.strip(r["field"])) == "brand")).select(

@@ -111,7 +111,7 @@ class TemplateIndex:
 
 
 def index_templates(templates: DataFrame, fields: DataFrame, aliases: DataFrame | None = None) -> TemplateIndex:
-    """Prepare the template side once; each table is written, counted, and offered for broadcast only if small."""
+    """Prepare the template side once; each table is written, so joins are planned by its real size."""
     routes = settle(field_routes(fields, aliases))
     leaf = F.explode(t.ascii_words(F.element_at("category_path", -1))).alias("word")
     form = writable(fields).select(

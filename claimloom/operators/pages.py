@@ -102,7 +102,8 @@ def _nodes(v: Column, depth: int) -> Column:
     return F.concat(F.coalesce(kids, empty), F.when(listed.isNull() & _is_product(v), F.array(v)).otherwise(empty))
 
 
-def _product(html: Column, max_depth: int) -> Column:
+def product_struct(html: Column, max_depth: int = MAX_JSON_DEPTH) -> Column:
+    """Fields of the first product node of a page, null when it has none."""
     script = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
     texts = F.regexp_extract_all(m.without_comments(html), F.lit(script))
     parsed = F.filter(F.transform(texts, F.try_parse_json), lambda v: v.isNotNull())
@@ -127,14 +128,15 @@ def jsonld_products(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFr
     Markup nested deeper than ``max_depth`` lists or graphs stops the job instead of being cut off.
     """
     return (
-        pages.select("page_id", _product(F.col("html"), max_depth).alias("p"))
+        pages.select("page_id", product_struct(F.col("html"), max_depth).alias("p"))
         .filter("p IS NOT NULL").select("page_id", "p.*")
     )
 
 
 # ---------------------------------------------------------------- page metadata
 
-def _metadata(html: Column, url: Column) -> Column:
+def page_summary(html: Column, url: Column) -> Column:
+    """The summary tags of a page as a struct, one field per tag."""
     def read(b: Column) -> Column:
         found = b["tags"]
 
@@ -175,7 +177,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     pairs = F.map_from_arrays(
         F.array(*[F.lit(k) for k in METADATA_KEYS]), F.array(*[F.col(f"s.`{k}`") for k in METADATA_KEYS])
     )
-    return pages.select("page_id", _metadata(F.col("html"), F.col("url")).alias("s")).select(
+    return pages.select("page_id", page_summary(F.col("html"), F.col("url")).alias("s")).select(
         "page_id", F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("meta")
     )
 
@@ -201,7 +203,8 @@ def metadata_fields(meta: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- specification pairs
 
-def _spec_pairs(html: Column) -> Column:
+def spec_pair_array(html: Column) -> Column:
+    """Specification pairs of a page as an array of (key, value)."""
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     none = F.array().cast("array<struct<key:string,value:string>>")
 
@@ -243,14 +246,15 @@ def _spec_pairs(html: Column) -> Column:
 
 def spec_pairs(pages: DataFrame) -> DataFrame:
     """(page_id, seq, key, value) of two-cell table rows, then of definition lists."""
-    return pages.select("page_id", F.posexplode(_spec_pairs(F.col("html"))).alias("seq", "p")).select(
+    return pages.select("page_id", F.posexplode(spec_pair_array(F.col("html"))).alias("seq", "p")).select(
         "page_id", F.col("seq").cast("bigint").alias("seq"), "p.key", "p.value"
     )
 
 
 # ---------------------------------------------------------------- links and media
 
-def _links(html: Column, url: Column) -> Column:
+def link_array(html: Column, url: Column) -> Column:
+    """Same-host links of a page as an array."""
     hrefs = F.transform(m.tags(m.visible(html), "a"), lambda tag: m.attribute(tag, "href"))
 
     def targets(base: Column) -> Column:
@@ -266,12 +270,13 @@ def _links(html: Column, url: Column) -> Column:
 
 def same_host_links(pages: DataFrame) -> DataFrame:
     """(page_id, seq, url) of links to other pages of the same host, each once, in order of first appearance."""
-    return pages.select("page_id", F.posexplode(_links(F.col("html"), F.col("url"))).alias("seq", "url")).select(
+    return pages.select("page_id", F.posexplode(link_array(F.col("html"), F.col("url"))).alias("seq", "url")).select(
         "page_id", F.col("seq").cast("bigint").alias("seq"), "url"
     )
 
 
-def _media(html: Column, url: Column) -> Column:
+def media_array(html: Column, url: Column) -> Column:
+    """Media references of a page as an array of (url, media_type)."""
     none = F.array().cast("array<struct<url:string,media_type:string>>")
     present = lambda u: F.coalesce(u, F.lit("")) != ""
 
@@ -304,7 +309,7 @@ def _media(html: Column, url: Column) -> Column:
 
 def media_refs(pages: DataFrame) -> DataFrame:
     """(page_id, seq, url, media_type) of videos and animated images; the first mention of a URL decides its type."""
-    return pages.select("page_id", F.posexplode(_media(F.col("html"), F.col("url"))).alias("seq", "r")).select(
+    return pages.select("page_id", F.posexplode(media_array(F.col("html"), F.col("url"))).alias("seq", "r")).select(
         "page_id", F.col("seq").cast("bigint").alias("seq"), "r.url", "r.media_type"
     )
 
@@ -357,6 +362,6 @@ def extract_pages(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFram
     """
     html, url = F.col("html"), F.col("url")
     return pages.filter(F.coalesce(html, F.lit("")) != "").select(
-        "page_id", "url", _product(html, max_depth).alias("product"), _spec_pairs(html).alias("pairs"),
-        best_metadata(_metadata(html, url)).alias("meta"), _media(html, url).alias("media"),
+        "page_id", "url", product_struct(html, max_depth).alias("product"), spec_pair_array(html).alias("pairs"),
+        best_metadata(page_summary(html, url)).alias("meta"), media_array(html, url).alias("media"),
     )

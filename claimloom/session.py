@@ -1,16 +1,11 @@
-"""Session defaults, lineage cuts and size-checked broadcasts."""
+"""Session defaults, lineage cuts and lookup tables of known size."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A table is only offered for broadcast after it was seen to hold no more rows than this.
-BROADCAST_ROWS = 500_000
-# ... and no more bytes than this, counted as JSON text.
-BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -23,6 +18,8 @@ def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        # Recording a call site for every expression triples the time it takes to build one.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -31,34 +28,35 @@ def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> Spar
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the one the cluster names, or a fresh local one in tests."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not shared:
+    known = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
+    if not known:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(shared)
+        known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(known)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the table to the shared checkpoint folder once and continue from there.
+    """Write the table to the shared folder once and continue from the written copy.
 
-    Used where a costly result feeds several branches, or where row placement must not change on a retry.
+    Used where a costly result feeds several branches, or where row placement must not change on a retry.  The copy
+    is columnar: later steps read only the columns they need, and a lost executor recomputes nothing before it.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Write a lookup table once, measure it, and offer it for broadcast only when it is proven small.
+def settle(df: DataFrame) -> DataFrame:
+    """Write a lookup table once, so that Spark plans its joins by the size it really has.
 
-    A larger table comes back without a hint.  Spark then joins it by shuffle, and because it is a plain stored
-    table both sides of that join are plain exchanges, which adaptive execution can split when a key is hot.
+    A written table below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast; a larger one is joined by shuffle,
+    where both sides are then plain exchanges that adaptive execution can split when a key is hot.  No hint is given.
     """
-    written = cut_lineage(df)
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in written.columns])))
-    n, total = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(written) if n <= rows and total <= size else written
+    return cut_lineage(df)

@@ -11,7 +11,7 @@ from claimloom.functions import measures as me
 from claimloom.functions import text as t
 from claimloom.functions import urls
 from claimloom.operators import assemble, match, populate, publish
-from claimloom.session import _ensure_checkpoint_dir, cut_lineage
+from claimloom.session import cut_lineage, shared_folder
 from claimloom.sources import evidence as source
 from claimloom.sources.evidence import evidence_problems
 
@@ -115,8 +115,7 @@ SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'SKU-' || page_id ELSE coalesce(
 
 def evidence_jsonl(spark, sf):
     """Evidence written as JSON lines, read back and checked again."""
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/jsonl-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
     source.write_evidence(evidence(spark, sf), path)
     back = source.validated(source.read_evidence(spark, path).drop("_corrupt_record"))
     return back.select("record_id", "seq", "field", F.coalesce("value", F.lit("(null)")).alias("value"), F.col("absence").cast("int").alias("absence"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as t
 from claimloom.functions.text import STOP_WORDS
 from claimloom.operators import assemble, capture, classify, documents, pages
-from claimloom.session import _ensure_checkpoint_dir
+from claimloom.session import shared_folder
 from claimloom.sources import sitemaps
 from claimloom.streaming import staging
 
@@ -469,8 +469,7 @@ UNION ALL SELECT replace(file, '.pdf', '') || '-p' || page, CAST(idx + 1 AS BIGI
 
 def staged_capture(spark, sf):
     """Evidence staged twice as a stream (the second start finds nothing new) and finalised."""
-    _ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     schema = c.read(spark, sf, "part").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/part*.parquet").select(
         F.col("p_brand").alias("job"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"),

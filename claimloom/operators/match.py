@@ -107,13 +107,12 @@ class TemplateIndex:
     known: DataFrame  # names any template can use
     known_again: DataFrame  # names any template can use directly
     required: DataFrame  # template_id, n_required
-    leaf_words: DataFrame  # words of the last path parts
+    leaf_clues: DataFrame  # words and sizes of the last path parts
 
 
 def index_templates(templates: DataFrame, fields: DataFrame, aliases: DataFrame | None = None) -> TemplateIndex:
     """Prepare the template side once; each table is written, so joins are planned by its real size."""
     routes = settle(field_routes(fields, aliases))
-    leaf = F.explode(t.ascii_words(F.element_at("category_path", -1))).alias("word")
     form = writable(fields).select(
         "template_id", t.canonical(F.col("name")).alias("field_canon"), "field_ord", "name",
         F.coalesce("required", F.lit(False)).alias("required"), "type", "vocabulary",
@@ -130,7 +129,7 @@ def index_templates(templates: DataFrame, fields: DataFrame, aliases: DataFrame
             .withColumn("known_again", F.lit(True))
         ),
         required=settle(required_writable(fields).groupBy("template_id").agg(F.count("*").alias("n_required"))),
-        leaf_words=settle(templates.select(leaf).distinct()),
+        leaf_clues=settle(templates.select(F.explode(_clues(F.element_at("category_path", -1))).alias("clue")).distinct()),
     )
 
 
@@ -276,67 +275,65 @@ def _tied(tiers: DataFrame) -> DataFrame:
     return tiers.filter(F.size("tier") > 1).select("record_id", F.array_join("tier", "\x1f").alias("tier_key"), "tier")
 
 
-def _tie_members(tied: DataFrame, index: TemplateIndex) -> DataFrame:
-    members = tied.select("tier_key", "tier").dropDuplicates(["tier_key"]).select(
-        "tier_key", F.explode("tier").alias("template_id")
-    )
-    return members.join(index.templates, "template_id")
-
+def _clues(text: Column) -> Column:
+    """What a text can say in a tie: its size as ``mm:12.0`` and its whole words as ``w:corner``."""
+    size = F.concat(F.lit("mm:"), size_mm(text).cast("string"))
+    words = F.transform(t.whole_words(text), lambda w: F.concat(F.lit("w:"), w))
+    return F.concat(F.array_compact(F.array(size)), words)
 
-def _one_owner(rows: DataFrame) -> DataFrame:
-    return (
-        rows.groupBy("tier_key", "word")
-        .agg(F.min("template_id").alias("template_id"), F.max("template_id").alias("other"))
-        .filter("template_id = other")
-        .drop("other")
-    )
 
+def tie_clues(tied: DataFrame, index: TemplateIndex) -> DataFrame:
+    """(tier_key, clue, template_id): per distinct tied set, the clues that speak for one of its members.
 
-def telling_words(members: DataFrame) -> DataFrame:
-    """Words found in the last path part of one tied category only, and in no earlier part of any tied path."""
-    leaf = members.select(
-        "tier_key", "template_id", F.explode(t.ascii_words(F.element_at("category_path", -1))).alias("word")
+    A size speaks for every member whose last path part is that size.  A word speaks for a member only if it is in
+    that member's last part, in no other's, and in no earlier part of any tied path.
+    """
+    members = (
+        tied.select("tier_key", "tier").dropDuplicates(["tier_key"])
+        .select("tier_key", F.explode("tier").alias("template_id"))
+        .join(index.templates, "template_id")
     )
+    leaf = F.element_at("category_path", -1)
     above = F.array_join(F.slice("category_path", F.lit(1), F.greatest(F.size("category_path") - 1, F.lit(0))), " ")
-    prefix = members.select("tier_key", F.explode(t.ascii_words(above)).alias("word")).distinct()
-    return _one_owner(leaf.join(prefix, ["tier_key", "word"], "left_anti"))
-
-
-def _spoken(tied: DataFrame, values: DataFrame) -> DataFrame:
-    """Evidence values of the tied records only."""
-    return values.filter("value IS NOT NULL").join(tied.select("record_id", "tier_key"), "record_id")
-
-
-def _size_hits(tied: DataFrame, spoken: DataFrame, members: DataFrame) -> DataFrame:
-    leaf = members.select(
-        "tier_key", "template_id", size_mm(F.element_at("category_path", -1)).alias("mm")
-    ).filter("mm IS NOT NULL")
-    stated = spoken.select("record_id", "tier_key", size_mm(F.col("value")).alias("mm")).filter("mm IS NOT NULL")
-    return stated.join(leaf, ["tier_key", "mm"]).select(
-        "record_id", F.lit("size").alias("kind"), "template_id",
-        F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("canon"),
-        F.lit(None).cast("bigint").alias("seq"),
+    word = lambda c: F.transform(t.ascii_words(c), lambda w: F.concat(F.lit("w:"), w))
+    sizes = members.select(
+        "tier_key", F.concat(F.lit("mm:"), size_mm(leaf).cast("string")).alias("clue"), "template_id"
+    ).filter("clue IS NOT NULL")
+    prefix = members.select("tier_key", F.explode(word(above)).alias("clue")).distinct()
+    telling = (
+        members.select("tier_key", F.explode(word(leaf)).alias("clue"), "template_id")
+        .join(prefix, ["tier_key", "clue"], "left_anti")
+        .groupBy("tier_key", "clue")
+        .agg(F.min("template_id").alias("template_id"), F.max("template_id").alias("other"))
+        .filter("template_id = other").drop("other")
     )
+    return sizes.unionByName(telling)
 
 
-def _word_hits(tied: DataFrame, spoken: DataFrame, members: DataFrame, index: TemplateIndex) -> DataFrame:
-    words = spoken.select(
-        "record_id", "tier_key", "canon", "seq", F.explode(t.whole_words(F.col("value"))).alias("word")
-    ).join(index.leaf_words, "word", "left_semi")
-    return words.join(settle(telling_words(members)), ["tier_key", "word"]).select(
-        "record_id", F.lit("word").alias("kind"), "template_id", "word", "canon", "seq"
-    )
-
+def break_ties(tiers: DataFrame, values: DataFrame, index: TemplateIndex) -> DataFrame:
+    """(record_id, by_size, by_word): what the evidence of each tied record says, null where it does not decide.
 
-def _settle_hits(hits: DataFrame) -> DataFrame:
-    size = F.when(F.col("kind") == "size", F.col("template_id"))
-    word = F.col("kind") == "word"
+    ``by_size`` is the one member named after a stated size; ``by_word`` holds (owner, word, field) when exactly one
+    telling word of the whole tie is found.  Only tied records are read, and of their texts only the words and sizes
+    that end some category path leave the row.
+    """
+    tied = _tied(tiers)
+    spoken = (
+        values.filter("value IS NOT NULL")
+        .join(tied.select("record_id", "tier_key"), "record_id")
+        .select("record_id", "tier_key", "canon", "seq", F.explode(_clues(F.col("value"))).alias("clue"))
+        .join(index.leaf_clues, "clue", "left_semi")
+        .join(settle(tie_clues(tied, index)), ["tier_key", "clue"])
+    )
+    is_size = F.startswith("clue", F.lit("mm:"))
+    size = F.when(is_size, F.col("template_id"))
+    word = F.when(~is_size, F.substring("clue", 3, 1 << 30))
     return (
-        hits.groupBy("record_id")
+        spoken.groupBy("record_id")
         .agg(
-            F.min(size).alias("size_lo"), F.max(size).alias("size_hi"),
-            F.min("word").alias("word_lo"), F.max("word").alias("word_hi"),
-            F.min(F.when(word, F.col("template_id"))).alias("owner"), F.min_by("canon", "seq").alias("field"),
+            F.min(size).alias("size_lo"), F.max(size).alias("size_hi"), F.min(word).alias("word_lo"),
+            F.max(word).alias("word_hi"), F.min(F.when(~is_size, F.col("template_id"))).alias("owner"),
+            F.min_by("canon", F.when(~is_size, F.col("seq"))).alias("field"),
         )
         .select(
             "record_id",
@@ -349,18 +346,14 @@ def _settle_hits(hits: DataFrame) -> DataFrame:
 
 def break_by_size(tiers: DataFrame, values: DataFrame, index: TemplateIndex) -> DataFrame:
     """(record_id, template_id) where exactly one tied category is named after a size the evidence states."""
-    tied = _tied(tiers)
-    hits = _size_hits(tied, _spoken(tied, values), _tie_members(tied, index))
-    return _settle_hits(hits).filter("by_size IS NOT NULL").select("record_id", F.col("by_size").alias("template_id"))
+    said = break_ties(tiers, values, index).filter("by_size IS NOT NULL")
+    return said.select("record_id", F.col("by_size").alias("template_id"))
 
 
 def break_by_word(tiers: DataFrame, values: DataFrame, index: TemplateIndex) -> DataFrame:
     """(record_id, template_id, word, field) where the evidence holds exactly one telling word of the tie."""
-    tied = _tied(tiers)
-    hits = _word_hits(tied, _spoken(tied, values), _tie_members(tied, index), index)
-    return _settle_hits(hits).filter("by_word IS NOT NULL").select(
-        "record_id", F.col("by_word.owner").alias("template_id"), "by_word.word", "by_word.field"
-    )
+    said = break_ties(tiers, values, index).filter("by_word IS NOT NULL")
+    return said.select("record_id", F.col("by_word.owner").alias("template_id"), "by_word.word", "by_word.field")
 
 
 # ---------------------------------------------------------------- outcomes
@@ -369,17 +362,12 @@ def outcomes(
     evidence: DataFrame, index: TemplateIndex, min_precision: float = MIN_PRECISION, min_recall: float = MIN_RECALL
 ) -> DataFrame:
     """Exactly one row per record: matched, category_ambiguous or no_template_match, with confidence and reason."""
-    tiers = cut_lineage(top_tier(evidence, index, min_precision, min_recall))
-    tied = _tied(tiers)
-    members = settle(_tie_members(tied, index))
-    spoken = _spoken(tied, evidence_map(evidence))
-    clues = _settle_hits(
-        _size_hits(tied, spoken, members).unionByName(_word_hits(tied, spoken, members, index))
-    ).select(
+    tiers = top_tier(evidence, index, min_precision, min_recall)
+    said = break_ties(tiers, evidence_map(evidence), index).select(
         "record_id", "by_size", F.col("by_word.owner").alias("by_word"), F.col("by_word.word").alias("tie_word"),
         F.col("by_word.field").alias("tie_field"),
     )
-    joined = tiers.join(clues, "record_id", "left")
+    joined = tiers.join(said, "record_id", "left")
     winner = F.when(F.size("tier") == 1, F.col("tier")[0]).otherwise(F.coalesce("by_size", "by_word"))
     confidence = F.coalesce("tier_precision", "best_precision")
     from_word = (F.size("tier") > 1) & F.col("by_size").isNull() & F.col("by_word").isNotNull()

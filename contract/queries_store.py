@@ -141,12 +141,10 @@ SELECT path, researched_at, review_status FROM r QUALIFY row_number() OVER (PART
 
 # ---------------------------------------------------------------- template sheets: one workbook per part
 
-_CELL_STEPS = 40
 _HR = "(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 2 END)"
-# k: 1-5 header labels, 6-10 body row, 11-12 section labels, 13-19 lookup, 20-34 instructions, 35-36 extra rows
-_SHEET = "CASE WHEN k <= 12 OR k >= 35 THEN 'Template' WHEN k <= 19 THEN 'Lookup' ELSE 'Instructions' END"
-_ROW = f"""CASE WHEN k <= 5 THEN {_HR} WHEN k <= 10 THEN {_HR} + 1 WHEN k <= 12 THEN {_HR} - 1 WHEN k <= 16 THEN k - 12 WHEN k <= 19 THEN k - 16
-  WHEN k >= 35 THEN k - 30 ELSE k - 19 END"""
+# k: 1-5 header labels, 6-10 body row, 11-12 section labels, 13-19 lookup, 20-34 instructions
+_SHEET = "CASE WHEN k <= 12 THEN 'Template' WHEN k <= 19 THEN 'Lookup' ELSE 'Instructions' END"
+_ROW = f"""CASE WHEN k <= 5 THEN {_HR} WHEN k <= 10 THEN {_HR} + 1 WHEN k <= 12 THEN {_HR} - 1 WHEN k <= 16 THEN k - 12 WHEN k <= 19 THEN k - 16 ELSE k - 19 END"""
 _COL = "CASE WHEN k <= 5 THEN k WHEN k <= 10 THEN k - 5 WHEN k = 11 THEN 1 WHEN k = 12 THEN 3 WHEN k <= 16 THEN 1 WHEN k <= 19 THEN 28 ELSE 1 END"
 _TEXT = f"""CASE k WHEN 1 THEN ' Name*' WHEN 2 THEN 'Brand (cond)*' WHEN 3 THEN CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'Size (opt)' END
   WHEN 4 THEN p_type || ' Grade' WHEN 5 THEN 'Floor Price' WHEN 11 THEN 'Product Information' WHEN 12 THEN 'Attributes'

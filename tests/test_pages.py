@@ -146,6 +146,13 @@ def test_capture_plan(spark):
     assert sorted((r["job"], r["url"]) for r in cap.job_candidates(probes, links, 2).collect()) == [("j", "p"), ("k", "a"), ("k", "b")]
 
 
+def test_page_source_reads_everything_in_one_row(spark):
+    d = page(spark, "<title>t</title><table><tr><td>k</td><td>v</td></tr></table><img src='a.gif'>" + LD % '{"@type":"Product","name":"n"}', "", None)
+    r = p.extract_pages(d).collect()
+    assert len(r) == 1 and r[0]["product"]["name"] == "n" and r[0]["meta"]["name"] == "t"
+    assert [tuple(x) for x in r[0]["pairs"]] == [("k", "v")] and r[0]["media"][0]["media_type"] == "gif"
+
+
 def test_expression_is_evaluated_once(spark):
     from claimloom.functions.binding import let
 

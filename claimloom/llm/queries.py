@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
+from .decontaminate import contaminated, find_phrases, span_words
+from .language import identify, learn_filters
 from .mixing import mix_sources
 from .quality import quality_rules
-from .tables import read_table
+from .tables import learn_rows, read_table
+from .windows import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +23,34 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_phrases(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", span_words().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    learn = learn_rows(F.col("doc_id"), 4, 2)
+    filters = learn_filters(docs.filter(learn))
+    held_out = F.coalesce(~learn, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", held_out, "text"), filters, carry=["doc_id", "held_out"])
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", span_words("removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
 ALL: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, oracles.MIX_SOURCES),
+    "op6_decontaminate": (op6_decontaminate, None),
+    "op8_language_id": (op8_language_id, None),
+    "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from .decontaminate import contaminated, find_phrases, span_words
 from .language import identify, learn_filters
 from .mixing import mix_sources
 from .quality import quality_rules
+from .tokencounts import count_tokens
 from .tables import learn_rows, read_table
 from .windows import remove_repeats
 
@@ -23,6 +25,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("fits").alias("chars_within_512"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_phrases(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
@@ -49,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, oracles.MIX_SOURCES),
+    "op4_token_counts": (op4_token_counts, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),

@@ -13,8 +13,9 @@ from .decontaminate import contaminated, find_phrases, span_words
 from .language import identify, learn_filters
 from .mixing import mix_sources
 from .quality import quality_rules
-from .tokencounts import count_tokens
 from .tables import learn_rows, read_table
+from .tokencounts import count_tokens
+from .tokenids import stored_ids
 from .windows import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("fits").alias("chars_within_512"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_phrases(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
@@ -57,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, oracles.MIX_SOURCES),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_token_ids": (op5_token_ids, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),

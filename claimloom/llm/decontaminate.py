@@ -75,9 +75,9 @@ def occurrences(symbol: np.ndarray, row: np.ndarray, known: Phrases) -> tuple[np
     return pattern, word[index.locate(ws.ragged_range(low, counts))]
 
 
-def _search(known: Callable[[], Phrases], schema: pa.Schema, n_carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(text: str, known: Callable[[], Phrases], schema: pa.Schema, n_carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def hits(piece: pa.RecordBatch, block: Phrases) -> pa.RecordBatch:
-        buf, offs = ws.text_buffers(piece.column("_text"))
+        buf, offs = ws.text_buffers(piece.column(text))
         buf = ws.LOWER[buf]
         starts, ends, words = ws.spans(buf, offs, ws.ALNUM_WORDS)
         n_rows = len(words) - 1
@@ -117,7 +117,7 @@ def _search(known: Callable[[], Phrases], schema: pa.Schema, n_carried: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = known()
         for batch in batches:
-            for piece in ws.chunks(batch, "_text", SHARD_BYTES):
+            for piece in ws.chunks(batch, text, SHARD_BYTES):
                 yield hits(piece, block)
 
     return run
@@ -139,17 +139,16 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, *, carry: list[str], win
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    state = docs.select(*carry, F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("n_words"),
+    text = text_col if text_col in carry else "_text"
+    state = docs.select(*carry, *([] if text_col in carry else [F.col(text_col).alias(text)]), F.lit(0).cast("bigint").alias("n_words"),
                         F.array().cast("array<struct<first:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        found = part.toArrow()
-        shared = spark.sparkContext.broadcast(phrases(found, window))
-        last = b == blocks - 1
-        kept = [*carry] if last else [*carry, "_text"]
+        shared = spark.sparkContext.broadcast(phrases(part.toArrow(), window))
+        # The text goes along to the next block; after the last one only if it is asked for.
+        kept = [*carry] if b == blocks - 1 or text in carry else [*carry, text]
         out = StructType([*state.select(*kept).schema.fields, *StructType.fromDDL(_HITS).fields])
-        source = state.select(*kept, "_text", "n_words", "spans", "items") if last else state
-        state = source.mapInArrow(_search(lambda shared=shared: shared.value, to_arrow_schema(out), len(kept)), out)
+        state = state.mapInArrow(_search(text, lambda shared=shared: shared.value, to_arrow_schema(out), len(kept)), out)
     return state
 
 

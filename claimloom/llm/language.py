@@ -178,7 +178,7 @@ def learn_filters(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     return build_filters(languages, gram[own], code[own])
 
 
-def _predict(text: str, schema: pa.Schema, filters: Callable[[], Filters], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(text: str, keep: bool, schema: pa.Schema, filters: Callable[[], Filters], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = filters()
         names = np.array([*known.languages, UNKNOWN], dtype=object)
@@ -197,7 +197,7 @@ def _predict(text: str, schema: pa.Schema, filters: Callable[[], Filters], n: in
                 best = np.where(any_letter & (len(known.languages) > 0), best, len(known.languages))
                 score = np.where(any_letter, score, 0.0)
                 drop = piece.schema.get_field_index(text)
-                columns = [c for i, c in enumerate(piece.columns) if i != drop]
+                columns = [c for i, c in enumerate(piece.columns) if keep or i != drop]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], schema=schema)
 
     return run
@@ -214,6 +214,8 @@ def identify(docs: DataFrame, filters: Filters, *, carry: list[str], text_col: s
     from pyspark.sql.types import StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select(*carry, F.col(text_col).alias("_text"))
-    out = StructType([*rows.drop("_text").schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
-    return rows.mapInArrow(_predict("_text", to_arrow_schema(out), lambda: shared.value, n), out)
+    keep = text_col in carry
+    text = text_col if keep else "_text"
+    rows = docs.select(*carry) if keep else docs.select(*carry, F.col(text_col).alias(text))
+    out = StructType([*rows.select(*carry).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
+    return rows.mapInArrow(_predict(text, keep, to_arrow_schema(out), lambda: shared.value, n), out)

@@ -12,6 +12,7 @@ from . import oracles
 from .decontaminate import contaminated, find_phrases, span_words
 from .language import identify, learn_filters
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .quality import quality_rules
 from .tables import learn_rows, read_table
 from .tokencounts import count_tokens
@@ -26,6 +27,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("fits").alias("chars_within_512"))
@@ -61,6 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, oracles.MIX_SOURCES),
+    "op3_near_duplicates": (op3_near_duplicates, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_token_ids": (op5_token_ids, None),
     "op6_decontaminate": (op6_decontaminate, None),

@@ -151,17 +151,19 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> list[tup
     lanes = -(-len(ids) // block)
     size = np.full(lanes, block)
     size[-1] = len(ids) - block * (lanes - 1)
-    grid = np.zeros(lanes * block, np.int64)
+    grid = np.zeros(lanes * block, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-    out, pos = np.zeros((lanes, 4 * block + 8), "<u2"), np.zeros(lanes, np.int64)
+    out, pos = np.zeros((lanes, block + 64), "<u2"), np.zeros(lanes, np.int64)
     for k in range(block):
         n = lanes if k < size[-1] else lanes - 1
         if n == 0:
             break
-        now = grid[k, :n]
+        if k % 8 == 0 and int(pos.max()) + 40 > out.shape[1]:  # an id moves on by four units at most
+            out = np.concatenate([out, np.zeros((lanes, block // 2 + 64), "<u2")], axis=1)
+        now = grid[k, :n].astype(np.int64)
         first, second, share_two, share_one = model.predict(n)
         is_two, is_one = first == now + 1, second == now + 1
         total = model.total[:n]
@@ -190,7 +192,7 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> list[tup
 def decode(blocks: list[tuple[int, int, bytes]], vocabulary: int) -> np.ndarray:
     """The ids of blocks, one after another; a block whose checksum differs raises."""
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     size = np.array([b[0] for b in blocks])
     order = np.argsort(-size, kind="stable")
     lanes, longest = len(blocks), int(size.max())
@@ -205,7 +207,7 @@ def decode(blocks: list[tuple[int, int, bytes]], vocabulary: int) -> np.ndarray:
     value = np.zeros(lanes, _U)
     for k in range(4):
         value = (value << _UNIT) | data[:, k].astype(_U)
-    out = np.zeros((longest, lanes), np.int64)
+    out = np.zeros((longest, lanes), np.int32)
     for k in range(longest):
         n = int(live[k])
         first, second, share_two, share_one = model.predict(n)

@@ -26,7 +26,7 @@ from .tables import cut_lineage, shared_folder
 
 END_ID = 1
 #: Bytes of text in a segment.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 12 << 20
 
 _SEGMENT = "part int, segment int, n_ids long, doc_ids array<{id}>, n_tokens array<int>, block_ids array<int>, block_crc32 array<long>, blocks array<binary>"
 
@@ -83,7 +83,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     flat = data.tobytes()
     found = [e.ids for e in library.encode_batch_fast([flat[a : a + s].decode() for a, s in zip(at.tolist(), size.tolist())], add_special_tokens=False)]
     width = np.array([len(f) for f in found], np.int64)
-    table = np.array([i for f in found for i in f], np.int64)
+    table = np.array([i for f in found for i in f], np.int32)
     table_at = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
     ids = table[ws.ragged_range(table_at[which], width[which])]
     counts = np.bincount(text, weights=width[which], minlength=n_texts).astype(np.int64) if len(text) else np.zeros(n_texts, np.int64)
@@ -91,7 +91,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         return ids, np.concatenate([[0], np.cumsum(counts)])
     plain_at, parts = np.concatenate([[0], np.cumsum(counts)]), []
     for i in range(n_texts):
-        own = np.array(library.encode(raw[byte_offs[i] : byte_offs[i + 1]].decode(errors="replace"), add_special_tokens=False).ids, np.int64) if odd[i] else ids[plain_at[i] : plain_at[i + 1]]
+        own = np.array(library.encode(raw[byte_offs[i] : byte_offs[i + 1]].decode(errors="replace"), add_special_tokens=False).ids, np.int32) if odd[i] else ids[plain_at[i] : plain_at[i + 1]]
         parts.append(own)
         counts[i] = len(own)
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])

@@ -17,6 +17,7 @@ from .quality import quality_rules
 from .tables import learn_rows, read_table
 from .tokencounts import count_tokens
 from .tokenids import stored_ids
+from .toxicity import learn_toxicity, score_toxicity
 from .windows import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "labels")
+    learn = learn_rows(F.col("doc_id"), 3, 1)
+    model = learn_toxicity(docs.filter(learn), labels.filter(learn))
+    held_out = F.coalesce(~learn, F.lit(False)).alias("held_out")
+    return score_toxicity(docs.select("doc_id", held_out, "text"), model, carry=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -66,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, oracles.MIX_SOURCES),
+    "op2_toxicity": (op2_toxicity, None),
     "op3_near_duplicates": (op3_near_duplicates, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_token_ids": (op5_token_ids, None),

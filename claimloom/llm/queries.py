@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .decontaminate import contaminated, find_phrases, span_words
 from .language import identify, learn_filters
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import quality_rules
@@ -56,6 +57,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     learn = learn_rows(F.col("doc_id"), 4, 2)
@@ -80,6 +85,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "op4_token_counts": (op4_token_counts, None),
     "op5_token_ids": (op5_token_ids, None),
     "op6_decontaminate": (op6_decontaminate, None),
+    "op7_licenses": (op7_licenses, None),
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),

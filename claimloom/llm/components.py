@@ -9,7 +9,7 @@ from .tables import cut_lineage
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (columns a, b); the root is the component's smallest node.
+    """(node, root) for every node of ``links`` (columns a, b) but the roots; a root is its component's smallest node.
 
     Alternates two steps until no link changes: every node's larger neighbours are linked to its smallest one, then
     every node's neighbours that are not larger are.  Links never grow in number, and rounds grow with the logarithm

@@ -111,7 +111,7 @@ def _search(text: str, known: Callable[[], Phrases], schema: pa.Schema, n_carrie
             [pa.array((heads - base).astype(np.int32)), pa.array((tails - base).astype(np.int32))], names=["first", "end"]))
         pairs = np.unique(np.stack([pair_row, pair_item]), axis=1)
         cuts = np.searchsorted(pairs[0], np.arange(n_rows + 1))
-        items = [sorted({*(old or ()), *(block.items[i] for i in pairs[1, a:b])}) if b > a or old else [] for old, a, b in zip(before_items, cuts, cuts[1:])]
+        items = [sorted({*(old or ()), *(block.items[i] for i in pairs[1, a:b] if block.items[i] is not None)}) if b > a or old else [] for old, a, b in zip(before_items, cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([*piece.columns[:n_carried], pa.array(np.diff(words).astype(np.int64)), spans, pa.array(items, pa.list_(pa.string()))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

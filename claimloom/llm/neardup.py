@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands find candidates, sequential Bayesian tests prune them, sets confirm them.
 
 Documents with one and the same shingle set are one node.  Within a band's bucket every node is first tested against
-one node of the bucket, so a bucket of n nodes gives n - 1 candidates.  Nodes that this links form components; buckets
+the bucket's most central one, so a bucket of n nodes gives n - 1 candidates.  Nodes that this links form components; buckets
 that still hold several components are then searched for links between them.  That search compares signatures inside
 tasks, in blocks of bounded size, and returns only pairs that pass the test, never all pairs.
 
@@ -153,6 +153,8 @@ def _search_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
         table = table.combine_chunks()
         node, root = table["node"].to_numpy(), table["root"].to_numpy()
         sig = _signatures(table["sig"].combine_chunks())
+        bands = _bands(sig)
+        band = int(np.flatnonzero((bands == table["key"][0].as_py()).all(axis=0))[0])
         first, second = table["first"].to_numpy(), table["second"].to_numpy()
         left, right = (np.flatnonzero(first), np.flatnonzero(second))
         found_a, found_b = [], []
@@ -161,6 +163,10 @@ def _search_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
             a, b = a.ravel(), b.ravel()
             apart = (root[a] != root[b]) & (node[a] != node[b])
             a, b = a[apart], b[apart]
+            # A pair is tested in the first of the buckets that both are in.
+            for earlier in range(band):
+                fresh = bands[a, earlier] != bands[b, earlier]
+                a, b = a[fresh], b[fresh]
             kept = _passing(sig, sig, a, b, percent)
             found_a.append(np.minimum(node[a[kept]], node[b[kept]]))
             found_b.append(np.maximum(node[a[kept]], node[b[kept]]))
@@ -222,11 +228,15 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = 80, i
     schema = StructType([*rows.drop("_text").schema.fields, *StructType.fromDDL("n_shingles long, node long, sig binary, bands array<long>").fields])
     sketched = cut_lineage(rows.mapInArrow(_sketch(width, to_arrow_schema(schema)), schema))
 
-    # Buckets with more than one node; every node against the bucket's smallest.
+    # Buckets with more than one node.  The node that meets the most others over all its buckets is the likeliest
+    # centre of its group; every node of a bucket is tested against the bucket's most central one.
     entries = sketched.filter("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
-    shared = cut_lineage(entries.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("_last")).filter("rep < _last").select("key", "rep"))
-    members = cut_lineage(entries.join(shared, "key").select("key", "rep", "node").distinct())
-    pairs = members.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    shared = cut_lineage(entries.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last")).filter("_first < _last").select("key"))
+    members = cut_lineage(entries.join(shared, "key").select("key", "node").distinct())
+    sizes = members.groupBy("key").agg(F.count("*").alias("_size"))
+    central = cut_lineage(members.join(sizes, "key").groupBy("node").agg(F.sum("_size").alias("_met")))
+    reps = cut_lineage(members.join(central, "node").groupBy("key").agg(F.max_by("node", "_met").alias("rep")))
+    pairs = members.join(reps, "key").filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     touched = members.select("node").distinct()
     # One signature and one row for every node that has a candidate.
     about = cut_lineage(sketched.join(touched, "node", "left_semi").groupBy("node").agg(F.min_by("sig", "_row").alias("sig"), F.min("_row").alias("_row")))

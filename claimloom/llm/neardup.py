@@ -158,8 +158,8 @@ def _search_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
         first, second = table["first"].to_numpy(), table["second"].to_numpy()
         left, right = (np.flatnonzero(first), np.flatnonzero(second))
         found_a, found_b = [], []
-        for k in range(0, len(left), 256):
-            a, b = np.meshgrid(left[k : k + 256], right, indexing="ij")
+        for k in range(0, len(left), 64):
+            a, b = np.meshgrid(left[k : k + 64], right, indexing="ij")
             a, b = a.ravel(), b.ravel()
             apart = (root[a] != root[b]) & (node[a] != node[b])
             a, b = a[apart], b[apart]

@@ -24,7 +24,7 @@ WIDTH = 35
 #: Bytes of text that make one bucket of the hash range, so that a bucket stays small however large the input is.
 BYTES_PER_BUCKET = 4 << 20
 #: Bytes of text in one chunk.
-CHUNK = 2 * ws.CHUNK_BYTES
+CHUNK = 4 * ws.CHUNK_BYTES
 
 _SENT = "bucket int, chunk string, hashes binary, places binary, repeated binary"
 _MEET = "chunk string, texts binary, places binary"

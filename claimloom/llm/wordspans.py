@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at a time; one longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _byte_set(ranges: list[tuple[int, int]]) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from .binding import let
 from .text import strip
 
 _REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: The rest of a tag up to its end: a value in quotes may hold ``>``.
+ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
+#: A comment, or a script or style element; whichever starts first takes what the other's marks stand in.
+_HIDDEN = rf"(?is)<!--.*?-->|<(script|style)\b{ATTRS}>.*?</\1\s*>"
 
 
 def _code_point(reference: Column) -> Column:
@@ -24,8 +28,8 @@ def _code_point(reference: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Character references replaced in one pass, so ``&amp;lt;`` becomes ``&lt;`` and no further."""
-    names = "\x02".join(f"{name}\x01{chr(code)}" for name, code in name2codepoint.items())
-    table = F.str_to_map(F.lit(f"apos\x01'\x02{names}"), F.lit("\x02"), F.lit("\x01"))
+    names = "\x02".join(f"{name[:-1]}\x01{chars}" for name, chars in html5.items() if name.endswith(";"))
+    table = F.str_to_map(F.lit(names), F.lit("\x02"), F.lit("\x01"))
 
     def piece(reference: Column, follow: Column) -> Column:
         named = F.coalesce(F.try_element_at(table, reference), F.concat(F.lit("&"), reference, F.lit(";")))
@@ -44,29 +48,33 @@ def unescape(c: Column) -> Column:
     return let(c, lambda v: F.when(F.contains(v, F.lit("&")), decoded(v)).otherwise(v))
 
 
-def without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, "(?s)<!--.*?-->", "")
+def scripts(html: Column) -> Column:
+    """Every script element that is not inside a comment, whole and in document order."""
+    return F.filter(F.regexp_extract_all(html, F.lit(_HIDDEN), F.lit(0)), lambda e: e.rlike("(?i)^<script"))
 
 
 def visible(html: Column) -> Column:
     """Markup without comments, scripts and style sheets."""
-    return F.regexp_replace(without_comments(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    return F.regexp_replace(html, _HIDDEN, "")
 
 
 def tags(html: Column, names: str) -> Column:
     """Every opening tag with one of the names (regular-expression alternatives), in document order."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:{names})(?:\s[^>]*|/)?>)"))
+    return F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:{names})(?=[\s/>]){ATTRS}>)"))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Trimmed, decoded attribute value; empty when the attribute is missing."""
-    quoted = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    # Attributes are passed one at a time, so that text inside another value is never taken for one.
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    passed = rf"""(?:[\s/"']*+(?!{name}\s*=)[^\s=>/"']++(?:\s*+=\s*+{value})?+)*+"""
+    quoted = F.regexp_extract(tag, rf"""(?is)^<[^\s/>]++{passed}[\s/"']*+{name}\s*=\s*({value})""", 1)
     return strip(unescape(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
 def inner_text(markup: Column, separator: str = " ") -> Column:
     """Text between the tags: every run trimmed, empty runs dropped, the rest joined."""
-    runs = F.transform(F.split(markup, r"(?s)<[/!?A-Za-z][^>]*>"), lambda t: strip(unescape(t)))
+    runs = F.transform(F.split(markup, rf"(?s)<[/!?A-Za-z]{ATTRS}>"), lambda t: strip(unescape(t)))
     return F.array_join(F.filter(runs, lambda t: t != ""), separator)
 
 
@@ -78,10 +86,10 @@ def after_first(parts: Column) -> Column:
 def blocks(html: Column, name: str, ends: str) -> Column:
     """Content of each element called ``name``, cut at its end tag, at another end in ``ends``, or at the next start."""
     inside = after_first(F.split(html, rf"(?i)<(?:{name})(?=[\s>/])", -1))
-    return F.transform(inside, lambda b: F.regexp_extract(b, rf"(?is)^[^>]*>(.*?)(?:</(?:{ends})\b|\z)", 1))
+    return F.transform(inside, lambda b: F.regexp_extract(b, rf"(?is)^{ATTRS}>(.*?)(?:</(?:{ends})\b|\z)", 1))
 
 
 def first_text(html: Column, name: str) -> Column:
     """Text of the first element called ``name``, null when there is none or it is empty."""
-    inner = F.regexp_extract(html, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
+    inner = F.regexp_extract(html, rf"(?is)<{name}(?=[\s/>]){ATTRS}>(.*?)</{name}\s*>", 1)
     return F.nullif(inner_text(inner, ""), F.lit(""))

@@ -110,17 +110,23 @@ def _read_measure(raw: Column, g: Column) -> Column:
 
 
 def decimal_text(c: Column, keep_point: bool = False) -> Column:
-    """A number with at most four decimals as plain text: ``2.5``, and ``3`` or ``3.0`` for a whole one."""
-    whole = F.regexp_replace(c.cast("decimal(34,0)").cast("string"), "^-0$", "0")
+    """A number with at most four decimals as plain text: ``2.5``, and ``3`` or ``3.0`` for a whole one.
+
+    Null for a number of more digits than a decimal holds; callers then keep the text they have.
+    """
+    whole = F.regexp_replace(c.try_cast("decimal(34,0)").cast("string"), "^-0$", "0")
     tail = F.lit(".0" if keep_point else "")
-    fraction = F.regexp_replace(c.cast("decimal(34,4)").cast("string"), "0+$", "")
+    fraction = F.regexp_replace(c.try_cast("decimal(34,4)").cast("string"), "0+$", "")
     return F.when(c == F.floor(c), F.concat(whole, tail)).otherwise(fraction)
 
 
 def format_value(spec: Column) -> Column:
     """A normalised value back as text: whole numbers without ``.0``, dimensions joined by `` x ``."""
-    body = F.array_join(F.transform(spec["nums"], lambda n: decimal_text(n)), " x ")
-    return F.when(spec["nums"].isNull(), spec["text"]).otherwise(F.concat_ws(" ", body, spec["unit"]))
+    def joined(texts: Column) -> Column:
+        plain = F.forall(texts, lambda x: x.isNotNull())
+        return F.when(plain, F.concat_ws(" ", F.array_join(texts, " x "), spec["unit"])).otherwise(spec["text"])
+
+    return F.when(spec["nums"].isNull(), spec["text"]).otherwise(let(F.transform(spec["nums"], lambda n: decimal_text(n)), joined))
 
 
 def option_list(c: Column) -> Column:
@@ -133,9 +139,9 @@ def option_list(c: Column) -> Column:
         numbers = F.transform(parts, parse_number)
         clear = F.forall(numbers, lambda n: n["v"].isNotNull() & ~n["ambiguous"]) & (F.size(numbers) >= 2)
         texts = F.transform(
-            numbers, lambda n: F.concat_ws(" ", decimal_text(_round4(n["v"]), keep_point=True), F.get(g, F.lit(2)))
+            numbers, lambda n: F.concat(decimal_text(_round4(n["v"]), keep_point=True), F.lit(" "), F.get(g, F.lit(2)))
         )
-        return F.when((F.size(g) == 3) & clear, texts)
+        return let(texts, lambda found: F.when((F.size(g) == 3) & clear & F.forall(found, lambda x: x.isNotNull()), found))
 
     candidate = F.contains(raw, F.lit("/")) & raw.rlike("^[0-9]")
     return F.when(candidate, let(groups, read))

@@ -92,7 +92,7 @@ def job_candidates(probes: DataFrame, links: DataFrame, max_links: int = MAX_LIN
     """(job, ord, url): the job's own page when it is a product, else its first ``max_links`` links.
 
     ``probes`` has (job, url, has_evidence) for the start page; ``links`` has (job, seq, url).  The link cap is the
-    operator's own rule: a listing page is never followed further.
+    operator's own rule: a listing page is never followed further.  :func:`links_not_followed` has the rest.
     """
     own = probes.filter("has_evidence").select("job", F.lit(0).cast("bigint").alias("ord"), "url")
     listing = probes.filter("NOT has_evidence").select("job")
@@ -102,11 +102,18 @@ def job_candidates(probes: DataFrame, links: DataFrame, max_links: int = MAX_LIN
     return own.unionByName(followed)
 
 
+def links_not_followed(probes: DataFrame, links: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
+    """(job, ord, url, status): links of listing pages beyond ``max_links``, which :func:`job_candidates` leaves out."""
+    listing = probes.filter("NOT has_evidence").select("job")
+    return links.filter(F.col("seq") >= max_links).join(listing, "job", "left_semi").select(
+        "job", F.col("seq").cast("bigint").alias("ord"), "url", F.lit("not_followed").alias("status"))
+
+
 def capture_plan(candidates: DataFrame, pages: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """One status per tried candidate, in order, until ``limit`` pages of the job are captured.
+    """One status per candidate, in order; after ``limit`` captured pages of a job the rest are ``limit_reached``.
 
-    ``candidates`` has (job, ord, url, allowed); ``pages`` has (url, fetched, has_fields, n_rows, record_id).  A job
-    has at most a few hundred candidates (see :func:`job_candidates`), which bounds the running window.
+    ``candidates`` has (job, ord, url, allowed); ``pages`` has (url, fetched, has_fields, n_rows, record_id).  The
+    running count is per job, in rows of four small columns; Spark spills the window of a job with very many of them.
     """
     probe = candidates.join(pages, "url", "left")
     said = lambda status, reason: F.struct(
@@ -121,7 +128,8 @@ def capture_plan(candidates: DataFrame, pages: DataFrame, limit: int = DEFAULT_L
     )
     before = Window.partitionBy("job").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum((F.col("s.status") == "captured").cast("int")).over(before), F.lit(0))
+    final = F.when(F.col("taken") >= limit, said("limit_reached", "the job's limit of captured pages was reached")).otherwise(F.col("s"))
     return (
-        probe.withColumn("s", status).withColumn("taken", taken).filter(F.col("taken") < limit)
+        probe.withColumn("s", status).withColumn("taken", taken).withColumn("s", final)
         .select("job", "ord", "url", "s.status", "s.reason", F.when(F.col("s.status") == "captured", F.col("record_id")).alias("record_id"))
     )

@@ -14,7 +14,7 @@ from .image_walk import walk_images
 PRODUCT_FIELDS = ("name", "sku", "image", "description", "brand", "price")
 METADATA_KEYS = ("og:title", "og:description", "og:image", "twitter:image", "meta_description", "title", "h1")
 MIN_GALLERY_PX = 100
-MAX_JSON_DEPTH = 6
+MAX_JSON_DEPTH = 8
 
 
 # ---------------------------------------------------------------- product markup (JSON-LD)
@@ -93,21 +93,30 @@ def _nodes(v: Column, depth: int) -> Column:
     listed = _get(v, "$", "array<variant>")
     graph = _get(v, '$["@graph"]', "variant")
     below = F.coalesce(listed, F.when(graph.isNotNull(), F.array(graph)))
-    if depth == 0:
-        too_deep = F.raise_error(F.lit("product markup is nested deeper than max_depth"))
-        kids = F.when(below.isNotNull(), too_deep.cast("array<variant>"))
-    else:
-        kids = F.flatten(F.transform(below, lambda k: _nodes(k, depth - 1)))
+    kids = None if depth == 0 else F.flatten(F.transform(below, lambda k: _nodes(k, depth - 1)))
     empty = F.array().cast("array<variant>")
-    return F.concat(F.coalesce(kids, empty), F.when(listed.isNull() & _is_product(v), F.array(v)).otherwise(empty))
+    own = F.when(listed.isNull() & _is_product(v), F.array(v)).otherwise(empty)
+    return own if kids is None else F.concat(F.coalesce(kids, empty), own)
+
+
+def _deeper(v: Column, depth: int) -> Column:
+    """Does ``v`` nest lists or graphs below ``depth`` levels?"""
+    listed = _get(v, "$", "array<variant>")
+    graph = _get(v, '$["@graph"]', "variant")
+    below = F.coalesce(listed, F.when(graph.isNotNull(), F.array(graph)))
+    return below.isNotNull() if depth == 0 else F.coalesce(F.exists(below, lambda k: _deeper(k, depth - 1)), F.lit(False))
+
+
+def _parsed_markup(html: Column) -> Column:
+    kind = rf"""(?is)^<script(?=[\s/>])[^>]*?\btype\s*=\s*["']?application/ld\+json["'\s/>]"""
+    inner = rf"(?is)^<script{m.ATTRS}>(.*?)</script\s*>$"
+    texts = F.transform(F.filter(m.scripts(html), lambda s: s.rlike(kind)), lambda s: F.regexp_extract(s, inner, 1))
+    return F.filter(F.transform(texts, F.try_parse_json), lambda v: v.isNotNull())
 
 
 def product_struct(html: Column, max_depth: int = MAX_JSON_DEPTH) -> Column:
     """Fields of the first product node of a page, null when it has none."""
-    script = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-    texts = F.regexp_extract_all(m.without_comments(html), F.lit(script))
-    parsed = F.filter(F.transform(texts, F.try_parse_json), lambda v: v.isNotNull())
-    nodes = F.flatten(F.transform(parsed, lambda v: _nodes(v, max_depth)))
+    nodes = F.flatten(F.transform(_parsed_markup(html), lambda v: _nodes(v, max_depth)))
 
     def read(v: Column) -> Column:
         return F.struct(
@@ -125,7 +134,8 @@ def product_struct(html: Column, max_depth: int = MAX_JSON_DEPTH) -> Column:
 def jsonld_products(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:
     """(page_id, name, sku, image, description, brand, price) of the first product node that states any of them.
 
-    Markup nested deeper than ``max_depth`` lists or graphs stops the job instead of being cut off.
+    Lists and graphs are walked ``max_depth`` levels down; pages that nest deeper are reported by
+    :func:`jsonld_dead_letters`, and what stands above is still read.
     """
     return (
         pages.select("page_id", product_struct(F.col("html"), max_depth).alias("p"))
@@ -133,6 +143,13 @@ def jsonld_products(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFr
     )
 
 
+def jsonld_dead_letters(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:
+    """(page_id, reason) of pages whose product markup was not read to its full depth."""
+    deep = F.exists(_parsed_markup(F.col("html")), lambda v: _deeper(v, max_depth))
+    return pages.filter(F.contains("html", F.lit("ld+json"))).filter(deep).select(
+        "page_id", F.lit(f"product markup is nested deeper than {max_depth} levels").alias("reason"))
+
+
 # ---------------------------------------------------------------- page metadata
 
 def page_summary(html: Column, url: Column) -> Column:
@@ -217,7 +234,7 @@ def spec_pair_array(html: Column) -> Column:
     def item(s: Column) -> Column:
         return F.struct(
             F.lower(F.regexp_extract(s, r"(?i)^<(d[td])[\s>/]", 1)).alias("tag"),
-            m.inner_text(F.regexp_extract(s, r"(?is)^[^>]*>(.*?)(?:</d[tdl]\b|\z)", 1)).alias("text"),
+            m.inner_text(F.regexp_extract(s, rf"(?is)^{m.ATTRS}>(.*?)(?:</d[tdl]\b|\z)", 1)).alias("text"),
         )
 
     def definitions(body: Column) -> Column:
@@ -281,7 +298,7 @@ def media_array(html: Column, url: Column) -> Column:
     present = lambda u: F.coalesce(u, F.lit("")) != ""
 
     def video_sources(block: Column) -> Column:
-        own = F.concat(F.lit("<video"), F.regexp_extract(block, "(?s)^([^>]*>)", 1))
+        own = F.concat(F.lit("<video"), F.regexp_extract(block, rf"(?s)^({m.ATTRS}>)", 1))
         nested = m.tags(F.regexp_extract(block, r"(?is)^(.*?)(?:</video\b|\z)", 1), "source")
         return F.transform(F.concat(F.array(own), nested), lambda tag: m.attribute(tag, "src"))
 
@@ -325,7 +342,7 @@ def gallery_images(pages: DataFrame, min_px: int = MIN_GALLERY_PX) -> DataFrame:
     """
     wanted = pages.filter(
         F.col("html").rlike("(?i)<img[\\s/>]") & F.col("html").rlike("(?i)product|gallery")
-    ).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    ).select("page_id", "url", "html")
     found = wanted.mapInPandas(
         walk_images, "page_id bigint, url string, seq bigint, src string, width string, height string, around string"
     )

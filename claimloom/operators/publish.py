@@ -164,42 +164,29 @@ def write_failures(mismatches: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- wide table and media
 
-def sku_wide(
-    evidence: DataFrame, media: DataFrame | None = None, fields: list[str] | None = None, names_per_row: int = 10_000
-) -> DataFrame:
-    """One row per record, one column per observed field (sorted), and the record's image names.
+def sku_wide(evidence: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row per record, one column per observed field (sorted).
 
     First value wins, absences stay blank.  Without ``fields`` Spark collects the field names first; their number is
-    checked against ``spark.sql.pivotMaxValues``.  A record with more than ``names_per_row`` images continues its
-    image list in further rows that hold nothing else, so no cell grows without bound and no name is lost.
+    checked against ``spark.sql.pivotMaxValues``.  The records' images are a table of their own (:func:`sku_images`).
     """
     kept = evidence.filter("value IS NOT NULL")
     first = kept.groupBy("record_id", "field").agg(F.min_by("value", "seq").alias("value"))
     wide = first.groupBy("record_id").pivot("field", fields).agg(F.first("value"))
-    out = evidence.select("record_id").distinct().join(wide, "record_id", "left")
-    if media is None:
-        return out.withColumn("images", F.lit(""))
-    names = _image_lists(media.select("record_id", "name").distinct(), names_per_row)
-    head = names.filter("part_no = 0").drop("part_no")
-    more = names.filter("part_no > 0").select("record_id", "images").join(out.select("record_id"), "record_id", "left_semi")
-    listed = out.join(head, "record_id", "left").withColumn("images", F.coalesce("images", F.lit("")))
-    return listed.unionByName(more, allowMissingColumns=True)
-
-
-def _image_lists(names: DataFrame, names_per_row: int) -> DataFrame:
-    """(record_id, part_no, images): sorted names joined, at most ``names_per_row`` in one cell."""
-    most = names.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= names_per_row:
-        parts = names.withColumn("part_no", F.lit(0).cast("bigint"))
-    else:
-        numbered = number_rows(names, ["record_id"], ["name"])
-        parts = numbered.withColumn("part_no", F.floor((F.col("row_no") - 1) / names_per_row).cast("bigint"))
-    return parts.groupBy("record_id", "part_no").agg(
-        F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("images")
-    )
-
-
-def write_sku_csv(wide: DataFrame, path: str) -> None:
+    return evidence.select("record_id").distinct().join(wide, "record_id", "left")
+
+
+def sku_images(media: DataFrame) -> DataFrame:
+    """(record_id, image_no, name): one row per image, numbered from 1 in name order, however many a record has."""
+    return number_rows(media.select("record_id", "name").distinct(), ["record_id"], ["name"], "image_no")
+
+
+def write_sku_csv(wide: DataFrame, path: str, images: DataFrame | None = None) -> None:
+    """The wide table as CSV; the images joined into one cell here, where a row is a line of a file."""
+    if images is not None:
+        listed = images.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("image_no", "name"))).alias("i"))
+        joined = F.array_join(F.transform("i", lambda x: x["name"]), "; ")
+        wide = wide.join(listed.select("record_id", joined.alias("images")), "record_id", "left").withColumn("images", F.coalesce("images", F.lit("")))
     wide.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 

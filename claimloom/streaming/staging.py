@@ -22,7 +22,10 @@ def _write_batch(path: str):
 
 
 def stage_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Start staging ``stream`` (job, record_id, seq, field, ...) below ``path``.
+    """Start staging ``stream`` (job, record_id, capture, seq, field, ...) below ``path``.
+
+    ``capture`` numbers the captures of a record (or is the capture's time); rows of one capture may come in any
+    number of files and batches.
 
     With ``available_now`` the query takes everything present and stops; otherwise it keeps running.  Starting it
     again with the same checkpoint continues where it stopped.
@@ -32,9 +35,12 @@ def stage_stream(stream: DataFrame, path: str, checkpoint: str, available_now: b
 
 
 def staged(spark: SparkSession, path: str) -> DataFrame | None:
+    """The staged rows, None before the first batch; any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
@@ -47,11 +53,11 @@ def list_staged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finalize(spark: SparkSession, path: str) -> DataFrame:
-    """All staged rows, each once; of a record captured more than once only the latest capture.
+    """All rows of every record's latest capture, wherever its batches lie.
 
-    Reads only what is on disk, so it gives the same answer whenever and however often it runs.
+    Reads only what is on disk, so it gives the same answer whenever and however often it runs, and however the rows
+    were dealt over files and batches.  A replayed batch has replaced its own folder, so nothing is there twice.
     """
-    rows = spark.read.parquet(path)
-    latest = rows.groupBy("job", "record_id").agg(F.max("batch_id").alias("batch_id"))
-    kept = rows.join(settle(latest), ["job", "record_id", "batch_id"], "left_semi").drop("batch_id")
-    return kept.dropDuplicates()
+    rows = spark.read.parquet(path).drop("batch_id")
+    latest = rows.groupBy("job", "record_id").agg(F.max("capture").alias("capture"))
+    return rows.join(settle(latest), ["job", "record_id", "capture"], "left_semi")

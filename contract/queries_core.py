@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,7 @@ def _once(spark: SparkSession, key: str, make):
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = spark.sparkContext.defaultParallelism
-    return _once(spark, f"evidence {sf}", lambda: cut_lineage(c.evidence(spark, sf).repartition(tasks)))
+    return _once(spark, f"evidence {sf}", lambda: cut_lineage(c.evidence(spark, sf)))
 
 
 def index(spark: SparkSession) -> match.TemplateIndex:
@@ -125,7 +125,7 @@ EVIDENCE_JSONL = f"WITH {c.EVIDENCE_CTE} SELECT record_id, seq, field, coalesce(
 
 
 def word_sets(spark, sf):
-    d = c.read(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
+    d = c.read(spark, sf, "documents")
     text = F.col("text")
     return d.select(
         "doc_id", F.size(t.word_set(text)).alias("n_words"), F.array_join(F.array_sort(t.word_set(text)), " ").alias("words"),
@@ -314,7 +314,7 @@ FORCED = f"WITH {c.EVIDENCE_CTE} SELECT DISTINCT record_id, 'matched' AS status,
 
 
 def _vocab_rows(spark, sf):
-    f = index(spark).fields.filter("template_id = 't01' AND type = 'dropdown'").select("name", "vocabulary")
+    f = index(spark).fields.filter("type = 'dropdown'").select("template_id", "name", "vocabulary")
     return evidence(spark, sf).filter("value IS NOT NULL").select(
         "record_id", "seq", "value", t.canonical(F.col("field")).alias("canon")
     ).join(f.withColumn("canon", t.canonical(F.col("name"))), "canon")
@@ -323,23 +323,23 @@ def _vocab_rows(spark, sf):
 def dropdown_ladder(spark, sf):
     m = populate.match_vocabulary(F.col("value"), F.col("vocabulary"))
     return _vocab_rows(spark, sf).withColumn("m", m).select(
-        "record_id", "seq", "name", F.coalesce("m.term", F.lit("")).alias("term"), "m.method", "m.confidence")
+        "record_id", "seq", "template_id", "name", F.coalesce("m.term", F.lit("")).alias("term"), "m.method", "m.confidence")
 
 
 DROPDOWN = f"""WITH {c.EVIDENCE_CTE}, {c.TEMPLATE_CTE},
-s AS (SELECT e.record_id, e.seq, f.name, e.value AS raw, string_split(f.vocab, '|') AS voc FROM evidence e
-  JOIN fields f ON f.template_id = 't01' AND f.type = 'dropdown' AND {q.canon('f.name')} = {q.canon('e.field')} WHERE e.value IS NOT NULL),
-l AS (SELECT record_id, seq, name, {q.LADDER_COLUMNS} FROM s), l2 AS (SELECT *, {q.LADDER_METHOD} AS method FROM l)
-SELECT record_id, seq, name, coalesce({q.LADDER_TERM}, '') AS term, method, CASE method WHEN 'exact' THEN 1.0 WHEN 'case_insensitive' THEN 0.95
+s AS (SELECT e.record_id, e.seq, f.template_id, f.name, e.value AS raw, string_split(f.vocab, '|') AS voc FROM evidence e
+  JOIN fields f ON f.type = 'dropdown' AND {q.canon('f.name')} = {q.canon('e.field')} WHERE e.value IS NOT NULL),
+l AS (SELECT record_id, seq, template_id, name, {q.LADDER_COLUMNS} FROM s), l2 AS (SELECT *, {q.LADDER_METHOD} AS method FROM l)
+SELECT record_id, seq, template_id, name, coalesce({q.LADDER_TERM}, '') AS term, method, CASE method WHEN 'exact' THEN 1.0 WHEN 'case_insensitive' THEN 0.95
   WHEN 'normalized' THEN 0.85 WHEN 'whole_word_containment' THEN 0.7 ELSE 0.0 END AS confidence FROM l2"""
 
 
 def whole_word_terms(spark, sf):
     return _vocab_rows(spark, sf).select(
-        "record_id", "seq", "name", F.array_join(populate.whole_word_terms(F.col("value"), F.col("vocabulary")), "|").alias("terms"))
+        "record_id", "seq", "template_id", "name", F.array_join(populate.whole_word_terms(F.col("value"), F.col("vocabulary")), "|").alias("terms"))
 
 
-WHOLE_WORD = DROPDOWN.split("l2 AS")[0].rstrip().rstrip(",") + " SELECT record_id, seq, name, array_to_string(words, '|') AS terms FROM l"
+WHOLE_WORD = DROPDOWN.split("l2 AS")[0].rstrip().rstrip(",") + " SELECT record_id, seq, template_id, name, array_to_string(words, '|') AS terms FROM l"
 
 
 def populate_fields(spark, sf):
@@ -483,16 +483,19 @@ RUN_REPORT = f"""{q.VARIANTS}, {_PARTS_CTE} SELECT 'outcome' AS section, status
   UNION ALL SELECT 'sheet', sheet, count(*) FROM parts GROUP BY 2"""
 
 
+_MEASURED = sorted({name for *_, fields in c.TEMPLATES for name, kind, *_ in fields if kind == "numeric"})
+
+
 def readback_diff(spark, sf):
     """Cells against a copy in which some were changed and some are gone."""
     out = cells(spark, sf).filter("bucket = 'written'").select("record_id", "variant_no", "name", "cell")
     key = F.substring("record_id", 2, 20).cast("bigint")
-    broken = out.filter((key % 17 != 0) | (F.col("name") != "Name")).withColumn(
-        "cell", F.when((key % 23 == 0) & (F.col("name") == "Name"), F.concat("cell", F.lit("!"))).otherwise(F.col("cell")))
-    return publish.verify_sheet(out, broken).filter("name = 'Name'").select("record_id", "variant_no", "name", "cell", "side", "copies")
+    broken = out.filter(key % 17 != 0).withColumn("cell", F.when(key % 23 == 0, F.concat("cell", F.lit("!"))).otherwise(F.col("cell")))
+    # Measured cells are written in the column's unit; their conversion has queries of its own.
+    return publish.verify_sheet(out, broken).filter(~F.col("name").isin(_MEASURED)).select("record_id", "variant_no", "name", "cell", "side", "copies")
 
 
-READBACK = f"""{_CELLS}, o AS (SELECT record_id, variant_no, name, value AS cell, CAST(substr(record_id, 2) AS BIGINT) AS k FROM cells WHERE bucket = 'written' AND name = 'Name'),
+READBACK = f"""{_CELLS}, o AS (SELECT record_id, variant_no, name, value AS cell, CAST(substr(record_id, 2) AS BIGINT) AS k FROM cells WHERE bucket = 'written' AND name NOT IN ({', '.join(f"'{n}'" for n in _MEASURED)})),
 b AS (SELECT record_id, variant_no, name, CASE WHEN k % 23 = 0 THEN cell || '!' ELSE cell END AS cell FROM o WHERE k % 17 <> 0),
 d AS (SELECT *, 'missing' AS side FROM (SELECT record_id, variant_no, name, cell FROM o EXCEPT ALL SELECT * FROM b) UNION ALL
       SELECT *, 'unexpected' FROM (SELECT * FROM b EXCEPT ALL SELECT record_id, variant_no, name, cell FROM o))
@@ -511,22 +514,32 @@ SELECT trim(regexp_replace(replace(p.path, ' > ', '_'), '[^A-Za-z0-9]+', '_', 'g
   'read-back differs from what was written' AS error FROM d JOIN parts p USING (record_id, variant_no) GROUP BY 1, 2"""
 
 
+def _fields() -> list[str]:
+    """Every field name that the evidence of the given tables can hold."""
+    return sorted(set(re.findall(r"THEN '([^']+)'", c.FIELD)) | set(re.findall(r"ELSE '([^']+)'", c.FIELD)))
+
+
 def sku_wide(spark, sf):
-    e = evidence(spark, sf)
-    media = c.read(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
-        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"),
-        F.explode(F.array(F.concat(F.lit("P"), "p_partkey", F.lit("_1.webp")), F.concat(F.lit("P"), "p_partkey", F.lit("_0.webp")))).alias("name"))
-    wide = publish.sku_wide(e, media, ["Brand", "Color", "Finish", "Grade", "Manufacturer", "Material", "Size", "title"])
-    blank = [F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("Brand", "Color", "Finish", "Grade", "Manufacturer", "Material", "Size", "title")]
-    return wide.select("record_id", *blank, "images")
+    names = _fields()
+    wide = publish.sku_wide(evidence(spark, sf), names)
+    return wide.select("record_id", *[F.coalesce(F.col(f"`{x}`"), F.lit("")).alias(x) for x in names])
 
 
 SKU_WIDE = f"""WITH {c.EVIDENCE_CTE}, f AS (SELECT record_id, field, value FROM evidence WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id, field ORDER BY seq) = 1)
-SELECT r.record_id, {', '.join(f'''coalesce(max(CASE WHEN field = '{x}' THEN value END), '') AS "{x}"''' for x in ("Brand", "Color", "Finish", "Grade", "Manufacturer", "Material", "Size", "title"))},
-  CASE WHEN CAST(substr(r.record_id, 2) AS BIGINT) % 3 <> 0 THEN r.record_id || '_0.webp; ' || r.record_id || '_1.webp' ELSE '' END AS images
+SELECT r.record_id, {', '.join(f'''coalesce(max(CASE WHEN field = '{x}' THEN value END), '') AS "{x}"''' for x in _fields())}
   FROM (SELECT DISTINCT record_id FROM evidence) r LEFT JOIN f USING (record_id) GROUP BY r.record_id"""
 
 
+def sku_images(spark, sf):
+    return publish.sku_images(c.read(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"),
+        F.explode(F.array(F.concat(F.lit("P"), "p_partkey", F.lit("_1.webp")), F.concat(F.lit("P"), "p_partkey", F.lit("_0.webp")))).alias("name")))
+
+
+SKU_IMAGES = """SELECT 'P' || p_partkey AS record_id, (n + 1)::BIGINT AS image_no, 'P' || p_partkey || '_' || n || '.webp' AS name
+FROM part, (SELECT unnest(range(0, 2)) AS n) WHERE p_partkey % 3 <> 0"""
+
+
 def media_reconcile(spark, sf):
     key = F.col("p_partkey")
     name = lambda n: F.concat(F.lit("P"), key.cast("string"), F.lit(f"_{n}.webp"))
@@ -583,6 +596,6 @@ QUERIES = {
     "variant_rows": (variant_rows, VARIANT_ROWS), "variant_readiness": (variant_readiness, VARIANT_READY),
     "cell_buckets": (cell_buckets, CELL_BUCKETS), "fill_stats": (fill_stats, FILL_STATS), "sheet_parts": (sheet_parts, SHEET_PARTS),
     "order_sheets": (order_sheets, ORDER_SHEETS), "run_report": (run_report, RUN_REPORT), "readback_diff": (readback_diff, READBACK),
-    "write_failures": (write_failures, WRITE_FAILURES), "sku_wide": (sku_wide, SKU_WIDE), "media_reconcile": (media_reconcile, MEDIA_RECONCILE),
+    "write_failures": (write_failures, WRITE_FAILURES), "sku_wide": (sku_wide, SKU_WIDE), "sku_images": (sku_images, SKU_IMAGES), "media_reconcile": (media_reconcile, MEDIA_RECONCILE),
     "media_by_record": (media_by_record, MEDIA_BY_RECORD),
 }

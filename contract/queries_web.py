@@ -55,7 +55,7 @@ def product_pages(spark, sf):
     part = c.read(spark, sf, "part")
     return part.select(
         F.col(_K).alias("page_id"), F.expr(_URL).alias("url"), F.expr(_HTML).alias("html")
-    ).repartition(spark.sparkContext.defaultParallelism)
+    )
 
 
 _SITE = "'https://shop' || p_partkey % 7 || '.example.com'"
@@ -204,7 +204,7 @@ def text_categories(spark):
 
 
 def _docs(spark, sf):
-    return c.read(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return c.read(spark, sf, "documents").select("doc_id", "text")
 
 
 def classify_rank(spark, sf):
@@ -272,7 +272,7 @@ FROM rows_ r JOIN kept k USING (page_id)"""
 
 
 def _pages(spark, sf):
-    return c.read(spark, sf, "pages").repartition(spark.sparkContext.defaultParallelism)
+    return c.read(spark, sf, "pages")
 
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -394,7 +394,21 @@ s AS (SELECT CAST(floor(p.page_id / 100) AS BIGINT) AS job, p.page_id AS ord, p.
     WHEN length(o.html) % 4 = 0 THEN 'no usable evidence on page' WHEN length(o.html) % 9 = 0 THEN 'no evidence rows assembled' ELSE '' END AS reason
   FROM pages p JOIN a USING (page_id) JOIN one o ON o.url = p.url),
 w AS (SELECT *, coalesce(sum(CAST(status = 'captured' AS INTEGER)) OVER (PARTITION BY job ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM s)
-SELECT job, ord, url, status, reason, CASE WHEN status = 'captured' THEN record_id ELSE '' END AS record_id FROM w WHERE taken < 20"""
+SELECT job, ord, url, CASE WHEN taken >= 20 THEN 'limit_reached' ELSE status END AS status, CASE WHEN taken >= 20 THEN 'the job''s limit of captured pages was reached' ELSE reason END AS reason,
+  CASE WHEN status = 'captured' AND taken < 20 THEN record_id ELSE '' END AS record_id FROM w"""
+
+
+def links_not_followed(spark, sf):
+    p = _pages(spark, sf)
+    probes = p.select(F.col("page_id").alias("job"), "url", (F.length("html") % 5 == 0).alias("has_evidence"))
+    links = pages.same_host_links(p).select(F.col("page_id").alias("job"), "seq", "url")
+    return capture.links_not_followed(probes, links, 4)
+
+
+NOT_FOLLOWED = f"""
+{PAGE_LINKS.rsplit('SELECT page_id, CAST', 1)[0]}, k AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS BIGINT) AS seq, url FROM d)
+SELECT k.page_id AS job, k.seq AS ord, k.url, 'not_followed' AS status FROM k JOIN pages p USING (page_id) WHERE length(p.html) % 5 <> 0 AND k.seq >= 4"""
+
 
 # ---------------------------------------------------------------- documents
 
@@ -404,7 +418,7 @@ def doc_pages(spark, sf):
     text = (
         F.when(d % 11 == 0, F.concat(F.lit("(cid:12)"), F.col("text"))).when(d % 13 == 0, F.concat(F.repeat(F.lit("�"), 40), F.col("text")))
         .when(d % 17 == 0, F.lit(" \n ")).when(d % 19 == 0, F.lit("... --- ... ab")).otherwise(F.col("text")))
-    return c.read(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism).select(
+    return c.read(spark, sf, "documents").select(
         F.concat("source", F.lit(".pdf")).alias("file"), d.alias("page"), text.alias("text"), (d % 2 == 0).alias("fonts_missing"))
 
 
@@ -468,21 +482,26 @@ UNION ALL SELECT replace(file, '.pdf', '') || '-p' || page, CAST(idx + 1 AS BIGI
 
 
 def staged_capture(spark, sf):
-    """Evidence staged twice as a stream (the second start finds nothing new) and finalised."""
+    """Evidence staged as a stream of several files and batches, started twice, and finalised.
+
+    The two rows of a part's first capture come in different files; every third part is captured again, in two files.
+    """
     root = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    schema = c.read(spark, sf, "part").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/part*.parquet").select(
-        F.col("p_brand").alias("job"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"),
-        F.posexplode(F.array(F.struct(F.lit("name").alias("field"), F.col("p_name").alias("value")),
-                             F.struct(F.lit("finish").alias("field"), F.col("p_type").alias("value")))).alias("seq", "r"),
-    ).select("job", "record_id", F.col("seq").cast("bigint").alias("seq"), "r.field", "r.value")
+    part = c.read(spark, sf, "part").select(F.col("p_brand").alias("job"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"),
+                                            "p_name", "p_type", (F.col("p_partkey") % 3 == 0).alias("again"))
+    row = lambda n, field, value: part.select("job", "record_id", F.lit(n).cast("bigint").alias("capture"), F.lit(0 if field == "name" else 1).cast("bigint").alias("seq"), F.lit(field).alias("field"), F.expr(value).alias("value"), "again")
+    files = [row(1, "name", "p_name"), row(1, "finish", "p_type"), row(2, "name", "concat(p_name, ' new')").filter("again"), row(2, "color", "'red'").filter("again")]
+    for one in files:
+        one.drop("again").coalesce(1).write.mode("append").parquet(f"{root}/source")
+    rows = spark.readStream.schema(files[0].drop("again").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
     for _ in range(2):
         staging.stage_stream(rows, f"{root}/data", f"{root}/checkpoint").awaitTermination()
     return staging.finalize(spark, f"{root}/data")
 
 
-STAGED = """SELECT p_brand AS job, 'P' || p_partkey AS record_id, CAST(0 AS BIGINT) AS seq, 'name' AS field, p_name AS value FROM part
-UNION ALL SELECT p_brand, 'P' || p_partkey, 1, 'finish', p_type FROM part"""
+STAGED = """WITH r AS (SELECT p_brand AS job, 'P' || p_partkey AS record_id, p_partkey % 3 = 0 AS again, p_name, p_type FROM part)
+SELECT job, record_id, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS capture, 0::BIGINT AS seq, 'name' AS field, p_name || CASE WHEN again THEN ' new' ELSE '' END AS value FROM r
+UNION ALL SELECT job, record_id, 1, 1, 'finish', p_type FROM r WHERE NOT again UNION ALL SELECT job, record_id, 2, 1, 'color', 'red' FROM r WHERE again"""
 
 QUERIES = {
     "page_jsonld": (page_jsonld, PAGE_JSONLD), "page_spec_pairs": (page_spec_pairs, PAGE_SPEC), "spec_evidence": (spec_evidence, SPEC_EVIDENCE),
@@ -492,7 +511,7 @@ QUERIES = {
     "suggested_category": (suggested_category, SUGGESTED), "brand_in_text": (brand_in_text, BRAND), "assembled_evidence": (assembled_evidence, ASSEMBLED),
     "page_links_same_host": (page_links_same_host, PAGE_LINKS), "page_metadata": (page_metadata, PAGE_METADATA),
     "robots_filter": (robots_filter, ROBOTS_FILTER), "robots_sitemaps": (robots_sitemaps, ROBOTS_SITEMAPS), "sitemap_urls": (sitemap_urls, SITEMAP_URLS),
-    "job_candidates": (job_candidates, JOB_CANDIDATES), "capture_plan": (capture_plan, CAPTURE_PLAN),
+    "job_candidates": (job_candidates, JOB_CANDIDATES), "capture_plan": (capture_plan, CAPTURE_PLAN), "links_not_followed": (links_not_followed, NOT_FOLLOWED),
     "garbled_flag": (garbled_flag, GARBLED), "ocr_pages": (ocr_pages, OCR_PAGES), "image_filter": (image_filter, IMAGE_FILTER),
     "doc_text_evidence": (doc_text_evidence, DOC_EVIDENCE), "staged_capture": (staged_capture, STAGED),
 }

@@ -140,10 +140,11 @@ def test_capture_plan(spark):
     probe = spark.createDataFrame([("u1", False, False, 0, None), ("u2", True, False, 0, None), ("u3", True, True, 0, None), ("u4", True, True, 2, "r4"), ("u5", True, True, 2, "r5"), ("u6", True, True, 2, "r6")],
                                   "url string, fetched boolean, has_fields boolean, n_rows int, record_id string")
     got = [(r["url"], r["status"], r["record_id"]) for r in cap.capture_plan(cand, probe, 2).orderBy("ord").collect()]
-    assert got == [("u0", "blocked", None), ("u1", "skipped", None), ("u2", "skipped", None), ("u3", "skipped", None), ("u4", "captured", "r4"), ("u5", "captured", "r5")]
+    assert got == [("u0", "blocked", None), ("u1", "skipped", None), ("u2", "skipped", None), ("u3", "skipped", None), ("u4", "captured", "r4"), ("u5", "captured", "r5"), ("u6", "limit_reached", None), ("u7", "limit_reached", None)]
     probes = spark.createDataFrame([("j", "p", True), ("k", "l", False)], "job string, url string, has_evidence boolean")
     links = spark.createDataFrame([("j", 0, "x"), ("k", 0, "a"), ("k", 1, "b"), ("k", 2, "c")], "job string, seq long, url string")
     assert sorted((r["job"], r["url"]) for r in cap.job_candidates(probes, links, 2).collect()) == [("j", "p"), ("k", "a"), ("k", "b")]
+    assert [tuple(r) for r in cap.links_not_followed(probes, links, 2).collect()] == [("k", 2, "c", "not_followed")]
 
 
 def test_page_source_reads_everything_in_one_row(spark):
@@ -157,3 +158,25 @@ def test_expression_is_evaluated_once(spark):
     from claimloom.functions.binding import let
 
     assert spark.range(1).select(let(F.lit(2), lambda x: x * x + x)).first()[0] == 6
+
+
+def test_quotes_scripts_comments_and_depth(spark):
+    html = ("""<script>var a="<!--";</script><meta property="og:title" content="Home > Tiles"><meta content="see name=description here" name="x">"""
+            """<script type="application/ld+json">{"@type":"Product","name":"a <!-- b --> c"}</script><!-- <script type="application/ld+json">{"@type":"Product","name":"no"}</script> -->"""
+            """<table><tr><td data-x="a>b">Material</td><td>PVC &check;</td></tr></table><a href="/x" title="a > b">l</a><video poster="a>b" src="v.mp4"></video><img alt="x > y" src="g.gif">""")
+    d = page(spark, html, "", None)
+    assert p.jsonld_products(d).first()["name"] == "a <!-- b --> c"
+    meta = p.page_metadata(d).first()["meta"]
+    assert meta["og:title"] == "Home > Tiles" and "meta_description" not in meta
+    assert [(r["key"], r["value"]) for r in p.spec_pairs(d).collect()] == [("Material", "PVC \u2713")]
+    assert [r["media_type"] for r in p.media_refs(d).orderBy("seq").collect()] == ["video", "gif"]
+    deep = page(spark, LD % ("[" * 12 + '{"@type":"Product","name":"n"}' + "]" * 12), "", None)
+    assert p.jsonld_products(deep).count() == 0 and p.jsonld_dead_letters(deep).count() == 1 and p.jsonld_dead_letters(d).count() == 0
+
+
+def test_numbers_too_long_for_a_decimal_stay_text(evaluate):
+    from claimloom.functions import measures
+
+    long = "1" * 40
+    assert evaluate(lambda c: measures.format_value(measures.normalize_value(c)), [f"{long} mm", "25 mm"])[0] == f"{long} mm"
+    assert evaluate(measures.option_list, [f"{long}/2 mm"]) == [None]

@@ -137,16 +137,17 @@ def test_media(spark):
     assert got == {("a.webp", "missing"), ("d.webp", "unreferenced")}
 
 
-def test_sku_wide_keeps_blanks_and_every_image(spark):
+def test_sku_wide_keeps_blanks_and_every_image(spark, tmp_path):
     ev = make_evidence(spark, {"P1": [("Material", "PVC"), ("Color", "Red"), ("Color", "Blue")], "P2": [("Material", "Brass"), ("Length", None, True)], "P3": [("Grade", None, True)]})
     media = spark.createDataFrame([("P1", f"P1_{i}.webp") for i in range(5)] + [("P2", "P2_0.webp")], "record_id string, name string")
-    rows = pub.sku_wide(ev, media).collect()
-    got = {r["record_id"]: (r["Material"], r["Color"], r["images"]) for r in rows}
-    assert got == {"P1": ("PVC", "Red", "; ".join(f"P1_{i}.webp" for i in range(5))), "P2": ("Brass", None, "P2_0.webp"), "P3": (None, None, "")}
+    rows = pub.sku_wide(ev).collect()
+    assert {r["record_id"]: (r["Material"], r["Color"]) for r in rows} == {"P1": ("PVC", "Red"), "P2": ("Brass", None), "P3": (None, None)}
     assert "Length" not in rows[0].asDict()
-    split = pub.sku_wide(ev, media, names_per_row=2).filter("record_id = 'P1'").collect()
-    assert sorted(r["images"] for r in split) == ["P1_0.webp; P1_1.webp", "P1_2.webp; P1_3.webp", "P1_4.webp"]
-    assert sum(r["Material"] is not None for r in split) == 1
+    images = pub.sku_images(media)
+    assert sorted(map(tuple, images.select("record_id", "image_no", "name").collect())) == [*(("P1", i + 1, f"P1_{i}.webp") for i in range(5)), ("P2", 1, "P2_0.webp")]
+    pub.write_sku_csv(pub.sku_wide(ev), str(tmp_path / "csv"), images)
+    written = {r["record_id"]: r["images"] for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
+    assert written["P1"] == "; ".join(f"P1_{i}.webp" for i in range(5)) and written["P2"] == "P2_0.webp"
 
 
 def test_numbering_is_exact_for_a_hot_group(spark):

@@ -161,7 +161,7 @@ def test_template_sheets(spark):
 
 def test_staging_survives_restarts(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
-    schema = "job string, record_id string, seq long, field string, value string"
+    schema = "job string, record_id string, capture long, seq long, field string, value string"
 
     def add(*rows):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(src)
@@ -172,14 +172,17 @@ def test_staging_survives_restarts(spark, tmp_path):
         assert q.exception() is None
 
     assert staging.list_staged(spark, out).count() == 0
-    add(("j", "r1", 0, "a", "1"), ("j", "r1", 1, "b", "2"), ("j", "r2", 0, "a", "3"))
+    add(("j", "r1", 1, 0, "a", "1"), ("j", "r2", 1, 0, "a", "3"))
     run()
+    add(("j", "r1", 1, 1, "b", "2"))  # the same capture goes on in another batch
+    run()
+    assert staging.finalize(spark, out).filter("record_id = 'r1'").count() == 2
     first = sorted(map(tuple, staging.finalize(spark, out).collect()))
     run()  # nothing new: nothing repeated
     assert sorted(map(tuple, staging.finalize(spark, out).collect())) == first == sorted(map(tuple, staging.finalize(spark, out).collect()))
-    add(("j", "r1", 0, "a", "9"), ("j", "r3", 0, "a", "4"))  # r1 captured again, r3 new
+    add(("j", "r1", 2, 0, "a", "9"), ("j", "r3", 1, 0, "a", "4"))  # r1 captured again, r3 new
     run()
-    assert sorted(map(tuple, staging.finalize(spark, out).collect())) == [("j", "r1", 0, "a", "9"), ("j", "r2", 0, "a", "3"), ("j", "r3", 0, "a", "4")]
+    assert sorted(map(tuple, staging.finalize(spark, out).collect())) == [("j", "r1", 2, 0, "a", "9"), ("j", "r2", 1, 0, "a", "3"), ("j", "r3", 1, 0, "a", "4")]
     assert sorted(r["record_id"] for r in staging.list_staged(spark, out).collect()) == ["r1", "r2", "r3"]
     staging._write_batch(out)(spark.read.schema(schema).parquet(src).filter("record_id = 'r2'"), 0)  # a replayed batch replaces itself
     assert staging.finalize(spark, out).filter("record_id = 'r2'").count() == 1

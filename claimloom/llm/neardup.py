@@ -3,7 +3,8 @@
 Documents with one and the same shingle set are one node.  Within a band's bucket every node is first tested against
 the bucket's most central one, so a bucket of n nodes gives n - 1 candidates.  Nodes that this links form components; buckets
 that still hold several components are then searched for links between them.  That search compares signatures inside
-tasks, in blocks of bounded size, and returns only pairs that pass the test, never all pairs.
+tasks, in blocks of bounded size; what passes the test is decided on the sets in the same blocks, and only links that
+join something come back, never all pairs.
 
 The test reads two signatures a batch at a time.  With a uniform prior, the similarity after m equal hashes of n has
 a Beta(m + 1, n - m + 1) distribution; a pair is dropped as soon as the probability that its similarity reaches the
@@ -18,6 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ BATCH = 16
 #: A pair is dropped when the chance that it reaches the threshold is below this.
 MISS = 1e-7
 #: Nodes of one block when a bucket of several components is searched.
-BLOCK = 512
+BLOCK = 256
 
 _HASHES = BANDS * ROWS
 _SEED = ws.mix(np.arange(1, _HASHES + 1, dtype=ws.U64) * ws.U64(0xD6E8FEB86659FD93))
@@ -148,30 +150,74 @@ def _test_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+_CELL = "key long, i int, j int"
+
+
 def _search_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of a cell that no test rules out, as one row: the nodes in them and two lists of their numbers."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, root = table["node"].to_numpy(), table["root"].to_numpy()
         sig = _signatures(table["sig"].combine_chunks())
         bands = _bands(sig)
         band = int(np.flatnonzero((bands == table["key"][0].as_py()).all(axis=0))[0])
-        first, second = table["first"].to_numpy(), table["second"].to_numpy()
-        left, right = (np.flatnonzero(first), np.flatnonzero(second))
-        found_a, found_b = [], []
+        left, right = np.flatnonzero(table["first"].to_numpy()), np.flatnonzero(table["second"].to_numpy())
+        twice = table["first"].to_numpy() & table["second"].to_numpy()
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(0, len(left), 64):
             a, b = np.meshgrid(left[k : k + 64], right, indexing="ij")
             a, b = a.ravel(), b.ravel()
-            apart = (root[a] != root[b]) & (node[a] != node[b])
+            apart = (root[a] != root[b]) & ((node[a] < node[b]) | ~(twice[a] & twice[b]))  # a block with itself has each pair two times
             a, b = a[apart], b[apart]
             # A pair is tested in the first of the buckets that both are in.
             for earlier in range(band):
                 fresh = bands[a, earlier] != bands[b, earlier]
                 a, b = a[fresh], b[fresh]
             kept = _passing(sig, sig, a, b, percent)
-            found_a.append(np.minimum(node[a[kept]], node[b[kept]]))
-            found_b.append(np.maximum(node[a[kept]], node[b[kept]]))
-        a, b = np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            found_a.append(a[kept])
+            found_b.append(b[kept])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if not len(a):
+            return table.slice(0, 0).select(["key", "i", "j"]).append_column("nodes", pa.array([], pa.list_(pa.int64()))).append_column("left", pa.array([], pa.binary())).append_column("right", pa.array([], pa.binary()))
+        used, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        number = number.astype("<u4")
+        return table.slice(0, 1).select(["key", "i", "j"]).append_column("nodes", pa.array([node[used]], pa.list_(pa.int64()))).append_column(
+            "left", pa.array([number[: len(a)].tobytes()], pa.binary())).append_column("right", pa.array([number[len(a) :].tobytes()], pa.binary()))
+
+    return run
+
+
+def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Is the similarity of two sorted sets at least ``percent`` hundredths?"""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links of a cell, decided on full sets; a pair that is joined through others already needs no link of its own."""
+    def run(table: pa.Table) -> pa.Table:
+        pairs = table.filter(pa.compute.is_valid(table["nodes"]))
+        nodes = pairs["nodes"][0].as_py()
+        left, right = (np.frombuffer(pairs[c][0].as_py(), "<u4").tolist() for c in ("left", "right"))
+        sets = {n: np.frombuffer(s, "<u8") for n, s in zip(table["node"].to_pylist(), table["set"].to_pylist()) if s is not None}
+        own, parent, found = [sets[n] for n in nodes], list(range(len(nodes))), []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(left, right):
+            rx, ry = find(x), find(y)
+            if rx != ry and _enough(own[x], own[y], percent):
+                parent[rx] = ry
+                found.append((nodes[x], nodes[y]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
@@ -188,14 +234,7 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("a_set"), batch.column("b_set")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [_enough(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column("a_set"), batch.column("b_set"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -265,8 +304,13 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = 80, i
              .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
              .select("key", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "node", "root",
                      (F.col("_block") <= F.col("_other")).alias("first"), (F.col("_block") >= F.col("_other")).alias("second")))
-    found = cells.join(about.select("node", "sig"), "node").groupBy("key", "i", "j").applyInArrow(_search_cell(percent), _PAIR).distinct()
-    more = cut_lineage(confirmed(cut_lineage(found)))
+    found = cut_lineage(cells.join(about.select("node", "sig"), "node").groupBy("key", "i", "j").applyInArrow(
+        _search_cell(percent), f"{_CELL}, nodes array<long>, left binary, right binary"))
+    # The sets of the nodes in those pairs go to their cells; links come back, at most one less than a cell has nodes.
+    needed = cut_lineage(found.select("key", "i", "j", F.explode("nodes").alias("node")))
+    sets = cut_lineage(sets_of(needed.select("node").distinct()).withColumnRenamed("members", "set"))
+    meet = needed.join(sets, "node").unionByName(found, allowMissingColumns=True)
+    more = cut_lineage(meet.groupBy("key", "i", "j").applyInArrow(_confirm_cell(percent), _PAIR))
     if not more.isEmpty():
         roots = cut_lineage(components(links.unionByName(more)))
 

@@ -64,10 +64,15 @@ def test_mixed_bucket_search_finds_links_that_no_bucket_head_has():
     sig = [neardup.signature(s) for s in sets]
     sig = [np.concatenate([sig[0][: neardup.ROWS], x[neardup.ROWS :]]) for x in sig]  # all meet in the first band
     key = int(neardup._bands(np.stack(sig))[0, 0])
-    table = pa.table({"key": pa.array([key] * 6), "node": pa.array(range(6)), "root": pa.array(range(6)), "sig": pa.array([s.astype("<u4").tobytes() for s in sig]), "first": [True] * 6, "second": [True] * 6})
-    found = set(zip(*neardup._search_cell(80)(table).to_pydict().values()))
+    table = pa.table({"key": pa.array([key] * 6), "i": pa.array([0] * 6, pa.int32()), "j": pa.array([0] * 6, pa.int32()), "node": pa.array(range(6)), "root": pa.array(range(6)), "sig": pa.array([s.astype("<u4").tobytes() for s in sig]), "first": [True] * 6, "second": [True] * 6})
+    cell = neardup._search_cell(80)(table)
+    nodes, left, right = cell["nodes"][0].as_py(), *(np.frombuffer(cell[c][0].as_py(), "<u4") for c in ("left", "right"))
+    found = {(nodes[x], nodes[y]) for x, y in zip(left, right)}
     exact = {(a, b) for a in range(6) for b in range(a + 1, 6) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
     assert exact <= found and len(exact) >= 3
+    meet = pa.concat_tables([cell, pa.table({"node": pa.array(nodes), "set": pa.array([sets[n].astype("<u8").tobytes() for n in nodes], pa.binary())})], promote_options="default")
+    links = neardup._confirm_cell(80)(meet).to_pydict()
+    assert set(zip(links["a"], links["b"])) <= exact and {*links["a"], *links["b"]} == {x for pair in exact for x in pair}
     assert neardup.least_matches(80) == sorted(neardup.least_matches(80))
 
 

@@ -129,7 +129,7 @@ def index_templates(templates: DataFrame, fields: DataFrame, aliases: DataFrame
             .withColumn("known_again", F.lit(True))
         ),
         required=settle(required_writable(fields).groupBy("template_id").agg(F.count("*").alias("n_required"))),
-        leaf_clues=settle(templates.select(F.explode(_clues(F.element_at("category_path", -1))).alias("clue")).distinct()),
+        leaf_clues=settle(templates.select(F.explode(_leaf_clues(F.element_at("category_path", -1))).alias("clue")).distinct()),
     )
 
 
@@ -282,6 +282,12 @@ def _clues(text: Column) -> Column:
     return F.concat(F.array_compact(F.array(size)), words)
 
 
+def _leaf_clues(leaf: Column) -> Column:
+    """What can decide for a template: its leaf's size, and the ASCII words that :func:`tie_clues` gives it."""
+    size = F.concat(F.lit("mm:"), size_mm(leaf).cast("string"))
+    return F.concat(F.array_compact(F.array(size)), F.transform(t.ascii_words(leaf), lambda w: F.concat(F.lit("w:"), w)))
+
+
 def tie_clues(tied: DataFrame, index: TemplateIndex) -> DataFrame:
     """(tier_key, clue, template_id): per distinct tied set, the clues that speak for one of its members.
 

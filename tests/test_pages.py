@@ -180,3 +180,13 @@ def test_numbers_too_long_for_a_decimal_stay_text(evaluate):
     long = "1" * 40
     assert evaluate(lambda c: measures.format_value(measures.normalize_value(c)), [f"{long} mm", "25 mm"])[0] == f"{long} mm"
     assert evaluate(measures.option_list, [f"{long}/2 mm"]) == [None]
+
+
+def test_sitemaps_are_read_only_when_well_formed(spark):
+    from claimloom.sources.sitemaps import sitemap_locations
+
+    good = "<?xml version='1.0'?><urlset xmlns='x'><url><loc>https://a/x?a=1&#38;b=&quot;2&quot;</loc><lastmod/></url><url><loc><![CDATA[https://a/z?p=1&q=<]]></loc></url></urlset>"
+    rows = [("good", good), ("bare", "<urlset><url><loc>https://a/y?a=1&b=2</loc></url></urlset>"), ("cut", "<urlset><url><loc>https://a/y</loc></url>"),
+            ("crossed", "<urlset><url><loc>https://a/y</url></loc></urlset>"), ("none", None)]
+    got = {r["url"]: r["locs"] for r in sitemap_locations(spark.createDataFrame(rows, "url string, xml string")).collect()}
+    assert got == {"good": ['https://a/x?a=1&b="2"', "https://a/z?p=1&q=<"], "bare": [], "cut": [], "crossed": [], "none": []}

@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "learn_rows", "read_table", "shared_folder", "with_row_key"]
+__all__ = ["cut_lineage", "learn_rows", "read_table", "shared_folder", "small_batches", "with_row_key"]
+
+#: Bytes of an Arrow batch: rows here are whole texts and sets, and a batch is held by Spark and by Python.
+BATCH_BYTES = "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, unless it already has smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(filter(str.isdigit, spark.conf.get(key))) or 0) == 64 << 20:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    small_batches(spark)
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return table.select(*columns) if columns else table
 

@@ -119,12 +119,17 @@ def spans(buf: np.ndarray, offs: np.ndarray, word: np.ndarray = BLANK_WORDS) ->
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word: a polynomial in its bytes, then mixed with its length."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
-    up, down = _BYTE_POWERS.get(len(buf))
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[buf] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(_STEP))
+    out = np.empty(len(starts), U64)
+    low = 0
+    while low < len(starts):  # a slice of the bytes at a time, so that sums and powers stay small
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + CHUNK_BYTES, side="right")))
+        first, last = starts[low:high] - starts[low], ends[low:high] - starts[low]
+        up, down = _BYTE_POWERS.get(int(last[-1]))
+        total = np.zeros(int(last[-1]) + 1, U64)
+        np.cumsum(_BYTE[buf[starts[low] : ends[high - 1]]] * up, out=total[1:])
+        out[low:high] = mix((total[last] - total[first]) * down[first] + (last - first).astype(U64) * U64(_STEP))
+        low = high
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

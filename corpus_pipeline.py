@@ -16,7 +16,7 @@ from claimloom.llm.decontaminate import contaminated, find_phrases, span_words
 from claimloom.llm.language import UNKNOWN, identify, learn_filters
 from claimloom.llm.mixing import mix_sources
 from claimloom.llm.neardup import near_duplicates
-from claimloom.llm.tables import cut_lineage, read_table, shared_folder, with_row_key
+from claimloom.llm.tables import cut_lineage, read_table, shared_folder, small_batches, with_row_key
 from claimloom.llm.tokenids import stored_ids
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; texts without a letter go."""
+    small_batches(spark)
     filters = learn_filters(docs)
     return identify(docs, filters, carry=COLUMNS).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
@@ -33,6 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words stay; rows with the same id and text are one document.
     """
+    small_batches(spark)
     gone = cut_lineage(near_duplicates(docs).filter(~F.col("survives")).select("row_key").distinct())
     keyed = with_row_key(docs.select(*COLUMNS), "row_key")
     return keyed.join(gone, "row_key", "left_anti").dropDuplicates(["row_key"]).select(*COLUMNS)
@@ -51,6 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, stored and read back: one row per document."""
+    small_batches(spark)
     return stored_ids(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 

@@ -26,6 +26,7 @@ NUMBER = r"[0-9][0-9.,]*"
 # One pattern for a number, optionally more numbers along other axes, optionally a unit.  Matching rewrites the text
 # to its four groups between marks, so every later step is plain splitting instead of another match.
 _MARK = "\x01"
+# Fixed patterns: a measurement along up to three axes, and a list of options.
 _MEASURE = (
     rf"(?i)^([+-]?{NUMBER})(?:[{WS}]*[x×][{WS}]*({NUMBER})(?:[{WS}]*[x×][{WS}]*({NUMBER}))?)?[{WS}]*({UNIT})?$"
 )

@@ -20,6 +20,7 @@ from ..functions.aliases import alias_table
 from ..functions.measures import single_axis_length, size_mm
 from ..session import cut_lineage, settle
 
+# Thresholds of a match and length of a candidate list.
 MIN_PRECISION = 0.5
 MIN_RECALL = 0.5
 TOP_CANDIDATES = 8

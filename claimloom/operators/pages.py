@@ -12,6 +12,7 @@ from ..functions.text import blank_to_null, strip
 from .image_walk import walk_images
 
 PRODUCT_FIELDS = ("name", "sku", "image", "description", "brand", "price")
+# Summary tags read, least size of a gallery image.
 METADATA_KEYS = ("og:title", "og:description", "og:image", "twitter:image", "meta_description", "title", "h1")
 MIN_GALLERY_PX = 100
 MAX_JSON_DEPTH = 8

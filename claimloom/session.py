@@ -41,6 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders that this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder once and continue from the written copy.
 
@@ -49,6 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,3 +65,12 @@ def settle(df: DataFrame) -> DataFrame:
     where both sides are then plain exchanges that adaptive execution can split when a key is hot.  No hint is given.
     """
     return cut_lineage(df)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes what :func:`cut_lineage` has written in this session; call it when no result of it is needed any more."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

@@ -33,12 +33,11 @@ def evidence_problems(record_id: Column, field: Column, value: Column, source_ur
     quoted = F.concat(F.lit("'"), value, F.lit("'"))
     return F.array_compact(F.array(
         F.when(absent & value.isNotNull(), F.concat(
-            name, F.lit(": marked absence=True but has a non-null value ("), quoted, F.lit(") — contradictory."))),
+            name, F.lit(" is stated as absent but has the value "), quoted)),
         F.when(~absent & value.isNull(), F.concat(
-            name, F.lit(": value is null but absence is not True — a field must be a real sourced value or an "
-                        "explicit confirmed absence, never a silent blank."))),
+            name, F.lit(" has neither a value nor a stated absence"))),
         F.when(~absent & value.isNotNull() & (F.coalesce(source_uri, F.lit("")) == ""), F.concat(
-            name, F.lit(" = "), quoted, F.lit(" has no source_uri — every value must be traceable to where it came from."))),
+            name, F.lit(" = "), quoted, F.lit(" has no source"))),
     ))
 
 

@@ -95,9 +95,9 @@ EVIDENCE_VIOLATIONS = """
 WITH r AS (SELECT 'P' || p_partkey AS id, CASE WHEN p_partkey % 5 <> 1 THEN p_brand END AS v,
   CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 <> 1 THEN 'https://example.com/' END AS s, p_partkey % 3 = 0 AS a FROM part),
 p AS (SELECT id, list_filter([
-  CASE WHEN a AND v IS NOT NULL THEN id || '.Brand: marked absence=True but has a non-null value (''' || v || ''') — contradictory.' END,
-  CASE WHEN NOT a AND v IS NULL THEN id || '.Brand: value is null but absence is not True — a field must be a real sourced value or an explicit confirmed absence, never a silent blank.' END,
-  CASE WHEN NOT a AND v IS NOT NULL AND coalesce(s, '') = '' THEN id || '.Brand = ''' || v || ''' has no source_uri — every value must be traceable to where it came from.' END],
+  CASE WHEN a AND v IS NOT NULL THEN id || '.Brand is stated as absent but has the value ''' || v || '''' END,
+  CASE WHEN NOT a AND v IS NULL THEN id || '.Brand has neither a value nor a stated absence' END,
+  CASE WHEN NOT a AND v IS NOT NULL AND coalesce(s, '') = '' THEN id || '.Brand = ''' || v || ''' has no source' END],
   lambda x: x IS NOT NULL) AS l FROM r)
 SELECT id AS record_id, CAST(len(l) AS INTEGER) AS n, array_to_string(l, '; ') AS problems FROM p WHERE len(l) > 0"""
 

@@ -358,9 +358,9 @@ UNION ALL SELECT {_PACK}, 'datapackage.json is not valid JSON' FROM part WHERE {
 UNION ALL SELECT {_PACK}, 'datapackage.json missing required key: ''product_count''' FROM part WHERE {_READ} AND p_partkey % 6 = 1
 UNION ALL SELECT {_PACK}, 'manifest references missing file: media/a.webp' FROM part WHERE {_READ} AND p_partkey % 2 <> 0
 UNION ALL SELECT {_PACK}, 'checksum mismatch for evidence.jsonl: manifest says ' || substr(sha256('changed'), 1, 12) || '…, actual is ' || substr(sha256({_LINES}), 1, 12) || '…' FROM part WHERE {_READ} AND p_partkey % 7 = 0
-UNION ALL SELECT {_PACK}, 'evidence.jsonl line 1: ' || CASE p_partkey % 5 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'P.Brand = ''x'' has no source_uri — every value must be traceable to where it came from.'
-  WHEN 3 THEN 'P.Brand: value is null but absence is not True — a field must be a real sourced value or an explicit confirmed absence, never a silent blank.'
-  ELSE 'P.Brand: marked absence=True but has a non-null value (''x'') — contradictory.' END FROM part WHERE {_READ} AND p_partkey % 5 <> 2"""
+UNION ALL SELECT {_PACK}, 'evidence.jsonl line 1: ' || CASE p_partkey % 5 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'P.Brand = ''x'' has no source'
+  WHEN 3 THEN 'P.Brand has neither a value nor a stated absence'
+  ELSE 'P.Brand is stated as absent but has the value ''x''' END FROM part WHERE {_READ} AND p_partkey % 5 <> 2"""
 
 
 def audit_summary(spark, sf):

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from claimloom.session import local_session  # noqa: E402
+from claimloom.session import drop_cuts, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, 4)
     yield session
+    drop_cuts(session)
     session.stop()
 
 

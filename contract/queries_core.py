@@ -22,16 +22,23 @@ from . import sql as q
 _MEMO: dict = {}
 
 
-def _once(spark: SparkSession, key: str, make):
-    """Inputs shared by many queries are written once per session."""
-    full = (spark.sparkContext.applicationId, key)
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of what lies in a folder of tables: changed data is another state."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((str(f.getPath().getName()), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def _once(spark: SparkSession, key: str, make, sf: str | None = None):
+    """Inputs shared by many queries are written once per session and state of the tables."""
+    full = (spark.sparkContext.applicationId, key, sf, _state(spark, sf) if sf else None)
     if full not in _MEMO:
         _MEMO[full] = make()
     return _MEMO[full]
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, f"evidence {sf}", lambda: cut_lineage(c.evidence(spark, sf)))
+    return _once(spark, "evidence", lambda: cut_lineage(c.evidence(spark, sf)), sf)
 
 
 def index(spark: SparkSession) -> match.TemplateIndex:
@@ -39,7 +46,7 @@ def index(spark: SparkSession) -> match.TemplateIndex:
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, f"outcomes {sf}", lambda: cut_lineage(match.outcomes(evidence(spark, sf), index(spark))))
+    return _once(spark, "outcomes", lambda: cut_lineage(match.outcomes(evidence(spark, sf), index(spark))), sf)
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,8 +54,8 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, f"population {sf}", lambda: cut_lineage(
-        populate.populate(evidence(spark, sf), matched(spark, sf), index(spark))))
+    return _once(spark, "population", lambda: cut_lineage(
+        populate.populate(evidence(spark, sf), matched(spark, sf), index(spark))), sf)
 
 
 def _join(c_: str):
@@ -289,7 +296,7 @@ SELECT e.record_id, e.seq, e.field AS name, coalesce(r.target, e.field) AS targe
 
 
 def _tiers(spark, sf):
-    return _once(spark, f"tiers {sf}", lambda: cut_lineage(match.top_tier(evidence(spark, sf), index(spark))))
+    return _once(spark, "tiers", lambda: cut_lineage(match.top_tier(evidence(spark, sf), index(spark))), sf)
 
 
 def numeric_tie_break(spark, sf):
@@ -398,11 +405,11 @@ VARIANT_READY = f"{q.VARIANTS} SELECT record_id, CAST(variant_no AS INTEGER) AS
 
 
 def variants(spark, sf):
-    return _once(spark, f"variants {sf}", lambda: cut_lineage(populate.expand_variants(population(spark, sf))))
+    return _once(spark, "variants", lambda: cut_lineage(populate.expand_variants(population(spark, sf))), sf)
 
 
 def cells(spark, sf):
-    return _once(spark, f"cells {sf}", lambda: cut_lineage(publish.cell_values(variants(spark, sf), c.fields(spark))))
+    return _once(spark, "cells", lambda: cut_lineage(publish.cell_values(variants(spark, sf), c.fields(spark))), sf)
 
 
 def parts(spark, sf):

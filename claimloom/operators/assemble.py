@@ -11,6 +11,7 @@ from ..functions.binding import let
 from ..functions.measures import format_value, normalize_value
 from ..session import cut_lineage, settle
 from .classify import MIN_SCORE, suggest
+from .numbering import number_rows
 from .pages import (
     MAX_JSON_DEPTH, PRODUCT_FIELDS, best_metadata, page_summary, product_struct, spec_pair_array,
 )
@@ -61,13 +62,13 @@ def to_evidence(wide: DataFrame, structured: bool = True) -> DataFrame:
     return _explode(wide.select("record_id", "source_uri", rows.alias("rows")))
 
 
-def _explode(df: DataFrame) -> DataFrame:
-    return df.select("record_id", "source_uri", F.posexplode("rows").alias("seq", "r")).select(
-        "record_id", F.col("seq").cast("bigint").alias("seq"), "r.field", "r.value", "source_uri",
+def _explode(df: DataFrame, *carried: str) -> DataFrame:
+    return df.select("record_id", "source_uri", *carried, F.posexplode("rows").alias("seq", "r")).select(
+        *carried, "record_id", F.col("seq").cast("bigint").alias("seq"), "r.field", "r.value", "source_uri",
         F.lit("scrape").alias("method"), "r.confidence", F.lit(False).alias("absence"),
         F.unix_micros(F.current_timestamp()).cast("double").alias("ts_us"),
     ).select(
-        "record_id", "seq", "field", "value", "source_uri", "method", "confidence", "absence",
+        *carried, "record_id", "seq", "field", "value", "source_uri", "method", "confidence", "absence",
         (F.col("ts_us") / 1e6).alias("ts"),
     )
 
@@ -187,8 +188,11 @@ def assemble_evidence(
         brand.select(F.col("doc_id").alias("page_id"), _row(F.lit("Brand"), F.col("brand"), F.lit(VOCABULARY)).alias("b")),
         "page_id", "left",
     )
-    return _explode(
+    found = _explode(
         added.select(
-            "record_id", "source_uri", F.concat("rows", F.array_compact(F.array("s", "b"))).alias("rows")
-        )
+            "page_id", "record_id", "source_uri", F.concat("rows", F.array_compact(F.array("s", "b"))).alias("rows")
+        ), "page_id",
     )
+    # Several pages may state one record; its rows get one order, by page address and place on the page.
+    numbered = number_rows(found, ["record_id"], ["source_uri", "page_id", "seq"])
+    return numbered.withColumn("seq", F.col("row_no") - 1).select(*[c for c in found.columns if c != "page_id"])

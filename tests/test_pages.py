@@ -190,3 +190,14 @@ def test_sitemaps_are_read_only_when_well_formed(spark):
             ("crossed", "<urlset><url><loc>https://a/y</url></loc></urlset>"), ("none", None)]
     got = {r["url"]: r["locs"] for r in sitemap_locations(spark.createDataFrame(rows, "url string, xml string")).collect()}
     assert got == {"good": ['https://a/x?a=1&b="2"', "https://a/z?p=1&q=<"], "bare": [], "cut": [], "crossed": [], "none": []}
+
+
+def test_rows_of_a_record_on_several_pages_have_one_order(spark):
+    from claimloom.operators.assemble import assemble_evidence
+
+    rows = [(i, f"https://a.example/{i}/index.html", LD % ('{"@type":"Product","name":"n%d","description":"d%d"}' % (i, i))) for i in range(4)]
+    templates = spark.createDataFrame([("t1", ["Cat"], "x", "", ["Acme"])], "template_id string, category_path array<string>, naming_convention string, breadcrumb string, brands array<string>")
+    for parts in (1, 3):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = assemble_evidence(pages, templates).orderBy("record_id", "seq").collect()
+        assert [(r["seq"], r["value"]) for r in got if r["field"] in ("name", "description")] == [(2 * i + k, v) for i in range(4) for k, v in enumerate((f"n{i}", f"d{i}"))]

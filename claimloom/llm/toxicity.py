@@ -1,10 +1,11 @@
 """Toxicity by compression distance: how much better a dictionary of toxic text compresses a text's windows.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on what is telling in toxic text (the
-parts of words whose byte 5-grams are in many more toxic documents than ordinary ones).  A window is compressed once
+parts of words whose byte 5-grams occur clearly more often in toxic documents than in ordinary ones).  A window is compressed once
 with the ordinary dictionary and once with both, the toxic one in front; the bytes saved are its score.  How many
-windows save at least 2, 3, ... bytes, and the largest and mean saving, give the document's score through a logistic
-fit on labelled documents.
+windows save at least 2, 3, ... bytes, the largest and mean saving, and how often telling 5-grams occur, each with the
+log of its odds, give the document's score through a logistic fit on labelled documents.  Wording that ordinary texts
+have too, but once where toxic ones repeat it, counts by its repetition.
 
 Dictionaries and fit are learned from a bounded sample of the labelled documents, chosen by a hash of their ids.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -29,8 +30,9 @@ from .tables import cut_lineage
 MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 2000, 6000, 64
 WINDOW_WORDS = 20
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
-#: A 5-gram is telling from this many toxic documents, this share of them and this ratio of document shares on.
-GRAM, LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 5, 5, 0.01, 20.0
+#: A 5-gram is telling from this many toxic documents on if its mean (log of) hits there exceeds twice that of ordinary ones
+#: by this many standard errors.  Below twice, the languages' shares of the two labels would speak, not the wording.
+GRAM, LEAST_DOCUMENTS, TWICE, LEAST_ERRORS = 5, 5, 2.0, 3.0
 #: Calibrated thresholds on the bytes a window saves.
 THRESHOLDS = tuple(range(2, 10))
 
@@ -39,10 +41,15 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Dictionary contents, and mean, scale and weights of the fit; without weights every score is ``prior``."""
+    """Dictionary contents, telling grams (ascending) with their log odds, and mean, scale and weights of the fit.
+
+    Without weights every score is ``prior``.
+    """
 
     ordinary: bytes
     toxic: bytes
+    grams: np.ndarray
+    odds: np.ndarray
     centre: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
@@ -67,10 +74,14 @@ def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompresso
 
 def features(text: str | None, model: Toxicity) -> list[float]:
     plain, both = _compressors(model.ordinary, model.toxic)
-    saved = np.array([len(plain.compress(w)) - len(both.compress(w)) for w in windows(text)])
+    parts = windows(text)
+    saved = np.array([len(plain.compress(w)) - len(both.compress(w)) for w in parts])
+    at = _places(model.grams, _keys(b"".join(parts)))
+    odds = model.odds[at].sum()
     usual = np.percentile(saved, 75) if len(saved) > 3 else np.median(saved)
     return [1.0, saved.max(), saved.max() - usual, np.log(len(saved)), saved.mean(), *(np.log1p((saved >= t).sum()) for t in THRESHOLDS),
-            *(np.log1p((saved >= usual + t).sum()) for t in THRESHOLDS[:6]), *((saved >= t).mean() for t in THRESHOLDS[:5:2])]
+            *(np.log1p((saved >= usual + t).sum()) for t in THRESHOLDS[:6]), *((saved >= t).mean() for t in THRESHOLDS[:5:2]),
+            np.log1p(len(at)), np.log1p(odds), np.log1p(odds / len(saved))]
 
 
 def score(rows: np.ndarray, model: Toxicity) -> np.ndarray:
@@ -79,33 +90,69 @@ def score(rows: np.ndarray, model: Toxicity) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(((rows - model.centre) / model.scale) @ np.array(model.weights), -500, 500)))
 
 
-def _grams(texts: list[bytes]) -> np.ndarray:
-    """Distinct 5-grams of every text, all texts' together: one entry for every document that has the gram."""
-    out = []
+def _keys(text: bytes) -> np.ndarray:
+    """All 5-grams of a text as numbers."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    key = np.zeros(max(0, len(b) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        key = (key << np.uint64(8)) | b[k : len(key) + k]
+    return key
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the keys stand in ``known`` (ascending); keys that it lacks are left out."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at[known[at] == keys]
+
+
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 5-grams of every text, all texts' together, and the log of one more than each one's occurrences there."""
+    found, logs = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for text in texts:
+        keys, count = np.unique(_keys(text), return_counts=True)
+        found.append(keys)
+        logs.append(np.log1p(count))
+    return np.concatenate(found), np.concatenate(logs)
+
+
+def _mean_logs(known: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean over all texts of the log of one more than each known gram's occurrences, and the mean's variance."""
+    total, squares = np.zeros(len(known)), np.zeros(len(known))
+    for k in range(0, len(texts), 500):
+        keys, logs = _grams(texts[k : k + 500])
+        own = np.isin(keys, known)
+        at = np.searchsorted(known, keys[own])
+        total += np.bincount(at, logs[own], len(known))
+        squares += np.bincount(at, logs[own] ** 2, len(known))
+    mean = total / len(texts)
+    return mean, np.maximum(squares / len(texts) - mean**2, 0) / len(texts)
+
+
+def _hits(known: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Occurrences of each known gram in all texts."""
+    hits = np.zeros(len(known), np.int64)
     for text in texts:
-        b = np.frombuffer(text, np.uint8).astype(np.uint64)
-        if len(b) >= GRAM:
-            key = np.zeros(len(b) - GRAM + 1, np.uint64)
-            for k in range(GRAM):
-                key = (key << np.uint64(8)) | b[k : len(b) - GRAM + 1 + k]
-            out.append(np.unique(key))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        hits += np.bincount(_places(known, _keys(text)), minlength=len(known))
+    return hits
+
 
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Telling grams, ascending, and the log odds of one occurrence in a toxic document."""
+    found, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_keys(text)) for text in toxic)]), return_counts=True)
+    found = found[count >= LEAST_DOCUMENTS]
+    if not len(found) or not len(ordinary):
+        return found[:0], np.zeros(0)
+    (mean, error), (usual, usual_error) = _mean_logs(found, toxic), _mean_logs(found, ordinary)
+    found = found[mean - TWICE * usual >= LEAST_ERRORS * np.sqrt(error + TWICE**2 * usual_error)]
+    hits, usual_hits = _hits(found, toxic), _hits(found, ordinary)
+    return found, np.maximum(np.log((hits + 0.5) / (len(toxic) + 1)) - np.log((usual_hits + 0.5) / (len(ordinary) + 1)), 0)
 
-def _telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+
+def _parts(toxic: list[bytes], grams: np.ndarray) -> list[bytes]:
     """Parts of words of toxic documents that span their telling grams."""
-    found, count = np.unique(_grams(toxic), return_counts=True)
-    often = count >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(toxic))
-    found, count = found[often], count[often]
-    if not len(found):
-        return []
-    other = np.zeros(len(found), np.int64)
-    for k in range(0, len(ordinary), 500):
-        own = _grams(ordinary[k : k + 500])
-        at = np.minimum(np.searchsorted(found, own), len(found) - 1)
-        other += np.bincount(at[found[at] == own], minlength=len(found))
-    tell = {int(g).to_bytes(GRAM) for g in found[(count + 0.5) / (len(toxic) + 1) >= LEAST_RATIO * (other + 0.5) / (len(ordinary) + 1)]}
-    out = []
+    tell, out = {int(g).to_bytes(GRAM) for g in grams}, []
     for text in toxic:
         for word in _WORD.findall(text):
             word = b" " + word.strip(b".,;:!?") + b" "
@@ -127,14 +174,15 @@ def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
 def train(toxic: list[tuple[bytes, ...]], ordinary: list[tuple[bytes, ...]]) -> Toxicity:
     """Dictionaries from the windows of toxic and ordinary documents."""
     content = _dictionary([w for d in ordinary for w in d], ORDINARY_BYTES, 64)
-    telling = _telling([b"".join(d) for d in toxic], [b"".join(d) for d in ordinary])
-    return Toxicity(content, _dictionary(telling, TOXIC_BYTES, 32) if telling else b" " * 8)
+    texts = [b"".join(d) for d in toxic]
+    grams, odds = _telling(texts, [b"".join(d) for d in ordinary])
+    return Toxicity(content, _dictionary(_parts(texts, grams), TOXIC_BYTES, 32) if len(grams) else b" " * 8, grams, odds)
 
 
 def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray) -> Toxicity:
     """Logistic weights by Newton steps with a small ridge; the share of toxic rows where only one label is there."""
     if len(rows) == 0 or toxic.min() == toxic.max():
-        return Toxicity(model.ordinary, model.toxic, prior=float(toxic.mean()) if len(rows) else 0.0)
+        return replace(model, prior=float(toxic.mean()) if len(rows) else 0.0)
     centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     centre[0], scale[0] = 0, 1
     x, w = (rows - centre) / scale, np.zeros(rows.shape[1])
@@ -144,7 +192,7 @@ def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray) -> Toxicity:
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Toxicity(model.ordinary, model.toxic, tuple(centre.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
+    return replace(model, centre=tuple(centre.tolist()), scale=tuple(scale.tolist()), weights=tuple(w.tolist()))
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +247,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Toxicity:
     toxic_docs, ordinary_docs = (sorted({tuple(own) for own in groups[toxic]}) for toxic in (True, False))
     model = train(toxic_docs, ordinary_docs)
     rows = _apply(sample, model, ["doc_id", "toxic"], "text", scored=False).orderBy("doc_id").toArrow()
-    return fit(model, np.array(rows["features"].to_pylist(), float).reshape(rows.num_rows, -1), rows["toxic"].to_numpy().astype(float))
+    return fit(model, np.array(rows["features"].to_pylist() or np.zeros((0, 1)), float), rows["toxic"].to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, *, carry: list[str], text_col: str = "text") -> DataFrame:

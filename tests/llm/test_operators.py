@@ -246,3 +246,27 @@ def test_toxicity_held_out(spark, docs, rows, empty):
     nothing = toxicity.learn_toxicity(empty, labels.limit(0))
     assert {r.score for r in toxicity.score_toxicity(docs, nothing, carry=["doc_id"]).collect()} == {0.0}
     assert toxicity.score_toxicity(empty, model, carry=["doc_id"]).count() == 0
+
+
+def test_toxic_wording_is_found_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id", "left_semi")
+    learn = tables.learn_rows(F.col("doc_id"), 3, 1)
+    model = toxicity.learn_toxicity(known.filter(learn), labels.filter(learn))
+    held = toxicity.score_toxicity(known.filter(~learn), model, carry=["doc_id", "lang"]).join(labels, "doc_id").toPandas()
+    recall = {lang: float((own.score >= 0.7).mean()) for lang, own in held[held.toxic == 1].groupby("lang")}
+    precision = held[held.score >= 0.7].toxic.mean()
+    print("recall", recall, "all", (held[held.toxic == 1].score >= 0.7).mean(), "precision", precision, "n", held[held.toxic == 1].groupby("lang").size().to_dict())
+    assert set(recall) == {"en", "de", "fr", "es"} and min(recall.values()) > 0.45 and precision > 0.95
+    assert (held[held.toxic == 1].score >= 0.7).mean() > 0.8
+
+
+def test_repeated_wording_is_telling():
+    """Words that ordinary texts have once and toxic ones repeat, far below twenty times the share of documents."""
+    rng = random.Random(3)
+    text = lambda n: " ".join([*(f"w{rng.randrange(300)}" for _ in range(60)), *["grolmix"] * n]).encode()
+    toxic, ordinary = [text(rng.randrange(3, 6)) for _ in range(60)], [text(k % 4 == 0) for k in range(300)]
+    grams, odds = toxicity._telling(toxic, ordinary)
+    assert int.from_bytes(b"grolm") in grams.tolist() and (odds >= 0).all()
+    assert all(b"w" not in int(g).to_bytes(toxicity.GRAM)[1:4] for g in grams)

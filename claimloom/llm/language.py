@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordspans as ws
@@ -178,7 +178,7 @@ def learn_filters(labelled: DataFrame, *, text_col: str = "text", lang_col: str
     return build_filters(languages, gram[own], code[own])
 
 
-def _predict(text: str, keep: bool, schema: pa.Schema, filters: Callable[[], Filters], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(text: str, keep: bool, fit: bool, schema: pa.Schema, filters: Callable[[], Filters], n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = filters()
         names = np.array([*known.languages, UNKNOWN], dtype=object)
@@ -189,26 +189,28 @@ def _predict(text: str, keep: bool, schema: pa.Schema, filters: Callable[[], Fil
                     hits = known.corrected_hits(hashes, offs)
                     best = hits.argmax(axis=1)
                     most = hits[np.arange(len(hits)), best]
+                    near = most / np.maximum(np.diff(offs), 1)
                     hits[np.arange(len(hits)), best] = 0
                     total = most + hits.max(axis=1)
                     score = np.divide(most, total, out=np.zeros(len(most)), where=total > 0)
                 else:
-                    best, score = np.zeros(len(any_letter), np.int64), np.zeros(len(any_letter))
+                    best, score, near = np.zeros(len(any_letter), np.int64), np.zeros(len(any_letter)), np.zeros(len(any_letter))
                 best = np.where(any_letter & (len(known.languages) > 0), best, len(known.languages))
                 score = np.where(any_letter, score, 0.0)
                 drop = piece.schema.get_field_index(text)
                 columns = [c for i, c in enumerate(piece.columns) if keep or i != drop]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score), *[pa.array(near)] * fit], schema=schema)
 
     return run
 
 
-def identify(docs: DataFrame, filters: Filters, *, carry: list[str], text_col: str = "text", n: int = N) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, *, carry: list[str], text_col: str = "text", n: int = N, fit: bool = False) -> DataFrame:
     """``carry`` and the text's ``lang_pred`` and ``score`` (best language's hits among the best two languages').
 
     A null text and one without a letter are ``und`` with score 0, and so is every text if nothing was learned.  A
     text with letters but without a known n-gram (or shorter than one) gets the first language with score 0.
-    Repeated rows give repeated rows.  Carried columns may be null; their names must not be lang_pred or score.
+    With ``fit``, ``fit`` is the best language's corrected hits per n-gram of the text (0 without one).
+    Repeated rows give repeated rows.  Carried columns may be null; their names must not be lang_pred, score or fit.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -217,5 +219,21 @@ def identify(docs: DataFrame, filters: Filters, *, carry: list[str], text_col: s
     keep = text_col in carry
     text = text_col if keep else "_text"
     rows = docs.select(*carry) if keep else docs.select(*carry, F.col(text_col).alias(text))
-    out = StructType([*rows.select(*carry).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
-    return rows.mapInArrow(_predict(text, keep, to_arrow_schema(out), lambda: shared.value, n), out)
+    out = StructType([*rows.select(*carry).schema.fields, *StructType.fromDDL("lang_pred string, score double" + ", fit double" * fit).fields])
+    return rows.mapInArrow(_predict(text, keep, fit, to_arrow_schema(out), lambda: shared.value, n), out)
+
+
+def least_fits(labelled: DataFrame, filters: Filters, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """The bound on ``fit`` of every language: half of what all but a hundredth of its own labelled documents reach.
+
+    All rows with a language count that get it as their prediction; one number a language comes back.
+    """
+    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), text_col)
+    own = identify(rows, filters, carry=["_lang"], text_col=text_col, fit=True).filter(F.col("_lang") == F.col("lang_pred"))
+    return {r["_lang"]: r["low"] / 2 for r in own.groupBy("_lang").agg(F.percentile_approx("fit", 0.01, 10000).alias("low")).collect()}
+
+
+def fits_language(bounds: dict[str, float]) -> Column:
+    """Does a row of :func:`identify` with ``fit`` have hits, and as many as its language asks for."""
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang_pred")) if bounds else F.lit(0.0)
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("fit") > 0) & (F.col("fit") >= F.coalesce(bound, F.lit(0.0)))

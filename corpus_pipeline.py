@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm.decontaminate import contaminated, find_phrases, span_words
-from claimloom.llm.language import UNKNOWN, identify, learn_filters
+from claimloom.llm.language import fits_language, identify, learn_filters, least_fits
 from claimloom.llm.mixing import mix_sources
 from claimloom.llm.neardup import near_duplicates
 from claimloom.llm.tables import cut_lineage, read_table, shared_folder, small_batches, with_row_key
@@ -23,10 +23,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones; texts without a letter go."""
+    """Documents in one of the languages learned from the labelled ones, with the language found as theirs.
+
+    Texts without a letter or a known n-gram go, and those that fit their best language less than half as well as
+    its labelled documents do.
+    """
     small_batches(spark)
     filters = learn_filters(docs)
-    return identify(docs, filters, carry=COLUMNS).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    found = identify(docs, filters, carry=COLUMNS, fit=True).filter(fits_language(least_fits(docs, filters)))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,20 @@ def test_language_rejects_texts_without_letters(stages):
     assert {r[0] for r in before} - {r[0] for r in after} == {901, 902, 903}
 
 
+def test_language_rejects_other_scripts_and_junk_and_writes_the_language(spark):
+    found = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    known = [tuple(r) for r in found.collect()]
+    german = max((r for r in known if r[2] == "de"), key=lambda r: len(r[1]))
+    extra = [(901, "Это обычный текст на русском языке о погоде", None, "src1", 1), (902, "これは日本語の文章です。天気について", None, "src1", 1),
+             (903, "qxzvkw jjqxz wvvkqz xkcdqj zzxqvw kqjxzv " * 5, None, "src1", 1), (904, "x", None, "src1", 1),
+             (905, german[1], None, "src1", 1), (906, german[1] + " ", "fr", "src1", 1)]
+    out = {r[0]: tuple(r) for r in pipeline.language_id(spark, found.unionByName(spark.createDataFrame(extra[:5], found.schema)), SF).collect()}
+    assert set(out) & {r[0] for r in extra} == {905} and out[905] == (905, german[1], "de", "src1", 1)
+    assert {r[0] for r in known} <= set(out)
+    out = {r[0]: r["lang"] for r in pipeline.language_id(spark, found.filter("doc_id % 2 = 0 OR lang = 'de'").unionByName(spark.createDataFrame(extra[5:], found.schema)), SF).collect()}
+    assert out[906] == "de"
+
+
 def test_one_of_every_group_stays(stages):
     _, before, after, _ = stages[1]
     keep = {r[0] for r, (n, c) in zip(before, brute.near([(r[0], r[1]) for r in before], 5)) if n == 0 or c == r[0]}

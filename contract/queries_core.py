@@ -493,13 +493,17 @@ RUN_REPORT = f"""{q.VARIANTS}, {_PARTS_CTE} SELECT 'outcome' AS section, status
 _MEASURED = sorted({name for *_, fields in c.TEMPLATES for name, kind, *_ in fields if kind == "numeric"})
 
 
-def readback_diff(spark, sf):
-    """Cells against a copy in which some were changed and some are gone."""
+def _readback(spark, sf):
+    """All written cells against a copy in which some were changed and some are gone."""
     out = cells(spark, sf).filter("bucket = 'written'").select("record_id", "variant_no", "name", "cell")
     key = F.substring("record_id", 2, 20).cast("bigint")
     broken = out.filter(key % 17 != 0).withColumn("cell", F.when(key % 23 == 0, F.concat("cell", F.lit("!"))).otherwise(F.col("cell")))
-    # Measured cells are written in the column's unit; their conversion has queries of its own.
-    return publish.verify_sheet(out, broken).filter(~F.col("name").isin(_MEASURED)).select("record_id", "variant_no", "name", "cell", "side", "copies")
+    return publish.verify_sheet(out, broken)
+
+
+def readback_diff(spark, sf):
+    """The differing cells of all columns but the measured ones, which :func:`readback_diff_measured` has."""
+    return _readback(spark, sf).filter(~F.col("name").isin(_MEASURED)).select("record_id", "variant_no", "name", "cell", "side", "copies")
 
 
 READBACK = f"""{_CELLS}, o AS (SELECT record_id, variant_no, name, value AS cell, CAST(substr(record_id, 2) AS BIGINT) AS k FROM cells WHERE bucket = 'written' AND name NOT IN ({', '.join(f"'{n}'" for n in _MEASURED)})),
@@ -509,10 +513,33 @@ d AS (SELECT *, 'missing' AS side FROM (SELECT record_id, variant_no, name, cell
 SELECT record_id, CAST(variant_no AS INTEGER) AS variant_no, name, cell, side, CAST(count(*) AS BIGINT) AS copies FROM d GROUP BY ALL"""
 
 
-def write_failures(spark, sf):
+def readback_diff_measured(spark, sf):
+    """The differing cells of measured columns: written in the column's unit, compared as numbers."""
+    d = _readback(spark, sf).filter(F.col("name").isin(_MEASURED))
+    return d.select("record_id", "variant_no", "name", F.round(F.regexp_replace("cell", "!$", "").cast("double"), 4).alias("number"),
+                    F.col("cell").endswith("!").cast("int").alias("changed"), "side", "copies")
+
+
+READBACK_MEASURED = f"""{_CELLS}, o AS (SELECT record_id, variant_no, name, round(num, 4) AS number, 0 AS changed, CAST(substr(record_id, 2) AS BIGINT) AS k FROM cells WHERE bucket = 'written' AND name IN ({', '.join(f"'{n}'" for n in _MEASURED)})),
+b AS (SELECT record_id, variant_no, name, number, CASE WHEN k % 23 = 0 THEN 1 ELSE 0 END AS changed FROM o WHERE k % 17 <> 0),
+d AS (SELECT *, 'missing' AS side FROM (SELECT record_id, variant_no, name, number, changed FROM o EXCEPT ALL SELECT * FROM b) UNION ALL
+      SELECT *, 'unexpected' FROM (SELECT * FROM b EXCEPT ALL SELECT record_id, variant_no, name, number, changed FROM o))
+SELECT record_id, CAST(variant_no AS INTEGER) AS variant_no, name, number, CAST(changed AS INTEGER) AS changed, side, CAST(count(*) AS BIGINT) AS copies FROM d GROUP BY ALL"""
+
+
+def _failures(spark, sf, diff):
     p = parts(spark, sf).select("template_id", "record_id", "variant_no", "category_slug", "part")
-    bad = readback_diff(spark, sf).join(p, ["record_id", "variant_no"])
-    return publish.write_failures(bad)
+    return publish.write_failures(diff.join(p, ["record_id", "variant_no"]))
+
+
+def write_failures_all(spark, sf):
+    """Mismatches of every column, measured ones too."""
+    return _failures(spark, sf, _readback(spark, sf))
+
+
+def write_failures(spark, sf):
+    """Mismatches of the columns of :func:`readback_diff`."""
+    return _failures(spark, sf, readback_diff(spark, sf))
 
 
 WRITE_FAILURES = READBACK.replace("SELECT record_id, CAST(variant_no AS INTEGER) AS variant_no, name, cell, side, CAST(count(*) AS BIGINT) AS copies FROM d GROUP BY ALL", "").rstrip() + f""",
@@ -521,6 +548,9 @@ SELECT trim(regexp_replace(replace(p.path, ' > ', '_'), '[^A-Za-z0-9]+', '_', 'g
   'read-back differs from what was written' AS error FROM d JOIN parts p USING (record_id, variant_no) GROUP BY 1, 2"""
 
 
+WRITE_FAILURES_ALL = WRITE_FAILURES.replace(f""" AND name NOT IN ({', '.join(f"'{n}'" for n in _MEASURED)})""", "")
+
+
 def _fields() -> list[str]:
     """Every field name that the evidence of the given tables can hold."""
     return sorted(set(re.findall(r"THEN '([^']+)'", c.FIELD)) | set(re.findall(r"ELSE '([^']+)'", c.FIELD)))
@@ -602,7 +632,7 @@ QUERIES = {
     "record_readiness": (record_readiness, READINESS), "variant_axis": (variant_axis, VARIANT_AXIS),
     "variant_rows": (variant_rows, VARIANT_ROWS), "variant_readiness": (variant_readiness, VARIANT_READY),
     "cell_buckets": (cell_buckets, CELL_BUCKETS), "fill_stats": (fill_stats, FILL_STATS), "sheet_parts": (sheet_parts, SHEET_PARTS),
-    "order_sheets": (order_sheets, ORDER_SHEETS), "run_report": (run_report, RUN_REPORT), "readback_diff": (readback_diff, READBACK),
-    "write_failures": (write_failures, WRITE_FAILURES), "sku_wide": (sku_wide, SKU_WIDE), "sku_images": (sku_images, SKU_IMAGES), "media_reconcile": (media_reconcile, MEDIA_RECONCILE),
+    "order_sheets": (order_sheets, ORDER_SHEETS), "run_report": (run_report, RUN_REPORT), "readback_diff": (readback_diff, READBACK), "readback_diff_measured": (readback_diff_measured, READBACK_MEASURED),
+    "write_failures": (write_failures, WRITE_FAILURES), "write_failures_all": (write_failures_all, WRITE_FAILURES_ALL), "sku_wide": (sku_wide, SKU_WIDE), "sku_images": (sku_images, SKU_IMAGES), "media_reconcile": (media_reconcile, MEDIA_RECONCILE),
     "media_by_record": (media_by_record, MEDIA_BY_RECORD),
 }

@@ -27,6 +27,18 @@ def test_query_equals_sql(spark, con, name):
     assert ok, note
 
 
+def test_readback_compares_every_cell(spark):
+    """The two queries together hold what a comparison in plain Python finds, measured columns included."""
+    written = [tuple(r) for r in queries_core.cells(spark, SF).filter("bucket = 'written'").select("record_id", "variant_no", "name", "cell").collect()]
+    want = {(*r, "missing") for r in written if int(r[0][1:]) % 17 == 0 or int(r[0][1:]) % 23 == 0}
+    want |= {(*r[:3], r[3] + "!", "unexpected") for r in written if int(r[0][1:]) % 17 and int(r[0][1:]) % 23 == 0}
+    measured = queries_core.readback_diff_measured(spark, SF).count()
+    assert measured == sum(r[2] in queries_core._MEASURED for r in want) > 0
+    assert measured + queries_core.readback_diff(spark, SF).count() == len(want)
+    assert sum(r["mismatches"] for r in queries_core.write_failures_all(spark, SF).collect()) == len(want)
+    print("cells", len(want), "measured", measured, "write_failures", sum(r["mismatches"] for r in queries_core.write_failures(spark, SF).collect()))
+
+
 def test_entry_has_one_outcome_per_record(spark):
     df = entry.entry(spark)
     assert df.count() == df.select("record_id").distinct().count() == 200

@@ -7,7 +7,8 @@ windows save at least 2, 3, ... bytes, the largest and mean saving, and how ofte
 log of its odds, give the document's score through a logistic fit on labelled documents.  Wording that ordinary texts
 have too, but once where toxic ones repeat it, counts by its repetition.
 
-Dictionaries and fit are learned from a bounded sample of the labelled documents, chosen by a hash of their ids.
+Dictionaries and fit are learned from a bounded sample of the labelled documents, chosen by a hash of their ids; the
+fit's intercept is that of all labelled documents.
 """
 
 from __future__ import annotations
@@ -179,8 +180,16 @@ def train(toxic: list[tuple[bytes, ...]], ordinary: list[tuple[bytes, ...]]) ->
     return Toxicity(content, _dictionary(_parts(texts, grams), TOXIC_BYTES, 32) if len(grams) else b" " * 8, grams, odds)
 
 
-def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray) -> Toxicity:
-    """Logistic weights by Newton steps with a small ridge; the share of toxic rows where only one label is there."""
+def sample_shift(n_toxic: int, n_ordinary: int) -> float:
+    """What the sample's caps take off the log odds of the toxic label, given the documents of each label."""
+    return float(np.log(max(1, n_toxic / MAX_TOXIC)) - np.log(max(1, n_ordinary / MAX_ORDINARY)))
+
+
+def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray, shift: float = 0.0) -> Toxicity:
+    """Logistic weights by Newton steps with a small ridge; the share of toxic rows where only one label is there.
+
+    ``shift`` corrects the intercept to the share of toxic documents among all that the rows were sampled from.
+    """
     if len(rows) == 0 or toxic.min() == toxic.max():
         return replace(model, prior=float(toxic.mean()) if len(rows) else 0.0)
     centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
@@ -192,6 +201,7 @@ def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray) -> Toxicity:
         w -= step
         if np.abs(step).max() < 1e-6:
             break
+    w[0] += shift
     return replace(model, centre=tuple(centre.tolist()), scale=tuple(scale.tolist()), weights=tuple(w.tolist()))
 
 
@@ -238,6 +248,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Toxicity:
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     pick = known.filter("toxic").orderBy(order).limit(MAX_TOXIC).unionByName(known.filter("NOT toxic").orderBy(order).limit(MAX_ORDINARY))
+    labelled = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = cut_lineage(docs.select("doc_id", "text").join(cut_lineage(pick), "doc_id"))
     parts = sample.select("toxic", "text").mapInArrow(_sample_windows, "toxic boolean, windows array<binary>").toArrow()
     groups: dict[bool, list] = {True: [], False: []}
@@ -247,7 +258,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Toxicity:
     toxic_docs, ordinary_docs = (sorted({tuple(own) for own in groups[toxic]}) for toxic in (True, False))
     model = train(toxic_docs, ordinary_docs)
     rows = _apply(sample, model, ["doc_id", "toxic"], "text", scored=False).orderBy("doc_id").toArrow()
-    return fit(model, np.array(rows["features"].to_pylist() or np.zeros((0, 1)), float), rows["toxic"].to_numpy().astype(float))
+    return fit(model, np.array(rows["features"].to_pylist() or np.zeros((0, 1)), float), rows["toxic"].to_numpy().astype(float),
+               sample_shift(labelled.get(True, 0), labelled.get(False, 0)))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, *, carry: list[str], text_col: str = "text") -> DataFrame:

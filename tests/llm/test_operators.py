@@ -270,3 +270,20 @@ def test_repeated_wording_is_telling():
     grams, odds = toxicity._telling(toxic, ordinary)
     assert int.from_bytes(b"grolm") in grams.tolist() and (odds >= 0).all()
     assert all(b"w" not in int(g).to_bytes(toxicity.GRAM)[1:4] for g in grams)
+
+
+def test_toxic_scores_do_not_move_with_the_size_of_the_input(monkeypatch):
+    """A sample cut by both caps gives the scores that all rows give."""
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 1000)
+    monkeypatch.setattr(toxicity, "MAX_ORDINARY", 3000)
+    rng, nothing = np.random.default_rng(2), toxicity.Toxicity(b"", b"", np.zeros(0, np.uint64), np.zeros(0))
+    toxic = np.repeat([1.0, 0.0], [4400, 35600])
+    rows = np.stack([np.ones(len(toxic)), rng.normal(1.5 * toxic)], axis=1)
+    cut = np.r_[0:1000, 4400:7400]
+    whole = toxicity.fit(nothing, rows, toxic, toxicity.sample_shift(1000, 3000))
+    part = toxicity.fit(nothing, rows[cut], toxic[cut], toxicity.sample_shift(4400, 35600))
+    uncorrected = toxicity.fit(nothing, rows[cut], toxic[cut])
+    at = np.array([[1.0, x] for x in (0.0, 1.0, 2.0, 3.0)])
+    a, b, c = (toxicity.score(at, m) for m in (whole, part, uncorrected))
+    print("whole", a, "corrected", b, "uncorrected", c)
+    assert np.abs(a - b).max() < 0.06 < np.abs(a - c).max()

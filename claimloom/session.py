@@ -45,17 +45,22 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the table to the shared folder once and continue from the written copy.
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder; :func:`drop_cuts` deletes what is written there."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
+    """Write the table to the shared folder once, in folders by the columns ``by``, and continue from the written copy.
 
     Used where a costly result feeds several branches, or where row placement must not change on a retry.  The copy
     is columnar: later steps read only the columns they need, and a lost executor recomputes nothing before it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def drop_cuts(spark: SparkSession) -> int:
-    """Deletes what :func:`cut_lineage` has written in this session; call it when no result of it is needed any more."""
+    """Deletes what was written under :func:`scratch_path` names; call it when no result of it is needed any more."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

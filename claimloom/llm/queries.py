@@ -12,6 +12,7 @@ from . import oracles
 from .decontaminate import contaminated, find_phrases, span_words
 from .language import identify, learn_filters
 from .licenses import scan_licenses
+from .linededup import drop_repeated_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import quality_rules
@@ -78,6 +79,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 ALL: dict[str, tuple[Query, str | None]] = {
     "op1_mix_sources": (op1_mix_sources, oracles.MIX_SOURCES),
     "op2_toxicity": (op2_toxicity, None),
@@ -89,4 +95,5 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op13_line_dedup": (op13_line_dedup, oracles.LINE_DEDUP),
 }

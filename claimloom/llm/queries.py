@@ -15,6 +15,7 @@ from .licenses import scan_licenses
 from .linededup import drop_repeated_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .prefixtrie import conversation_turns, prefix_trie, with_shared_heads
 from .quality import quality_rules
 from .tables import learn_rows, read_table
 from .tokencounts import count_tokens
@@ -79,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(conversation_turns(read_table(spark, sf_dir, "conversations"))))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -95,5 +100,6 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op12_prefix_trie": (op12_prefix_trie, oracles.PREFIX_TRIE),
     "op13_line_dedup": (op13_line_dedup, oracles.LINE_DEDUP),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import contaminated, find_phrases, span_words
+from .dualtree import ranked_search
 from .language import identify, learn_filters
 from .licenses import scan_licenses
 from .linededup import drop_repeated_lines
@@ -80,6 +81,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_shared_heads(conversation_turns(read_table(spark, sf_dir, "conversations"))))
 
@@ -100,6 +105,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "op8_language_id": (op8_language_id, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_ranked_search": (op11_ranked_search, oracles.RANKED_SEARCH),
     "op12_prefix_trie": (op12_prefix_trie, oracles.PREFIX_TRIE),
     "op13_line_dedup": (op13_line_dedup, oracles.LINE_DEDUP),
 }

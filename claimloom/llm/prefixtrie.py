@@ -47,6 +47,7 @@ def with_shared_heads(own: DataFrame, *, every: int = 100, most: int = 6) -> Dat
     """Every conversation c begins with the first h turns of conversation c - c % ``every``, h = crc32(c as text) % ``most``.
 
     Its own turns after its first h follow, if any.  A head that does not exist is empty, a shorter one is taken whole.
+    The remainder of a negative id is negative, as in SQL.
     """
     head = own.filter(F.col("conv_id") % every == 0).select(F.col("conv_id").alias("_base"), *(F.slice(c, 1, most).alias(f"_{c}") for c in ("turns", "chars")))
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -87,3 +88,75 @@ def quality(text):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+ASCII_TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=10):
+    """[(item id, rank, doc id, score)] of lists of (id, text)."""
+    held = [(d, collections.Counter(ASCII_TERMS.findall(low(t)))) for d, t in docs]
+    held = [(d, c, sum(c.values())) for d, c in held if c]
+    n_docs, length = len(held), sum(n for _, _, n in held)
+    df = collections.Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        asked = collections.Counter(ASCII_TERMS.findall(low(text)))
+        scored = []
+        for doc, c, n in held:
+            m = 100 - 75 + 75 * n * n_docs // length
+            score = sum(times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, times in asked.items() if t in c)
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, r + 1, s[3], -s[0]) for r, s in enumerate(sorted(scored, key=lambda s: s[:3])[:k])]
+    return out
+
+
+def rebuilt(rows):
+    """{conversation: [(role, text)]} of (conv_id, turn, role, text), with shared heads."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[c].append((role or "", text or ""))
+    h = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
+    return {c: own.get(c - int(math.fmod(c, 100)), [])[: h[c]] + turns[h[c] :] for c, turns in own.items()}
+
+
+def trie(sequences):
+    """Rows of all nodes of {conversation: turns}."""
+    members = collections.defaultdict(list)
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    kids = collections.defaultdict(list)
+    for node in members:
+        if node:
+            kids[node[:-1]].append(node)
+
+    def under(node):
+        yield node
+        for child in kids[node]:
+            yield from under(child)
+
+    out = []
+    for node, who in members.items():
+        ends = sorted(c for c in who if len(sequences[c]) == len(node))
+        below = list(under(node))
+        out.append((min(who), len(node), min(members[node[:-1]]) if node else None, len(who), len(kids[node]), sum(not kids[x] for x in below),
+                    sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return out
+
+
+def lines(docs, min_chars=20, min_docs=3):
+    """[(id, lines, dropped, text)] of a list of (id, text)."""
+    keys = [[low(x.strip(" \t\n\v\f\r")) for x in (t or "").split("\n")] for _, t in docs]
+    holders = collections.defaultdict(list)
+    for (doc, _), own in zip(docs, keys):
+        for key in set(own):
+            if len(key) >= min_chars:
+                holders[key].append(-1 if doc is None else doc)
+    gone = {key: max(who) for key, who in holders.items() if len(who) >= min_docs}
+    out = []
+    for (doc, text), own in zip(docs, keys):
+        drop = [key in gone and (-1 if doc is None else doc) < gone[key] for key in own]
+        out.append((doc, len(own), sum(drop), "\n".join(x for x, d in zip((text or "").split("\n"), drop) if not d)))
+    return out

@@ -33,14 +33,18 @@ def match_vocabulary(
     """
     lowered = F.transform(vocabulary, F.lower) if lowered is None else lowered
     terms = F.transform(vocabulary, padded) if vocabulary_padded is None else vocabulary_padded
-    none = F.array().cast("array<string>")
+    found = let(F.struct(lowered.alias("lowered"), terms.alias("padded")), lambda known: _ladder(value, vocabulary, known["lowered"], known["padded"]))
+    empty = t.is_blank(value) | (F.coalesce(F.size(vocabulary), F.lit(0)) <= 0)
+    return F.when(empty, _level(F.lit(None), "no_match", 0.0)).otherwise(found)
+
+
+def _level(term: Column, method: str, confidence: float, words: Column | None = None) -> Column:
+    words = F.array().cast("array<string>") if words is None else words
+    return F.struct(
+        term.cast("string").alias("term"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), words.alias("terms"))
 
-    def level(term: Column, method: str, confidence: float, words: Column = none) -> Column:
-        return F.struct(
-            term.cast("string").alias("term"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
-            words.alias("terms"),
-        )
 
+def _ladder(value: Column, vocabulary: Column, lowered: Column, terms: Column) -> Column:
     def hits(haystack: Column, needle: Column) -> Column:
         return F.size(haystack) - F.size(F.array_remove(haystack, needle))
 
@@ -51,17 +55,17 @@ def match_vocabulary(
         words = _words_in(b["padded"], vocabulary, terms)
         contained = let(
             words,
-            lambda w: F.when(F.size(w) == 1, level(w[0], "whole_word_containment", WHOLE_WORD))
-            .when(F.size(w) > 1, level(F.lit(None), "whole_word_containment_ambiguous", 0.0, w))
-            .otherwise(level(F.lit(None), "no_match", 0.0)),
+            lambda w: F.when(F.size(w) == 1, _level(w[0], "whole_word_containment", WHOLE_WORD))
+            .when(F.size(w) > 1, _level(F.lit(None), "whole_word_containment_ambiguous", 0.0, w))
+            .otherwise(_level(F.lit(None), "no_match", 0.0)),
         )
-        unclear = lambda method: level(F.lit(None), f"{method}_ambiguous", 0.0, words)
+        unclear = lambda method: _level(F.lit(None), f"{method}_ambiguous", 0.0, words)
         return (
-            F.when(b["exact"] == 1, level(value, "exact", EXACT))
+            F.when(b["exact"] == 1, _level(value, "exact", EXACT))
             .when(b["exact"] > 1, unclear("exact"))
-            .when(b["lower"] == 1, level(at(lowered, F.lower(value)), "case_insensitive", CASE_INSENSITIVE))
+            .when(b["lower"] == 1, _level(at(lowered, F.lower(value)), "case_insensitive", CASE_INSENSITIVE))
             .when(b["lower"] > 1, unclear("case_insensitive"))
-            .when(b["norm"] == 1, level(at(terms, b["padded"]), "normalized", NORMALIZED))
+            .when(b["norm"] == 1, _level(at(terms, b["padded"]), "normalized", NORMALIZED))
             .when(b["norm"] > 1, unclear("normalized"))
             .otherwise(contained)
         )
@@ -73,8 +77,7 @@ def match_vocabulary(
             F.when(p == "  ", 0).otherwise(hits(terms, p)).alias("norm"),
         ),
     )
-    empty = t.is_blank(value) | (F.coalesce(F.size(vocabulary), F.lit(0)) <= 0)
-    return F.when(empty, level(F.lit(None), "no_match", 0.0)).otherwise(let(counted, ladder))
+    return let(counted, ladder)
 
 
 def field_values(evidence: DataFrame, matched: DataFrame, index: TemplateIndex) -> DataFrame:

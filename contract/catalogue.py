@@ -171,11 +171,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, narrow: DataFrame, key: str) -> DataFrame:
+    """Rows of a given file dealt to all cores before more is made of them: such a file is one row group."""
+    return narrow.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
-        F.explode(F.sequence(F.lit(1), F.lit(EVIDENCE_STEPS))).alias("k"),
-    )
+    rows = spread(spark, read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "p_partkey").withColumn(
+        "k", F.explode(F.sequence(F.lit(1), F.lit(EVIDENCE_STEPS))))
     stated = rows.select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"), F.col("k").cast("bigint").alias("seq"),
         F.expr(FIELD).alias("field"), F.expr(VALUE).alias("value"), F.expr(ABSENCE).alias("absence"), "p_partkey",

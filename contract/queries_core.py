@@ -321,14 +321,14 @@ FORCED = f"WITH {c.EVIDENCE_CTE} SELECT DISTINCT record_id, 'matched' AS status,
 
 
 def _vocab_rows(spark, sf):
-    f = index(spark).fields.filter("type = 'dropdown'").select("template_id", "name", "vocabulary")
+    f = index(spark).fields.filter("type = 'dropdown'").select("template_id", "name", "vocabulary", "vocabulary_lower", "vocabulary_padded")
     return evidence(spark, sf).filter("value IS NOT NULL").select(
         "record_id", "seq", "value", t.canonical(F.col("field")).alias("canon")
     ).join(f.withColumn("canon", t.canonical(F.col("name"))), "canon")
 
 
 def dropdown_ladder(spark, sf):
-    m = populate.match_vocabulary(F.col("value"), F.col("vocabulary"))
+    m = populate.match_vocabulary(*map(F.col, ("value", "vocabulary", "vocabulary_lower", "vocabulary_padded")))
     return _vocab_rows(spark, sf).withColumn("m", m).select(
         "record_id", "seq", "template_id", "name", F.coalesce("m.term", F.lit("")).alias("term"), "m.method", "m.confidence")
 
@@ -343,7 +343,7 @@ SELECT record_id, seq, template_id, name, coalesce({q.LADDER_TERM}, '') AS term,
 
 def whole_word_terms(spark, sf):
     return _vocab_rows(spark, sf).select(
-        "record_id", "seq", "template_id", "name", F.array_join(populate.whole_word_terms(F.col("value"), F.col("vocabulary")), "|").alias("terms"))
+        "record_id", "seq", "template_id", "name", F.array_join(populate.whole_word_terms(F.col("value"), F.col("vocabulary"), F.col("vocabulary_padded")), "|").alias("terms"))
 
 
 WHOLE_WORD = DROPDOWN.split("l2 AS")[0].rstrip().rstrip(",") + " SELECT record_id, seq, template_id, name, array_to_string(words, '|') AS terms FROM l"

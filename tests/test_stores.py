@@ -26,7 +26,7 @@ def test_evidence_rule(spark):
     assert sorted(r["record_id"] for r in good.collect()) == ["TIL-1", "TIL-2"]
     assert {r["record_id"]: len(r["problems"]) for r in bad.collect()} == {"A": 1, "B": 1, "C": 1, "D": 1}
     assert ev.validated(evidence(spark, *GOOD)).count() == 2
-    with pytest.raises(Exception, match="has no source_uri"):
+    with pytest.raises(Exception, match="has no source"):
         ev.validated(evidence(spark, *BAD[:1])).count()
 
 
@@ -61,7 +61,7 @@ def test_packs(spark):
     assert set(got) == {"tampered", "rule", "gone", "lost"}
     assert got["tampered"][0].startswith("checksum mismatch for evidence.jsonl") and got["gone"] == ["missing required file(s): datapackage.json"]
     assert got["lost"] == ["manifest references missing file: media/x.webp"]
-    assert sorted(got["rule"])[0].startswith("evidence.jsonl line 1: r.f = 'v' has no source_uri") and sorted(got["rule"])[1] == "evidence.jsonl line 2: invalid JSON"
+    assert sorted(got["rule"])[0].startswith("evidence.jsonl line 1: r.f = 'v' has no source") and sorted(got["rule"])[1] == "evidence.jsonl line 2: invalid JSON"
     summary = {r["pack"]: r["ok"] for r in audit.audit_summary(parts, errors).collect()}
     assert summary["good"] and not summary["rule"]
     made = {(r["pack"], r["path"]): r["sha256"] for r in audit.manifest(parts).collect()}

@@ -1,14 +1,17 @@
-"""Toxicity by compression distance: how much better a dictionary of toxic text compresses a text's windows.
+"""Toxicity by compression distance: how much shorter windows of a text get when toxic text may be copied from too.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on what is telling in toxic text (the
-parts of words whose byte 5-grams occur clearly more often in toxic documents than in ordinary ones).  A window is compressed once
-with the ordinary dictionary and once with both, the toxic one in front; the bytes saved are its score.  How many
-windows save at least 2, 3, ... bytes, the largest and mean saving, and how often telling 5-grams occur, each with the
-log of its odds, give the document's score through a logistic fit on labelled documents.  Wording that ordinary texts
-have too, but once where toxic ones repeat it, counts by its repetition.
+Two zstandard dictionaries are trained on whole windows of labelled texts: one on ordinary documents, one on toxic
+ones.  A window is compressed once with the ordinary dictionary and once with both; the bytes saved say how toxic its
+wording is.  Windows are written word by word as a ladder of beginnings ("tr tra tras trash"), so that a stem that
+only toxic texts have costs several copies of it, whatever ending it has.
 
-Dictionaries and fit are learned from a bounded sample of the labelled documents, chosen by a hash of their ids; the
-fit's intercept is that of all labelled documents.
+A document's score comes from its windows' compressed lengths alone: a logistic fit over the largest, mean and median
+saving, the number and share of windows that save at least so many bytes, and the lengths' sums.  The fit sees every
+labelled document through dictionaries that it did not teach (cross-fitting in ``FOLDS`` parts), so that what
+dictionaries know by heart does not pass for what they generalise; its intercept is that of all labelled documents.
+
+Dictionaries and fit are learned from a bounded sample of the labelled documents, chosen by a hash of their ids; of
+each one the whole text teaches.
 """
 
 from __future__ import annotations
@@ -27,39 +30,50 @@ from pyspark.sql import functions as F
 from . import wordspans as ws
 from .tables import cut_lineage
 
-#: The bound of the sample: documents of each label, and windows of each document for the dictionaries.
-MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 2000, 6000, 64
-WINDOW_WORDS = 20
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
-#: A 5-gram is telling from this many toxic documents on if its mean (log of) hits there exceeds twice that of ordinary ones
-#: by this many standard errors.  Below twice, the languages' shares of the two labels would speak, not the wording.
-GRAM, LEAST_DOCUMENTS, TWICE, LEAST_ERRORS = 5, 5, 2.0, 3.0
-#: Calibrated thresholds on the bytes a window saves.
-THRESHOLDS = tuple(range(2, 10))
+#: The bound of the sample: documents of each label.
+MAX_TOXIC, MAX_ORDINARY = 1000, 3000
+#: Parts of the sample; each is measured with dictionaries that the others taught.
+FOLDS = 3
+# Chosen by cross-validation among the documents to learn from.
+WINDOW_WORDS = 16
+ORDINARY_BYTES, TOXIC_BYTES = 24576, 4096
+BEGINNINGS = range(2, 7)
+#: Calibrated thresholds on the bytes a window saves: for numbers of windows and for shares of them.
+NUMBERS, SHARES = (0, 2, 4, 6, 8, 10, 14), (-4, -2, 0, 2, 4, 6)
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Dictionary contents, telling grams (ascending) with their log odds, and mean, scale and weights of the fit.
-
-    Without weights every score is ``prior``.
-    """
+    """Dictionary contents, and mean, scale and weights of the fit.  Without weights every score is ``prior``."""
 
     ordinary: bytes
     toxic: bytes
-    grams: np.ndarray
-    odds: np.ndarray
     centre: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     prior: float = 0.0
 
 
+class _Ladders(dict):
+    """Beginnings of words; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        plain = word.strip(".,;:!?#")
+        ends = range(min(BEGINNINGS[0], len(plain)), min(BEGINNINGS[-1], len(plain)) + 1)
+        self[word] = found = " ".join(plain[:i] for i in ends).encode(errors="replace")
+        return found
+
+
+_LADDERS = _Ladders()
+
+
 def windows(text: str | None) -> list[bytes]:
-    """Runs of ``WINDOW_WORDS`` words, lower-cased, with single spaces; a text without words is one empty window."""
-    words = _WORD.findall((text or "").lower().encode(errors="replace"))
+    """Runs of ``WINDOW_WORDS`` words, lower-cased, as ladders; a text without words is one empty window."""
+    words = [_LADDERS[w] for w in _WORD.findall((text or "").lower())]
     return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)] or [b" "]
 
 
@@ -67,22 +81,25 @@ def windows(text: str | None) -> list[bytes]:
 def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
     out = []
     for content in (ordinary, toxic + ordinary):
-        params = zstandard.ZstdCompressionParameters(compression_level=3, strategy=zstandard.STRATEGY_BTOPT, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters(compression_level=3, strategy=zstandard.STRATEGY_LAZY2, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         out.append(zstandard.ZstdCompressor(dict_data=data, compression_params=params))
     return out[0], out[1]
 
 
-def features(text: str | None, model: Toxicity) -> list[float]:
+def lengths(text: str | None, model: Toxicity) -> np.ndarray:
+    """(bytes, compressed with the ordinary dictionary, compressed with both) of every window."""
     plain, both = _compressors(model.ordinary, model.toxic)
-    parts = windows(text)
-    saved = np.array([len(plain.compress(w)) - len(both.compress(w)) for w in parts])
-    at = _places(model.grams, _keys(b"".join(parts)))
-    odds = model.odds[at].sum()
-    usual = np.percentile(saved, 75) if len(saved) > 3 else np.median(saved)
-    return [1.0, saved.max(), saved.max() - usual, np.log(len(saved)), saved.mean(), *(np.log1p((saved >= t).sum()) for t in THRESHOLDS),
-            *(np.log1p((saved >= usual + t).sum()) for t in THRESHOLDS[:6]), *((saved >= t).mean() for t in THRESHOLDS[:5:2]),
-            np.log1p(len(at)), np.log1p(odds), np.log1p(odds / len(saved))]
+    return np.array([(len(w), len(plain.compress(w)), len(both.compress(w))) for w in windows(text)], float)
+
+
+def features(text: str | None, model: Toxicity) -> list[float]:
+    size, plain, both = lengths(text, model).T
+    saved = np.sort(plain - both)[::-1]
+    n = len(saved)
+    return [1.0, np.log(n), np.log(size.sum() + 1), saved[0], saved[min(1, n - 1)], saved[min(3, n - 1)], saved.mean(), np.median(saved), saved[: max(1, n // 4)].mean(),
+            saved[0] - np.median(saved), saved.std(), *(np.log1p((saved >= t).sum()) for t in NUMBERS), *((saved >= t).mean() for t in SHARES),
+            saved.sum() / plain.sum(), np.log(plain.sum() / size.sum()), saved.sum() / np.sqrt(size.sum())]
 
 
 def score(rows: np.ndarray, model: Toxicity) -> np.ndarray:
@@ -91,93 +108,19 @@ def score(rows: np.ndarray, model: Toxicity) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(((rows - model.centre) / model.scale) @ np.array(model.weights), -500, 500)))
 
 
-def _keys(text: bytes) -> np.ndarray:
-    """All 5-grams of a text as numbers."""
-    b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    key = np.zeros(max(0, len(b) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        key = (key << np.uint64(8)) | b[k : len(key) + k]
-    return key
-
-
-def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where the keys stand in ``known`` (ascending); keys that it lacks are left out."""
-    if not len(known):
-        return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return at[known[at] == keys]
-
-
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 5-grams of every text, all texts' together, and the log of one more than each one's occurrences there."""
-    found, logs = [np.zeros(0, np.uint64)], [np.zeros(0)]
-    for text in texts:
-        keys, count = np.unique(_keys(text), return_counts=True)
-        found.append(keys)
-        logs.append(np.log1p(count))
-    return np.concatenate(found), np.concatenate(logs)
-
-
-def _mean_logs(known: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean over all texts of the log of one more than each known gram's occurrences, and the mean's variance."""
-    total, squares = np.zeros(len(known)), np.zeros(len(known))
-    for k in range(0, len(texts), 500):
-        keys, logs = _grams(texts[k : k + 500])
-        own = np.isin(keys, known)
-        at = np.searchsorted(known, keys[own])
-        total += np.bincount(at, logs[own], len(known))
-        squares += np.bincount(at, logs[own] ** 2, len(known))
-    mean = total / len(texts)
-    return mean, np.maximum(squares / len(texts) - mean**2, 0) / len(texts)
-
-
-def _hits(known: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Occurrences of each known gram in all texts."""
-    hits = np.zeros(len(known), np.int64)
-    for text in texts:
-        hits += np.bincount(_places(known, _keys(text)), minlength=len(known))
-    return hits
-
-
-def _telling(toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Telling grams, ascending, and the log odds of one occurrence in a toxic document."""
-    found, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_keys(text)) for text in toxic)]), return_counts=True)
-    found = found[count >= LEAST_DOCUMENTS]
-    if not len(found) or not len(ordinary):
-        return found[:0], np.zeros(0)
-    (mean, error), (usual, usual_error) = _mean_logs(found, toxic), _mean_logs(found, ordinary)
-    found = found[mean - TWICE * usual >= LEAST_ERRORS * np.sqrt(error + TWICE**2 * usual_error)]
-    hits, usual_hits = _hits(found, toxic), _hits(found, ordinary)
-    return found, np.maximum(np.log((hits + 0.5) / (len(toxic) + 1)) - np.log((usual_hits + 0.5) / (len(ordinary) + 1)), 0)
-
-
-def _parts(toxic: list[bytes], grams: np.ndarray) -> list[bytes]:
-    """Parts of words of toxic documents that span their telling grams."""
-    tell, out = {int(g).to_bytes(GRAM) for g in grams}, []
-    for text in toxic:
-        for word in _WORD.findall(text):
-            word = b" " + word.strip(b".,;:!?") + b" "
-            at = [i for i in range(len(word) - GRAM + 1) if word[i : i + GRAM] in tell]
-            if at:
-                out.append(word[at[0] : at[-1] + GRAM])
-    return out
-
-
-def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the samples themselves where there are too few to train on."""
     total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(size, samples * max(1, min(50, 100_000 // max(1, total))), k=k, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples * max(1, min(50, 100_000 // max(1, total))), k=64 if size == ORDINARY_BYTES else 32, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(dict.fromkeys(samples))[-size:] or b" " * 8
 
 
-def train(toxic: list[tuple[bytes, ...]], ordinary: list[tuple[bytes, ...]]) -> Toxicity:
-    """Dictionaries from the windows of toxic and ordinary documents."""
-    content = _dictionary([w for d in ordinary for w in d], ORDINARY_BYTES, 64)
-    texts = [b"".join(d) for d in toxic]
-    grams, odds = _telling(texts, [b"".join(d) for d in ordinary])
-    return Toxicity(content, _dictionary(_parts(texts, grams), TOXIC_BYTES, 32) if len(grams) else b" " * 8, grams, odds)
+def train(toxic: list[str], ordinary: list[str]) -> Toxicity:
+    """Dictionaries from the windows of toxic and ordinary texts; copies of a text teach once, and order does not matter."""
+    parts = [[w for text in sorted(set(texts)) for w in windows(text)] for texts in (ordinary, toxic)]
+    return Toxicity(_dictionary(parts[0], ORDINARY_BYTES), _dictionary(parts[1], TOXIC_BYTES))
 
 
 def sample_shift(n_toxic: int, n_ordinary: int) -> float:
@@ -186,7 +129,7 @@ def sample_shift(n_toxic: int, n_ordinary: int) -> float:
 
 
 def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray, shift: float = 0.0) -> Toxicity:
-    """Logistic weights by Newton steps with a small ridge; the share of toxic rows where only one label is there.
+    """Logistic weights by Newton steps with a ridge; the share of toxic rows where only one label is there.
 
     ``shift`` corrects the intercept to the share of toxic documents among all that the rows were sampled from.
     """
@@ -194,10 +137,11 @@ def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray, shift: float = 0.0
         return replace(model, prior=float(toxic.mean()) if len(rows) else 0.0)
     centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     centre[0], scale[0] = 0, 1
-    x, w = (rows - centre) / scale, np.zeros(rows.shape[1])
+    x, w, ridge = (rows - centre) / scale, np.zeros(rows.shape[1]), np.eye(rows.shape[1])
+    ridge[0, 0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (p - toxic) + 0.01 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - toxic) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -205,38 +149,35 @@ def fit(model: Toxicity, rows: np.ndarray, toxic: np.ndarray, shift: float = 0.0
     return replace(model, centre=tuple(centre.tolist()), scale=tuple(scale.tolist()), weights=tuple(w.tolist()))
 
 
-def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to MAX_WINDOWS windows of every document, chosen by hash over the whole text."""
-    for batch in batches:
-        chosen = []
-        for text in batch.column("text").to_pylist():
-            all_ = windows(text)
-            if len(all_) > MAX_WINDOWS:
-                order = sorted(range(len(all_)), key=lambda i: (i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)[:MAX_WINDOWS]
-                all_ = [all_[i] for i in sorted(order)]
-            chosen.append(all_)
-        yield pa.record_batch([batch.column("toxic"), pa.array(chosen, pa.list_(pa.binary()))], names=["toxic", "windows"])
+def _train_group(table: pa.Table) -> pa.Table:
+    """Dictionaries of one model from the documents that teach it: a part of the bounded sample."""
+    groups: dict[bool, list[str]] = {True: [], False: []}
+    for toxic, text in zip(table["toxic"].to_pylist(), table["text"].to_pylist()):
+        groups[toxic].append(text or "")
+    model = train(groups[True], groups[False])
+    return pa.table({"model": table["model"].slice(0, 1).combine_chunks(), "ordinary": pa.array([model.ordinary], pa.binary()), "toxic": pa.array([model.toxic], pa.binary())})
 
 
-def _featured(model: Callable[[], Toxicity], n: int, schema: pa.Schema, scored: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _featured(models: Callable[[], list[Toxicity]], n: int, schema: pa.Schema, scored: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model()
+        known = models()
         for batch in batches:
             for piece in ws.chunks(batch, "_text"):
-                rows = np.array([features(t, own) for t in piece.column("_text").to_pylist()])
-                last = pa.array(score(rows, own)) if scored else pa.array(list(rows), pa.list_(pa.float64()))
+                rows = np.array([features(t, known[m]) for t, m in zip(piece.column("_text").to_pylist(), piece.column("_model").to_pylist())])
+                last = pa.array(score(rows, known[0])) if scored else pa.array(list(rows), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n], last], schema=schema)
 
     return run
 
 
-def _apply(docs: DataFrame, model: Toxicity, carry: list[str], text_col: str, scored: bool) -> DataFrame:
+def _apply(docs: DataFrame, models: list[Toxicity], carry: list[str], text_col: str, scored: bool, model_col=None) -> DataFrame:
+    """``carry`` and the score, or the features by the model that ``model_col`` names."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carry, F.col(text_col).alias("_text"))
-    out = StructType([*rows.drop("_text").schema.fields, *StructType.fromDDL("score double" if scored else "features array<double>").fields])
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    rows = docs.select(*carry, F.col(text_col).alias("_text"), (F.lit(0) if model_col is None else model_col).alias("_model"))
+    out = StructType([*rows.drop("_text", "_model").schema.fields, *StructType.fromDDL("score double" if scored else "features array<double>").fields])
     return rows.mapInArrow(_featured(lambda: shared.value, len(carry), to_arrow_schema(out), scored), out)
 
 
@@ -249,16 +190,16 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Toxicity:
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     pick = known.filter("toxic").orderBy(order).limit(MAX_TOXIC).unionByName(known.filter("NOT toxic").orderBy(order).limit(MAX_ORDINARY))
     labelled = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = cut_lineage(docs.select("doc_id", "text").join(cut_lineage(pick), "doc_id"))
-    parts = sample.select("toxic", "text").mapInArrow(_sample_windows, "toxic boolean, windows array<binary>").toArrow()
-    groups: dict[bool, list] = {True: [], False: []}
-    for toxic, own in zip(parts["toxic"].to_pylist(), parts["windows"].to_pylist()):
-        groups[toxic].append(own)
-    # Copies teach once, and the order in which tasks finish must not matter.
-    toxic_docs, ordinary_docs = (sorted({tuple(own) for own in groups[toxic]}) for toxic in (True, False))
-    model = train(toxic_docs, ordinary_docs)
-    rows = _apply(sample, model, ["doc_id", "toxic"], "text", scored=False).orderBy("doc_id").toArrow()
-    return fit(model, np.array(rows["features"].to_pylist() or np.zeros((0, 1)), float), rows["toxic"].to_numpy().astype(float),
+    fold = (F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")) % FOLDS).cast("int")
+    sample = cut_lineage(docs.select("doc_id", "text").join(cut_lineage(pick), "doc_id").withColumn("fold", fold))
+    # A document teaches the final model (0) and those of the other parts (1 and up).
+    taught = sample.withColumn("model", F.explode(F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: m != F.col("fold") + 1)))
+    found = taught.select("model", "toxic", "text").groupBy("model").applyInArrow(_train_group, "model int, ordinary binary, toxic binary").collect()
+    models = [Toxicity(b"", b"")] * (FOLDS + 1)
+    for r in found:
+        models[r["model"]] = Toxicity(bytes(r["ordinary"]), bytes(r["toxic"]))
+    rows = _apply(sample, models, ["doc_id", "toxic"], "text", False, F.col("fold") + 1).orderBy("doc_id", "features").toArrow()
+    return fit(models[0], np.array(rows["features"].to_pylist() or np.zeros((0, 1)), float), rows["toxic"].to_numpy().astype(float),
                sample_shift(labelled.get(True, 0), labelled.get(False, 0)))
 
 
@@ -268,4 +209,4 @@ def score_toxicity(docs: DataFrame, model: Toxicity, *, carry: list[str], text_c
     If nothing was learned the score is the learned share of toxic documents (0 without any).  Rows keep their
     partitions; repeated rows give repeated rows.
     """
-    return _apply(docs, model, carry, text_col, scored=True)
+    return _apply(docs, [model], carry, text_col, True)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, decontaminate, fmindex, language, licenses, mixing, neardup, oracles, quality, queries, rangecoder, tables, tokencounts, tokenids, toxicity, windows
@@ -232,29 +233,28 @@ def test_language_held_out(spark, docs, rows, empty):
     assert language.identify(docs, language.learn_filters(empty), carry=["doc_id"]).filter("lang_pred != 'und'").count() == 0
 
 
-def test_toxicity_held_out(spark, docs, rows, empty):
+@pytest.fixture(scope="module")
+def toxic_model(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     known = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id", "left_semi")
     learn = tables.learn_rows(F.col("doc_id"), 3, 1)
     model = toxicity.learn_toxicity(known.filter(learn), labels.filter(learn))
-    held = toxicity.score_toxicity(known.filter(~learn), model, carry=["doc_id"]).join(labels, "doc_id").toPandas()
-    caught, flagged = held[held.toxic == 1].score >= 0.7, held[held.score >= 0.7].toxic
+    return model, toxicity.score_toxicity(known.filter(~learn), model, carry=["doc_id", "lang"]).join(labels, "doc_id").toPandas()
+
+
+def test_toxicity_held_out(spark, docs, rows, empty, toxic_model):
+    model, held = toxic_model
     above = (held[held.toxic == 1].score.to_numpy()[:, None] > held[held.toxic == 0].score.to_numpy()).mean()
-    assert caught.mean() > 0.4 and flagged.mean() > 0.8 and above > 0.7  # few documents to learn from here
+    assert above > 0.9
     assert toxicity.score_toxicity(docs, model, carry=["doc_id"]).count() == len(rows)
-    nothing = toxicity.learn_toxicity(empty, labels.limit(0))
+    nothing = toxicity.learn_toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score_toxicity(docs, nothing, carry=["doc_id"]).collect()} == {0.0}
     assert toxicity.score_toxicity(empty, model, carry=["doc_id"]).count() == 0
 
 
-def test_toxic_wording_is_found_in_every_language(spark):
-    sf = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    known = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id", "left_semi")
-    learn = tables.learn_rows(F.col("doc_id"), 3, 1)
-    model = toxicity.learn_toxicity(known.filter(learn), labels.filter(learn))
-    held = toxicity.score_toxicity(known.filter(~learn), model, carry=["doc_id", "lang"]).join(labels, "doc_id").toPandas()
+def test_toxic_wording_is_found_in_every_language(toxic_model):
+    held = toxic_model[1]
     recall = {lang: float((own.score >= 0.7).mean()) for lang, own in held[held.toxic == 1].groupby("lang")}
     precision = held[held.score >= 0.7].toxic.mean()
     print("recall", recall, "all", (held[held.toxic == 1].score >= 0.7).mean(), "precision", precision, "n", held[held.toxic == 1].groupby("lang").size().to_dict())
@@ -262,21 +262,37 @@ def test_toxic_wording_is_found_in_every_language(spark):
     assert (held[held.toxic == 1].score >= 0.7).mean() > 0.8
 
 
-def test_repeated_wording_is_telling():
-    """Words that ordinary texts have once and toxic ones repeat, far below twenty times the share of documents."""
+def test_scores_come_from_compressed_lengths_alone(monkeypatch):
+    """A stem that only toxic texts have is found by what it saves; without the toxic dictionary nothing is left of it."""
     rng = random.Random(3)
-    text = lambda n: " ".join([*(f"w{rng.randrange(300)}" for _ in range(60)), *["grolmix"] * n]).encode()
-    toxic, ordinary = [text(rng.randrange(3, 6)) for _ in range(60)], [text(k % 4 == 0) for k in range(300)]
-    grams, odds = toxicity._telling(toxic, ordinary)
-    assert int.from_bytes(b"grolm") in grams.tolist() and (odds >= 0).all()
-    assert all(b"w" not in int(g).to_bytes(toxicity.GRAM)[1:4] for g in grams)
+    text = lambda n: " ".join([*(f"w{rng.randrange(300)}" for _ in range(60)), *(f"grolmix{rng.choice('abcdef')}" for _ in range(n))])
+    toxic, ordinary = [text(rng.randrange(3, 6)) for _ in range(60)], [text(0) for _ in range(300)]
+    model = toxicity.train(toxic[:40], ordinary[:200])
+    for own in (*toxic[40:44], "", None, "x " * 50_000):
+        plain, both = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(
+            compression_level=3, strategy=zstandard.STRATEGY_LAZY2, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)) for c in (model.ordinary, model.toxic + model.ordinary))
+        want = [(len(w), len(plain.compress(w)), len(both.compress(w))) for w in toxicity.windows(own)]
+        assert toxicity.lengths(own, model).tolist() == [list(map(float, w)) for w in want]
+    saved = lambda t, m: np.subtract(*toxicity.lengths(t, m).T[1:]).max()
+    assert min(saved(t, model) for t in toxic[40:]) > np.mean([saved(t, model) for t in ordinary[200:]])
+    blank = toxicity.Toxicity(model.ordinary, b"")
+    assert all(saved(t, blank) == 0 for t in toxic[40:])
+    # The same lengths are the same features, whatever the words were.
+    monkeypatch.setattr(toxicity, "lengths", lambda t, m: np.array([[90.0, 40.0, 37.0], [80.0, 50.0, 50.0]]))
+    assert toxicity.features("one text", model) == toxicity.features("another", blank)
+
+
+def test_ladders_keep_whole_texts():
+    toxicity._LADDERS.clear()
+    assert toxicity.windows("Trash, a ") == [b" tr tra tras trash a "] and toxicity.windows(None) == toxicity.windows(" \n") == [b" "]
+    assert len(toxicity.windows("word " * 16_001)) == 1001
 
 
 def test_toxic_scores_do_not_move_with_the_size_of_the_input(monkeypatch):
     """A sample cut by both caps gives the scores that all rows give."""
     monkeypatch.setattr(toxicity, "MAX_TOXIC", 1000)
     monkeypatch.setattr(toxicity, "MAX_ORDINARY", 3000)
-    rng, nothing = np.random.default_rng(2), toxicity.Toxicity(b"", b"", np.zeros(0, np.uint64), np.zeros(0))
+    rng, nothing = np.random.default_rng(2), toxicity.Toxicity(b"", b"")
     toxic = np.repeat([1.0, 0.0], [4400, 35600])
     rows = np.stack([np.ones(len(toxic)), rng.normal(1.5 * toxic)], axis=1)
     cut = np.r_[0:1000, 4400:7400]

@@ -24,7 +24,7 @@ WINDOW = 13
 #: Bytes of test texts in one block: the bound of what is collected and broadcast at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes of training text under one index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _HITS = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
 

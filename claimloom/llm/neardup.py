@@ -156,6 +156,7 @@ _CELL = "key long, i int, j int"
 def _search_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
     """The pairs of a cell that no test rules out, as one row: the nodes in them and two lists of their numbers."""
     def run(table: pa.Table) -> pa.Table:
+        ws.give_back()  # of the cell before
         table = table.combine_chunks()
         node, root = table["node"].to_numpy(), table["root"].to_numpy()
         sig = _signatures(table["sig"].combine_chunks())
@@ -200,6 +201,7 @@ def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _confirm_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Links of a cell, decided on full sets; a pair that is joined through others already needs no link of its own."""
     def run(table: pa.Table) -> pa.Table:
+        ws.give_back()
         pairs = table.filter(pa.compute.is_valid(table["nodes"]))
         nodes = pairs["nodes"][0].as_py()
         left, right = (np.frombuffer(pairs[c][0].as_py(), "<u4").tolist() for c in ("left", "right"))

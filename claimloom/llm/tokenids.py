@@ -8,7 +8,6 @@ the file; nothing else is needed to read it.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from . import rangecoder
 from . import wordspans as ws
 from .pieces import NUMBER, OTHER, SPACE, char_bytes, classes, code_points, contractions, tokenizer, unique_slices
-from .tables import cut_lineage, shared_folder
+from .tables import cut_lineage, scratch_path
 
 END_ID = 1
 #: Bytes of text in a segment.
@@ -123,17 +122,19 @@ def _segments(path: str, end_id: int, vocabulary: int, schema: pa.Schema) -> Cal
                 if size >= SEGMENT_BYTES:
                     yield row(part, segment, held)
                     segment, held, size = segment + 1, [], 0
+                    ws.give_back()
         if held:
             yield row(part, segment, held)
 
     return run
 
 
-def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, out: str, *, by_id: bool = True, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the token ids of every text, each text closed by ``end_id``, in ascending order of the documents' ids.
 
     A null text counts as empty.  Documents without an id come first; documents that share an id are ordered by a
-    hash of their text, so equal rows are the only ties and their order cannot be seen.
+    hash of their text, so equal rows are the only ties and their order cannot be seen.  Without ``by_id`` rows stay
+    in the order and the partitions they come in, for input that is already in the order wanted.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -141,7 +142,8 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID, id_
     vocabulary = max(tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_tie"))
     schema = StructType.fromDDL(_SEGMENT.format(id=rows.schema["_id"].dataType.simpleString()))
-    ordered = rows.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").select("_id", "_text")
+    ordered = rows.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie") if by_id else rows
+    ordered = ordered.select("_id", "_text")
     ordered.mapInArrow(_segments(path, end_id, vocabulary, to_arrow_schema(schema)), schema).write.option("compression", "none").parquet(out)
 
 
@@ -160,6 +162,7 @@ def _read(vocabulary: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBat
                     pa.array(np.repeat(one.column("part").to_numpy(), n)), pa.array(np.repeat(one.column("segment").to_numpy(), n)), own("doc_ids"),
                     pa.array(offs[:-1]), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(raw[a:b].tobytes()) for a, b in zip(offs, offs[1:])], pa.int64()),
                     pa.array([raw[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], schema=schema)
+            ws.give_back()
 
     return run
 
@@ -187,6 +190,6 @@ def read_ids(spark: SparkSession, path: str, stored: str) -> DataFrame:
 def stored_ids(docs: DataFrame, path: str, **options) -> DataFrame:
     """Writes the ids to a new folder of the shared space and reads them back.  An empty table gives an empty one."""
     spark = docs.sparkSession
-    out = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "ids")
     write_ids(docs, path, out, **options)
     return read_ids(spark, path, out)

@@ -108,6 +108,7 @@ def _answer(bits: int) -> Callable[[pa.Table], pa.Table]:
     size = (64 - bits + 7) // 8
 
     def run(table: pa.Table) -> pa.Table:
+        ws.give_back()  # of the bucket before
         single = [_unpack(x, size) for x in table["hashes"].to_pylist()]
         many = [_unpack(x, size) for x in table["repeated"].to_pylist()]
         ordered = np.sort(np.concatenate([*single, *many, *many]))
@@ -138,6 +139,7 @@ def _texts(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def _cut(text: str, width: int, arrow_out: pa.Schema) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        ws.give_back()
         packed = [x for x in table["texts"].to_pylist() if x is not None]
         if len(packed) != 1:
             raise RuntimeError(f"chunk {table['chunk'][0]} came {len(packed)} times: the table was split in another way when it was read again")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,24 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
     cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    give_back()
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns free memory to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and numpy have freed: a Python worker outlives its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
 
 
 def spans(buf: np.ndarray, offs: np.ndarray, word: np.ndarray = BLANK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,8 +6,6 @@ columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +14,9 @@ from claimloom.llm.decontaminate import contaminated, find_phrases, span_words
 from claimloom.llm.language import fits_language, identify, learn_filters, least_fits
 from claimloom.llm.mixing import mix_sources
 from claimloom.llm.neardup import near_duplicates
-from claimloom.llm.tables import cut_lineage, read_table, shared_folder, small_batches, with_row_key
+from claimloom.llm.tables import cut_lineage, read_table, scratch_path, small_batches, with_row_key
 from claimloom.llm.tokenids import stored_ids
+from claimloom.session import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,9 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words stay; rows with the same id and text are one document.
     """
     small_batches(spark)
-    gone = cut_lineage(near_duplicates(docs).filter(~F.col("survives")).select("row_key").distinct())
-    keyed = with_row_key(docs.select(*COLUMNS), "row_key")
-    return keyed.join(gone, "row_key", "left_anti").dropDuplicates(["row_key"]).select(*COLUMNS)
+    judged = cut_lineage(near_duplicates(docs).select("row_key", "survives"))
+    gone = judged.filter(~F.col("survives")).select("row_key").distinct()
+    # Rows that are there several times are few; only their texts are compared row by row.
+    several = settle(judged.filter("survives").groupBy("row_key").count().filter("count > 1").select("row_key"))
+    stays = with_row_key(docs.select(*COLUMNS), "row_key").join(gone, "row_key", "left_anti")
+    once, more = stays.join(several, "row_key", "left_anti"), stays.join(several, "row_key", "left_semi")
+    return once.unionByName(more.dropDuplicates(["row_key"])).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +60,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, stored and read back: one row per document."""
+    """Token ids of all documents, stored in the mixed order they come in and read back: one row per document."""
     small_batches(spark)
-    return stored_ids(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return stored_ids(docs, public_tokenizers.path("word_bpe_49k.json"), by_id=False).drop("ids")
 
 
 STAGES = [("language id", language_id), ("near dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mixing), ("token ids", token_ids)]
@@ -74,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+            path = scratch_path(spark, "stage")
             docs.write.parquet(path)
             docs = spark.read.schema(docs.schema).parquet(path)
     return docs

@@ -111,24 +111,19 @@ def sheet_parts(rows: DataFrame, templates: DataFrame, base: str = "products") -
         F.when(F.col("n") > F.col("row_limit"), F.concat(F.lit("_part"), F.col("part").cast("string"))).otherwise(""),
     )
     return placed.join(settle(totals), "template_id").select(
-        "template_id", "category_slug", "part", name.alias("sheet"), "record_id", "variant_no", "row_no"
+        "template_id", "category_slug", "part", name.alias("sheet"), "record_id", "variant_no", "row_no",
+        (F.col("row_no") - (F.col("part") - 1) * F.col("row_limit") - 1).alias("sheet_row"),
     )
 
 
 def sheet_cells(cells: DataFrame, parts: DataFrame) -> DataFrame:
     """Written cells with the sheet and row they belong to."""
     return cells.filter("bucket = 'written'").join(
-        parts.select("record_id", "variant_no", "template_id", "category_slug", "part", "sheet", "row_no"),
+        parts.select("record_id", "variant_no", "template_id", "category_slug", "part", "sheet", "row_no", "sheet_row"),
         ["record_id", "variant_no", "template_id"],
     )
 
 
-def write_sheets(cells: DataFrame, path: str) -> None:
-    """One folder per category and part, long-form cells inside."""
-    placed = cells.repartition("category_slug", "part")
-    placed.write.mode("overwrite").partitionBy("category_slug", "part").parquet(path)
-
-
 def verify_sheet(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows present on one side only, with the side; duplicates count."""
     names = expected.columns
@@ -156,8 +151,9 @@ def _all(conditions):
 
 
 def write_failures(mismatches: DataFrame) -> DataFrame:
-    """One row per failed (category, part); the other parts stand."""
-    return mismatches.groupBy("category_slug", "part").agg(
+    """One row per failed (category, part), per template where that is given; the other parts stand."""
+    by = [c for c in ("template_id", "category_slug", "part") if c in mismatches.columns]
+    return mismatches.groupBy(*by).agg(
         F.count("*").alias("mismatches"), F.lit("read-back differs from what was written").alias("error")
     )
 

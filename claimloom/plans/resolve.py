@@ -10,9 +10,10 @@ from ..operators.assemble import assemble_evidence
 from ..operators.documents import doc_evidence, usable_images
 from ..operators.match import TemplateIndex, force_category, index_templates, outcomes
 from ..operators.populate import expand_variants, populate, readiness
-from ..operators.publish import cell_values, sheet_cells, sheet_parts, verify_sheet, write_failures, write_sheets
+from ..operators.publish import cell_values, sheet_cells, sheet_parts, write_failures
 from ..session import cut_lineage
 from ..sources.evidence import validated
+from ..sources.workbooks import check_workbooks, sheet_workbooks, stored_workbooks, write_workbooks
 
 
 def evidence_from_pages(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -55,11 +56,14 @@ def resolve(
 def publish(
     population: DataFrame, templates: DataFrame, fields: DataFrame, path: str, base: str = "products"
 ) -> DataFrame:
-    """Write sheets, read them back, and return the failed parts (normally none)."""
+    """Write sheets as whole workbooks, read them back, and return the failed parts (normally none).
+
+    A workbook holds its template (header, sections, dropdowns, lookups, instructions) and its rows of products; both
+    are compared with what was meant.
+    """
     cells = cell_values(population, fields)
-    parts = sheet_parts(cells.select("template_id", "record_id", "variant_no").distinct(), templates, base)
-    written = cut_lineage(sheet_cells(cells, parts).select("category_slug", "part", "sheet", "row_no", "name", "cell"))
-    write_sheets(written, path)
-    # The stated schema keeps folder names from being guessed into numbers.
-    back = written.sparkSession.read.schema(written.schema).parquet(path).select(*written.columns)
-    return write_failures(verify_sheet(written, back))
+    parts = cut_lineage(sheet_parts(cells.select("template_id", "record_id", "variant_no").distinct(), templates, base))
+    written = cut_lineage(sheet_cells(cells, parts))
+    books = sheet_workbooks(written, parts, templates, fields)
+    write_workbooks(*books, parts, path)
+    return write_failures(check_workbooks(written, fields, parts, stored_workbooks(population.sparkSession, path, books)))

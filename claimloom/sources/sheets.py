@@ -41,7 +41,10 @@ def column_letter(n: Column) -> Column:
 
 def header_rows(cells: DataFrame, scan: int = HEADER_SCAN) -> DataFrame:
     """(template_id, header_row): the row with most labels among the first rows; one label or none is no header."""
-    counts = _sheet(cells, "Template").filter(F.col("row") <= scan).groupBy("template_id", "row").agg(F.count("*").alias("n"))
+    labels = _sheet(cells, "Template")
+    if "kind" in cells.columns:  # a number is no label
+        labels = labels.filter(F.coalesce("kind", F.lit("text")) == "text")
+    counts = labels.filter(F.col("row") <= scan).groupBy("template_id", "row").agg(F.count("*").alias("n"))
     best = counts.groupBy("template_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "row")).alias("b"))
     return best.filter("b.n < -1").select("template_id", F.col("b.row").alias("header_row"))
 
@@ -192,12 +195,8 @@ def _block(lines: Column, heading: str) -> Column:
     return let(_first_at(lines, lambda x: F.lower(x) == heading), after)
 
 
-def instructions(cells: DataFrame) -> DataFrame:
-    """(template_id, i): breadcrumb, ids, naming line, row limit, media lines, required block, section block, lines."""
-    lines = _sheet(cells, "Instructions").groupBy("template_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), lambda x: x["text"]).alias("lines")
-    )
-
+def instruction_struct(lines: Column) -> Column:
+    """Breadcrumb, ids, naming line, row limit, media lines, required block, section block and lines of an array of lines."""
     def last_of_each(pairs: Column) -> Column:
         return F.filter(
             pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.lit(1 << 30)), lambda q: q["key"] == p["key"])
@@ -226,8 +225,15 @@ def instructions(cells: DataFrame) -> DataFrame:
             ln.alias("raw_lines"),
         )
 
-    bound = F.struct(F.col("lines").alias("lines"), F.array_join("lines", "\n").alias("text"))
-    return lines.select("template_id", let(bound, read).alias("i"))
+    return let(lines, lambda ln: let(F.struct(ln.alias("lines"), F.array_join(ln, "\n").alias("text")), read))
+
+
+def instructions(cells: DataFrame) -> DataFrame:
+    """(template_id, i): what the instruction sheet of each template says."""
+    lines = _sheet(cells, "Instructions").groupBy("template_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), lambda x: x["text"]).alias("lines")
+    )
+    return lines.select("template_id", instruction_struct(F.col("lines")).alias("i"))
 
 
 def archive_category(archive: Column, prefix: str = "") -> Column:
@@ -267,37 +273,20 @@ def template_failures(cells: DataFrame, files: DataFrame, scan: int = HEADER_SCA
 def parse_templates(
     cells: DataFrame, validations: DataFrame, files: DataFrame, scan: int = HEADER_SCAN, archive_prefix: str = ""
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(templates, template_fields, failures)."""
-    # Two narrow tables, one row per template, that every later step looks at: written once.
-    failures = cut_lineage(template_failures(cells, files, scan))
-    sound = files.join(failures.select("template_id"), "template_id", "left_anti")
-    headers = cut_lineage(header_rows(cells, scan).join(sound.select("template_id"), "template_id", "left_semi"))
-    lookup_columns = lookups(cells)
-    order = Window.partitionBy("template_id").orderBy("col_no")
-    fields = (
-        _with_vocabulary(_columns(cells, validations, headers), lookup_columns)
-        .join(sections(cells, headers), ["template_id", "col"], "left")
-        .join(sound.select("template_id", F.coalesce("protected", F.lit(False)).alias("protected")), "template_id")
-        .withColumnRenamed("col", "col_no")
-        .select(
-            "template_id", (F.row_number().over(order) - 1).alias("field_ord"), "name", column_letter(F.col("col_no")).alias("col"),
-            "type", "required", "conditional", (F.col("locked") & F.col("protected")).alias("locked"), "is_formula", "section",
-            "dropdown_source", "vocabulary",
-        )
-    )
-    named = lookup_columns.groupBy("template_id", "name").agg(F.max_by("values", "col").alias("values"))
-    tables = named.groupBy("template_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("lookups"))
-    path = category_path(F.col("i.breadcrumb"), F.col("archive"), F.col("filename"), archive_prefix)
-    templates = (
-        sound.join(instructions(cells), "template_id", "left").join(tables, "template_id", "left")
-        .select(
-            "template_id", t.path_text(path).alias("template_ord"), archive_category(F.col("archive"), archive_prefix).alias("zip_category"),
-            "filename", F.concat_ws("/", "archive", "filename").alias("file"), path.alias("category_path"),
-            F.col("i.category_ids").alias("category_ids"), "lookups", F.col("i").alias("instructions"),
-            F.col("i.row_limit").alias("row_limit"), F.col("i.naming_convention").alias("naming_convention"),
-            F.col("i.breadcrumb").alias("breadcrumb"), F.col("lookups")["Brand"].alias("brands"),
-        )
+    """(templates, template_fields, failures).  Every workbook is read once; the narrow result is written."""
+    from .workbooks import read_workbooks
+
+    books = cut_lineage(read_workbooks(cells, validations, files, scan, archive_prefix))
+    source = F.concat(F.regexp_replace("archive", r"^.*/", ""), F.lit("::"), "filename")
+    failures = books.filter("reason IS NOT NULL").select("template_id", source.alias("source"), "reason")
+    sound = books.filter("reason IS NULL")
+    templates = sound.select(
+        "template_id", t.path_text(F.col("category_path")).alias("template_ord"), "zip_category", "filename",
+        F.concat_ws("/", "archive", "filename").alias("file"), "category_path", F.col("i.category_ids").alias("category_ids"), "lookups",
+        F.col("i").alias("instructions"), F.col("i.row_limit").alias("row_limit"), F.col("i.naming_convention").alias("naming_convention"),
+        F.col("i.breadcrumb").alias("breadcrumb"), F.try_element_at("lookups", F.lit("Brand")).alias("brands"),
     )
+    fields = sound.select("template_id", F.explode("fields").alias("f")).select("template_id", "f.*")
     return templates, fields, failures
 
 

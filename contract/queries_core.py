@@ -12,8 +12,9 @@ from claimloom.functions import measures as me
 from claimloom.functions import text as t
 from claimloom.functions import urls
 from claimloom.operators import assemble, match, populate, publish
-from claimloom.session import cut_lineage, shared_folder
+from claimloom.session import cut_lineage, scratch_path, shared_folder
 from claimloom.sources import evidence as source
+from claimloom.sources import workbooks
 from claimloom.sources.evidence import evidence_problems
 
 from . import catalogue as c
@@ -482,6 +483,47 @@ SELECT template_id, CAST(floor((row_no - 1) / row_limit) AS BIGINT) + 1 AS part,
   CASE WHEN n > row_limit THEN '_part' || CAST(CAST(floor((row_no - 1) / row_limit) AS BIGINT) + 1 AS VARCHAR) ELSE '' END AS sheet, record_id, row_no FROM n JOIN l USING (template_id)"""
 
 
+def _damaged(cells, rules, files):
+    """Workbooks as someone else's program might have changed them: labels, columns, formats, words and values."""
+    number = F.regexp_extract("template_id", r"_part(\d+)$", 1).try_cast("int")
+    part, head = F.coalesce(number, F.lit(1)), (F.col("sheet") == "Template") & (F.col("row") == workbooks.HEADER_ROW)
+    text = (F.when(head & (F.col("col") == 2) & (part % 2 == 0), F.rtrim("text", F.lit("*")))
+            .when((F.col("sheet") == "Lookup") & (F.col("text") == "Gold") & (part % 4 == 1), F.lit("Copper"))
+            .when((F.col("sheet") == "Template") & (F.col("row") == workbooks.SECTION_ROW) & (F.col("text") == "Attributes") & (part % 7 == 2), F.lit("Features"))
+            .when((F.col("sheet") == "Template") & (F.col("row") == workbooks.DATA_ROW + 1) & (F.col("col") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    plain = (F.col("sheet") == "Template") & (F.col("row") == workbooks.DATA_ROW) & (F.col("col") == 3) & (part % 5 == 1)
+    gone = (F.col("sheet") == "Template") & (F.col("col") == 5) & (part % 3 == 0)
+    return cells.filter(~gone).withColumn("number_format", F.when(plain, "General").otherwise(F.col("number_format"))).withColumn("text", text), rules, files
+
+
+def sheet_round_trip(spark, sf):
+    """Sheets written as workbooks, changed by someone, read by the template parser and compared."""
+    p = _once(spark, "parts", lambda: cut_lineage(parts(spark, sf)), sf)
+    written = cut_lineage(publish.sheet_cells(cells(spark, sf), p))
+    books = workbooks.sheet_workbooks(written, p, c.templates(spark), c.fields(spark))
+    path = scratch_path(spark, "books")
+    workbooks.write_workbooks(*_damaged(*books), p, path)
+    found = workbooks.check_workbooks(written, c.fields(spark), p, workbooks.stored_workbooks(spark, path, books))
+    return found.select("template_id", "sheet", "part", "name", "problem")
+
+
+# A column that is gone takes the values of its rows along; measured ones are compared as written, by any text.
+SHEET_ROUND_TRIP = f"""{_CELLS}, {_PARTS_CTE.strip()},
+books AS (SELECT DISTINCT template_id, sheet, part FROM parts),
+columns_ AS (SELECT f.*, ascii(f.col) - 64 AS n, coalesce(lag(section) OVER (PARTITION BY template_id ORDER BY field_ord) <> section, true) AS starts FROM fields f),
+judged AS (SELECT b.template_id, b.sheet, b.part, c.name, c.n, CASE WHEN c.n = 5 AND b.part % 3 = 0 THEN 'missing' ELSE array_to_string(list_filter([
+  CASE WHEN c.type = 'numeric' AND c.n = 3 AND b.part % 5 = 1 THEN 'type' END,
+  CASE WHEN c.required AND c.n = 2 AND b.part % 2 = 0 THEN 'required' END,
+  CASE WHEN c.section = 'Attributes' AND b.part % 7 = 2 THEN 'section' END,
+  CASE WHEN c.type = 'dropdown' AND list_contains(string_split(c.vocab, '|'), 'Gold') AND b.part % 4 = 1 THEN 'vocabulary' END], lambda x: x IS NOT NULL), ',') END AS problem
+  FROM books b JOIN columns_ c USING (template_id)),
+stored AS (SELECT p.template_id, p.sheet, p.part, x.name, c.n, p.row_no - (p.part - 1) * coalesce(t.row_limit, 500) + 2 AS r FROM cells x JOIN parts p USING (record_id, variant_no, template_id)
+  JOIN columns_ c USING (template_id, name) JOIN templates t USING (template_id) WHERE bucket = 'written' AND (x.type = 'numeric' OR x.value <> ''))
+SELECT template_id, sheet, part, name, problem FROM judged WHERE problem <> ''
+UNION ALL SELECT template_id, sheet, part, name, 'row ' || r || ' missing' FROM stored WHERE (n = 5 AND part % 3 = 0) OR (n = 1 AND r = 4)
+UNION ALL SELECT template_id, sheet, part, name, 'row ' || r || ' unexpected' FROM stored WHERE n = 1 AND r = 4"""
+
+
 def run_report(spark, sf):
     return publish.run_report(None, outcomes(spark, sf), parts(spark, sf))
 
@@ -632,7 +674,7 @@ QUERIES = {
     "record_readiness": (record_readiness, READINESS), "variant_axis": (variant_axis, VARIANT_AXIS),
     "variant_rows": (variant_rows, VARIANT_ROWS), "variant_readiness": (variant_readiness, VARIANT_READY),
     "cell_buckets": (cell_buckets, CELL_BUCKETS), "fill_stats": (fill_stats, FILL_STATS), "sheet_parts": (sheet_parts, SHEET_PARTS),
-    "order_sheets": (order_sheets, ORDER_SHEETS), "run_report": (run_report, RUN_REPORT), "readback_diff": (readback_diff, READBACK), "readback_diff_measured": (readback_diff_measured, READBACK_MEASURED),
+    "order_sheets": (order_sheets, ORDER_SHEETS), "run_report": (run_report, RUN_REPORT), "sheet_round_trip": (sheet_round_trip, SHEET_ROUND_TRIP), "readback_diff": (readback_diff, READBACK), "readback_diff_measured": (readback_diff_measured, READBACK_MEASURED),
     "write_failures": (write_failures, WRITE_FAILURES), "write_failures_all": (write_failures_all, WRITE_FAILURES_ALL), "sku_wide": (sku_wide, SKU_WIDE), "sku_images": (sku_images, SKU_IMAGES), "media_reconcile": (media_reconcile, MEDIA_RECONCILE),
     "media_by_record": (media_by_record, MEDIA_BY_RECORD),
 }

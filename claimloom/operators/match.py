@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -107,7 +107,7 @@ class TemplateIndex:
     routes: DataFrame  # observed name -> field, per template
     known: DataFrame  # names any template can use
     known_again: DataFrame  # names any template can use directly
-    required: DataFrame  # template_id, n_required
+    required: DataFrame  # template_id, n_required, required_names in field order
     leaf_clues: DataFrame  # words and sizes of the last path parts
 
 
@@ -129,7 +129,9 @@ def index_templates(templates: DataFrame, fields: DataFrame, aliases: DataFrame
             routes.filter("direct").select(F.col("canon").alias("again")).distinct()
             .withColumn("known_again", F.lit(True))
         ),
-        required=settle(required_writable(fields).groupBy("template_id").agg(F.count("*").alias("n_required"))),
+        required=settle(required_writable(fields).groupBy("template_id").agg(
+            F.count("*").alias("n_required"), F.array_sort(F.collect_list(F.struct("field_ord", "name"))).alias("r"),
+        ).select("template_id", "n_required", F.transform("r", lambda x: x["name"]).alias("required_names"))),
         leaf_clues=settle(templates.select(F.explode(_leaf_clues(F.element_at("category_path", -1))).alias("clue")).distinct()),
     )
 
@@ -206,6 +208,8 @@ def score_signatures(signatures: DataFrame, index: TemplateIndex) -> DataFrame:
         .groupBy("signature", "template_id", "item")
         .agg(F.min_by(F.struct("name", "required_rows"), "turn").alias("hit"))
     )
+    names = F.array_sort(F.transform("hits", lambda h: h["name"]))
+    required = F.coalesce("required_names", F.array().cast("array<string>"))
     return (
         hits.groupBy("signature", "template_id")
         .agg(F.count("*").alias("matched"), F.collect_set("hit").alias("hits"))
@@ -214,22 +218,49 @@ def score_signatures(signatures: DataFrame, index: TemplateIndex) -> DataFrame:
             "signature", "template_id", "matched",
             F.coalesce("n_required", F.lit(0)).alias("n_required"),
             F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["required_rows"]).alias("n_covered"),
-            F.array_sort(F.transform("hits", lambda h: h["name"])).alias("matched_fields"),
+            names.alias("matched_fields"),
+            F.filter(required, lambda r: F.array_contains(names, r)).alias("required_present"),
+            F.filter(required, lambda r: ~F.array_contains(names, r)).alias("required_missing"),
         )
     )
 
 
-def score_templates(evidence: DataFrame, index: TemplateIndex) -> DataFrame:
-    """Record x overlapping template with precision and recall."""
+@dataclass
+class Scored:
+    """Every record with its signature, and every distinct signature with its templates."""
+
+    records: DataFrame  # record_id, n_fields, signature
+    scores: DataFrame  # signature, template_id, matched, n_required, n_covered and lists of names
+
+
+def score_records(evidence: DataFrame, index: TemplateIndex) -> Scored:
+    """What every question about scores starts from; both tables are written."""
     records = cut_lineage(record_signatures(evidence, index))
-    scores = settle(score_signatures(records, index))
-    recall = F.when(F.col("n_required") > 0, F.col("n_covered") / F.col("n_required")).otherwise(F.lit(0.0))
-    return records.join(scores, "signature").select(
+    return Scored(records, settle(score_signatures(records, index)))
+
+
+def _recall(n_required: Column, n_covered: Column) -> Column:
+    return F.when(n_required > 0, n_covered / n_required).otherwise(F.lit(0.0))
+
+
+def score_templates(evidence: DataFrame, index: TemplateIndex, scored: Scored | None = None) -> DataFrame:
+    """Record x overlapping template with precision and recall, and which required names are there or missing."""
+    scored = scored or score_records(evidence, index)
+    return scored.records.join(scored.scores, "signature").select(
         "record_id", "template_id", "n_fields", "matched", (F.col("matched") / F.col("n_fields")).alias("precision"),
-        "n_required", "n_covered", recall.alias("recall"), "matched_fields",
+        "n_required", "n_covered", _recall(F.col("n_required"), F.col("n_covered")).alias("recall"), "matched_fields",
+        "required_present", "required_missing",
     )
 
 
+def gate_counts(scored: Scored, min_recall: float = MIN_RECALL) -> DataFrame:
+    """(template_id, passed, failed): records whose gate each template passes; counted over signatures, not records."""
+    bearers = scored.records.groupBy("signature").agg(F.count("*").alias("n"))
+    gate = recall_gate(F.col("n_required"), F.col("n_covered"), min_recall)
+    return scored.scores.join(bearers, "signature").groupBy("template_id").agg(
+        F.sum(F.when(gate, F.col("n")).otherwise(0)).alias("passed"), F.sum(F.when(gate, 0).otherwise(F.col("n"))).alias("failed"))
+
+
 def recall_gate(n_required: Column, n_covered: Column, min_recall: float = MIN_RECALL) -> Column:
     """True when nothing is required, or enough of what is required is covered."""
     return (n_required == 0) | (n_covered / F.greatest(n_required, F.lit(1)) >= min_recall)
@@ -402,22 +433,27 @@ def outcomes(
     )
 
 
-def top_candidates(scores: DataFrame, decided: DataFrame, index: TemplateIndex, k: int = TOP_CANDIDATES) -> DataFrame:
-    """The ``k`` best templates per record by precision; the accepted one is listed first."""
-    ranked = (
-        scores.join(index.templates.select("template_id", "template_ord"), "template_id")
-        .join(decided.select("record_id", F.col("template_id").alias("winner")), "record_id", "left")
-        .withColumn("is_winner", F.coalesce(F.col("winner") == F.col("template_id"), F.lit(False)))
-    )
-    # A record has at most one row per template, so the window is bounded by the template table.
-    order = Window.partitionBy("record_id").orderBy(F.desc("is_winner"), F.desc("matched"), "template_ord")
-    return (
-        ranked.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(
-            "record_id", "rank", "template_id", t.python_round(F.col("precision"), 3).alias("score"),
-            t.python_round(F.col("recall"), 3).alias("recall"), "matched_fields",
-        )
+def top_candidates(scored: Scored, decided: DataFrame, index: TemplateIndex, k: int = TOP_CANDIDATES) -> DataFrame:
+    """The ``k`` best templates per record by precision; the accepted one is listed first.
+
+    A signature's ``k`` best are found once and joined to its records as one array; the accepted template, which need
+    not be among them, is looked up by (signature, template) and moved to the front.
+    """
+    entry = F.struct(
+        (-F.col("matched")).alias("rank_by"), "template_ord", "template_id", "matched",
+        _recall(F.col("n_required"), F.col("n_covered")).alias("recall"), "matched_fields", "required_present", "required_missing")
+    scores = cut_lineage(scored.scores.join(index.templates.select("template_id", "template_ord"), "template_id").select("signature", "template_id", entry.alias("c")))
+    # At most one entry per template; only k of them leave the group.
+    best = settle(scores.groupBy("signature").agg(F.slice(F.sort_array(F.collect_list("c")), 1, k).alias("best")))
+    winner = scores.select("signature", F.col("template_id").alias("winner"), F.col("c").alias("accepted"))
+    wanted = scored.records.join(decided.select("record_id", F.col("template_id").alias("winner")), "record_id", "left")
+    listed = wanted.join(best, "signature").join(winner, ["signature", "winner"], "left").select(
+        "record_id", "n_fields", F.slice(F.concat(
+            F.array_compact(F.array("accepted")),
+            F.filter("best", lambda c: F.col("accepted").isNull() | (c["template_id"] != F.col("accepted.template_id")))), 1, k).alias("list"))
+    return listed.select("record_id", "n_fields", F.posexplode("list").alias("at", "c")).select(
+        "record_id", (F.col("at") + 1).alias("rank"), "c.template_id", t.python_round(F.col("c.matched") / F.col("n_fields"), 3).alias("score"),
+        t.python_round(F.col("c.recall"), 3).alias("recall"), "c.matched_fields", "c.required_present", "c.required_missing",
     )
 
 

@@ -46,6 +46,10 @@ def index(spark: SparkSession) -> match.TemplateIndex:
     return _once(spark, "index", lambda: match.index_templates(c.templates(spark), c.fields(spark)))
 
 
+def scored(spark: SparkSession, sf: str) -> match.Scored:
+    return _once(spark, "scored", lambda: match.score_records(evidence(spark, sf), index(spark)), sf)
+
+
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, "outcomes", lambda: cut_lineage(match.outcomes(evidence(spark, sf), index(spark))), sf)
 
@@ -213,20 +217,18 @@ EVIDENCE_MAP = f"WITH {c.EVIDENCE_CTE}, {q.EV_MAP_CTE} SELECT record_id, canon,
 
 
 def field_overlap_score(spark, sf):
-    return match.score_templates(evidence(spark, sf), index(spark)).select(
+    return match.score_templates(evidence(spark, sf), index(spark), scored(spark, sf)).select(
         "record_id", "template_id", "n_fields", "matched", F.round("precision", 3).alias("precision"), "n_required", "n_covered",
-        F.round("recall", 3).alias("recall"), _join("matched_fields"),
+        F.round("recall", 3).alias("recall"), _join("matched_fields"), _join("required_present"), _join("required_missing"),
     )
 
 
 FIELD_OVERLAP = f"""{q.MATCH} SELECT record_id, template_id, n_fields, matched, round(precision, 3) AS precision, n_required, n_covered,
-  CASE WHEN n_required > 0 THEN round(n_covered / n_required, 3) ELSE 0.0 END AS recall, matched_fields FROM passed"""
+  CASE WHEN n_required > 0 THEN round(n_covered / n_required, 3) ELSE 0.0 END AS recall, matched_fields, required_present, required_missing FROM passed"""
 
 
 def recall_gate(spark, sf):
-    s = match.score_templates(evidence(spark, sf), index(spark))
-    return s.withColumn("gate", match.recall_gate(F.col("n_required"), F.col("n_covered"))).groupBy("template_id").agg(
-        F.count_if("gate").alias("passed"), F.count_if(~F.col("gate")).alias("failed"))
+    return match.gate_counts(scored(spark, sf))
 
 
 RECALL_GATE = f"{q.MATCH} SELECT template_id, count(*) FILTER (gate) AS passed, count(*) FILTER (NOT gate) AS failed FROM passed GROUP BY 1"
@@ -257,13 +259,12 @@ MATCH_OUTCOME = f"""{q.OUTCOME} SELECT record_id, status, coalesce(template_id,
 
 
 def top8_candidates(spark, sf):
-    s = match.score_templates(evidence(spark, sf), index(spark))
-    return match.top_candidates(s, outcomes(spark, sf), index(spark)).select(
-        "record_id", "rank", "template_id", "score", "recall", _join("matched_fields"))
+    return match.top_candidates(scored(spark, sf), outcomes(spark, sf), index(spark)).select(
+        "record_id", "rank", "template_id", "score", "recall", _join("matched_fields"), _join("required_present"), _join("required_missing"))
 
 
 TOP8 = f"""{q.OUTCOME} SELECT p.record_id, CAST(row_number() OVER (PARTITION BY p.record_id ORDER BY coalesce(o.template_id = p.template_id, false) DESC, matched DESC, t.template_ord) AS INTEGER) AS rank,
-  p.template_id, round(precision, 3) AS score, CASE WHEN n_required > 0 THEN round(n_covered / n_required, 3) ELSE 0.0 END AS recall, matched_fields
+  p.template_id, round(precision, 3) AS score, CASE WHEN n_required > 0 THEN round(n_covered / n_required, 3) ELSE 0.0 END AS recall, matched_fields, required_present, required_missing
   FROM passed p JOIN templates t USING (template_id) JOIN outcome o USING (record_id)
   QUALIFY row_number() OVER (PARTITION BY p.record_id ORDER BY coalesce(o.template_id = p.template_id, false) DESC, matched DESC, t.template_ord) <= 8"""
 

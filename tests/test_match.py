@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import match as m
 from claimloom.operators import populate as p
+from claimloom.session import cut_lineage
 
 TRIMS = "Finishes > Accessories > Edge Trims & Profiles"
 
@@ -43,8 +44,26 @@ def test_recall_gate_rejects_a_wide_template(spark):
     out, index, ev = decide(spark, {"Wrong": req("A", "B", "C", "X", "Y", "Z", "W", "V"), "Correct": req("A", "B")},
                             {"r": ["A", "B", "C", "D"]})
     assert (out["r"]["status"], out["r"]["template_id"], out["r"]["confidence"]) == ("matched", "t1", 0.5)
-    top = m.top_candidates(m.score_templates(ev, index), m.outcomes(ev, index), index).orderBy("rank").collect()
+    scored = m.score_records(ev, index)
+    top = m.top_candidates(scored, m.outcomes(ev, index), index).orderBy("rank").collect()
     assert [(r["template_id"], r["score"]) for r in top] == [("t1", 0.5), ("t0", 0.75)]  # accepted first
+    assert [(r["required_present"], r["required_missing"]) for r in top] == [(["A", "B"], []), (["A", "B", "C"], ["X", "Y", "Z", "W", "V"])]
+    # The accepted template comes first even where k leaves no room for others; gates are counted by template.
+    assert [r["template_id"] for r in m.top_candidates(scored, m.outcomes(ev, index), index, 1).collect()] == ["t1"]
+    assert {tuple(r) for r in m.gate_counts(scored).collect()} == {("t0", 0, 1), ("t1", 1, 0)}
+
+
+def test_candidates_are_found_by_signature(spark):
+    """No plan of the candidate list makes a row per record and template before the list is taken apart."""
+    t, f = make_templates(spark, {f"P > {i}": req("A", "B") + [f"N{i}"] for i in range(20)})
+    index = m.index_templates(t, f)
+    ev = make_evidence(spark, {f"r{i}": ["A", "B"] for i in range(50)})
+    top = m.top_candidates(m.score_records(ev, index), cut_lineage(m.outcomes(ev, index)), index)
+    rows = top.collect()
+    assert len(rows) == 50 * 8 and {r["template_id"] for r in rows if r["rank"] == 1} == {"t0"}
+    assert len({r["template_id"] for r in rows}) == 8
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Window" not in plan
 
 
 def test_no_match_reports_best_precision(spark):

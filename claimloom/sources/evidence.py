@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import number_lines, row_place
+
 EVIDENCE = (
     "record_id STRING, field STRING, value STRING, source_uri STRING, method STRING, confidence DOUBLE, "
     "absence BOOLEAN, ts DOUBLE, seq BIGINT"
@@ -14,11 +16,14 @@ EVIDENCE = (
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines to evidence; blank lines are skipped, unreadable ones kept in ``_corrupt_record``.
 
-    Rows written without ``seq`` get one from their position in the file, which keeps first-value-wins exact.
+    Rows written without ``seq`` get their position: files in the order of their names, rows as they stand in a file,
+    counted from 0 whatever way the files are split.  Files whose rows all have one are not numbered.
     """
     raw = spark.read.schema(f"{EVIDENCE}, _corrupt_record STRING").json(path)
-    placed = raw.withColumn("_at", F.monotonically_increasing_id())
-    return placed.withColumn("seq", F.coalesce("seq", "_at")).drop("_at")
+    if raw.filter("seq IS NULL").isEmpty():
+        return raw
+    numbered = number_lines(raw.select("*", *row_place()), "_at")
+    return numbered.withColumn("seq", F.coalesce("seq", F.col("_at") - 1)).select(*raw.columns)
 
 
 def write_evidence(evidence: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import urls
 from ..session import settle
+from .numbering import count_before
 
 DEFAULT_LIMIT = 25
 MAX_LINKS = 200
@@ -113,7 +114,7 @@ def capture_plan(candidates: DataFrame, pages: DataFrame, limit: int = DEFAULT_L
     """One status per candidate, in order; after ``limit`` captured pages of a job the rest are ``limit_reached``.
 
     ``candidates`` has (job, ord, url, allowed); ``pages`` has (url, fetched, has_fields, n_rows, record_id).  The
-    running count is per job, in rows of four small columns; Spark spills the window of a job with very many of them.
+    running count of a job comes from range slices of its candidates, so a job may hold any share of all rows.
     """
     probe = candidates.join(pages, "url", "left")
     said = lambda status, reason: F.struct(
@@ -126,10 +127,9 @@ def capture_plan(candidates: DataFrame, pages: DataFrame, limit: int = DEFAULT_L
         .when(F.coalesce("n_rows", F.lit(0)) == 0, said("skipped", "no evidence rows assembled"))
         .otherwise(said("captured", None))
     )
-    before = Window.partitionBy("job").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum((F.col("s.status") == "captured").cast("int")).over(before), F.lit(0))
+    judged = count_before(probe.select("job", "ord", "url", "record_id", status.alias("s")), ["job"], ["ord"], F.col("s.status") == "captured", "taken")
     final = F.when(F.col("taken") >= limit, said("limit_reached", "the job's limit of captured pages was reached")).otherwise(F.col("s"))
     return (
-        probe.withColumn("s", status).withColumn("taken", taken).withColumn("s", final)
+        judged.withColumn("s", final)
         .select("job", "ord", "url", "s.status", "s.reason", F.when(F.col("s.status") == "captured", F.col("record_id")).alias("record_id"))
     )

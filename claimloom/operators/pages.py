@@ -9,6 +9,7 @@ from ..functions import markup as m
 from ..functions import urls
 from ..functions.binding import let
 from ..functions.text import blank_to_null, strip
+from ..session import cut_lineage
 from .image_walk import walk_images
 
 PRODUCT_FIELDS = ("name", "sku", "image", "description", "brand", "price")
@@ -115,37 +116,76 @@ def _parsed_markup(html: Column) -> Column:
     return F.filter(F.transform(texts, F.try_parse_json), lambda v: v.isNotNull())
 
 
+def _product(v: Column) -> Column:
+    return F.struct(
+        product_text(v, "name").alias("name"), product_text(v, "sku").alias("sku"), product_image(v).alias("image"),
+        product_text(v, "description").alias("description"), product_brand(v).alias("brand"),
+        product_price(v).alias("price"),
+    )
+
+
+def _states_something(p: Column) -> Column:
+    return F.coalesce(*[p[k] for k in PRODUCT_FIELDS]).isNotNull()
+
+
+def _first_product(parsed: Column, max_depth: int) -> Column:
+    nodes = F.flatten(F.transform(parsed, lambda v: _nodes(v, max_depth)))
+    return F.get(F.filter(F.transform(nodes, _product), _states_something), F.lit(0))
+
+
 def product_struct(html: Column, max_depth: int = MAX_JSON_DEPTH) -> Column:
-    """Fields of the first product node of a page, null when it has none."""
-    nodes = F.flatten(F.transform(_parsed_markup(html), lambda v: _nodes(v, max_depth)))
+    """Fields of the first product node of a page, ``max_depth`` lists or graphs deep; null when it has none."""
+    return F.when(F.contains(html, F.lit("ld+json")), _first_product(_parsed_markup(html), max_depth))
 
-    def read(v: Column) -> Column:
-        return F.struct(
-            product_text(v, "name").alias("name"), product_text(v, "sku").alias("sku"), product_image(v).alias("image"),
-            product_text(v, "description").alias("description"), product_brand(v).alias("brand"),
-            product_price(v).alias("price"),
-        )
 
-    some = lambda p: F.coalesce(*[p[k] for k in PRODUCT_FIELDS]).isNotNull()
-    return F.when(
-        F.contains(html, F.lit("ld+json")), F.get(F.filter(F.transform(nodes, read), some), F.lit(0))
-    )
+def _cut_nodes(v: Column, key: Column, depth: int) -> Column:
+    """Array of (key, v, goes_on) below ``v``: product nodes, and at ``depth`` levels what is still to be opened.
+
+    Keys sort in document order, a graph before its owner.
+    """
+    listed = _get(v, "$", "array<variant>")
+    graph = _get(v, '$["@graph"]', "variant")
+    below = F.coalesce(listed, F.when(graph.isNotNull(), F.array(graph)))
+    node = lambda suffix, goes_on: F.struct(F.concat(key, F.lit(suffix)).alias("key"), v.alias("v"), F.lit(goes_on).alias("goes_on"))
+    none = F.filter(F.array(node("", False)), lambda _: F.lit(False))
+    own = F.when(listed.isNull() & _is_product(v), F.array(node("~", False))).otherwise(none)
+    if depth == 0:
+        return F.when(below.isNotNull(), F.array(node("", True))).otherwise(own)
+    kids = F.flatten(F.transform(below, lambda k, i: _cut_nodes(k, F.concat(key, F.lit("."), F.lpad(F.hex(i), 8, "0")), depth - 1)))
+    return F.concat(F.coalesce(kids, none), own)
+
+
+def _deep_products(markup: DataFrame, step: int) -> DataFrame:
+    """(page_id, p) of the first product of pages with (page_id, parsed): ``step`` levels a round until nothing is left to open."""
+    unopened = markup.select("page_id", F.posexplode("parsed").alias("n", "v")).select("page_id", F.lpad(F.hex("n"), 8, "0").alias("key"), "v")
+    found = None
+    while True:
+        rows = cut_lineage(unopened.select("page_id", F.inline(_cut_nodes(F.col("v"), F.col("key"), step))))
+        here = rows.filter("NOT goes_on").select("page_id", "key", _product(F.col("v")).alias("p")).filter(_states_something(F.col("p")))
+        found = here if found is None else found.unionByName(here)
+        unopened = rows.filter("goes_on").select("page_id", "key", "v")
+        if unopened.isEmpty():
+            return found.groupBy("page_id").agg(F.min_by("p", "key").alias("p"))
 
 
 def jsonld_products(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:
     """(page_id, name, sku, image, description, brand, price) of the first product node that states any of them.
 
-    Lists and graphs are walked ``max_depth`` levels down; pages that nest deeper are reported by
-    :func:`jsonld_dead_letters`, and what stands above is still read.
+    Lists and graphs are walked in the row, ``max_depth`` levels down.  The markup of pages that nest deeper is opened
+    by as many levels a round, until no node is left: any depth that parses is read.  Every page is read once.
     """
-    return (
-        pages.select("page_id", product_struct(F.col("html"), max_depth).alias("p"))
-        .filter("p IS NOT NULL").select("page_id", "p.*")
-    )
+    def read(parsed: Column) -> Column:
+        deep = F.exists(parsed, lambda v: _deeper(v, max_depth))
+        return F.struct(F.when(~deep, _first_product(parsed, max_depth)).alias("p"), F.when(deep, parsed).alias("parsed"))
+
+    seen = cut_lineage(pages.filter(F.contains("html", F.lit("ld+json"))).select("page_id", let(_parsed_markup(F.col("html")), read).alias("b")).select("page_id", "b.*"))
+    shallow, deep = seen.filter("p IS NOT NULL").select("page_id", "p"), seen.filter("parsed IS NOT NULL").select("page_id", "parsed")
+    both = shallow if deep.isEmpty() else shallow.unionByName(_deep_products(deep, max_depth))
+    return both.select("page_id", "p.*")
 
 
 def jsonld_dead_letters(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:
-    """(page_id, reason) of pages whose product markup was not read to its full depth."""
+    """(page_id, reason) of pages that :func:`product_struct`, which stays in the row, does not read to their full depth."""
     deep = F.exists(_parsed_markup(F.col("html")), lambda v: _deeper(v, max_depth))
     return pages.filter(F.contains("html", F.lit("ld+json"))).filter(deep).select(
         "page_id", F.lit(f"product markup is nested deeper than {max_depth} levels").alias("reason"))
@@ -344,13 +384,15 @@ def gallery_images(pages: DataFrame, min_px: int = MIN_GALLERY_PX) -> DataFrame:
     wanted = pages.filter(
         F.col("html").rlike("(?i)<img[\\s/>]") & F.col("html").rlike("(?i)product|gallery")
     ).select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType.simpleString()
     found = wanted.mapInPandas(
-        walk_images, "page_id bigint, url string, seq bigint, src string, width string, height string, around string"
+        walk_images, f"page_id {kind}, url string, seq bigint, src string, width string, height string, around string"
     )
     small = lambda c: F.coalesce(strip(F.col(c)).try_cast("int") < min_px, F.lit(False))
     kept = found.filter(
         F.col("around").rlike("(?i)product|gallery")
         & (strip(F.col("src")) != "")
+        # Words of an address that speak of decoration.
         & ~F.col("src").rlike("(?i)logo|icon|sprite|favicon|avatar|spinner|placeholder")
         & ~small("width") & ~small("height")
     )

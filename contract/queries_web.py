@@ -87,6 +87,22 @@ def page_jsonld(spark, sf):
 PAGE_JSONLD = f"""WITH {_PAGE_CTE} SELECT page_id, {', '.join(f"coalesce(j_{f}, '') AS {f}" for f in pages.PRODUCT_FIELDS)} FROM pg WHERE p_partkey % 4 <> 3"""
 
 
+def page_jsonld_deep(spark, sf):
+    """Products nested up to 40 lists and graphs deep, beside a second product that stands less deep but later."""
+    part = c.read(spark, sf, "part")
+    depth = F.col(_K) % 38 + 3
+    inner = F.concat(F.lit('{"@type":"Product","sku":"S'), _K, F.lit('","name":" '), "p_name", F.lit('"}'))
+    opened = F.concat(F.repeat(F.lit('[{"@graph":'), (depth / 2).cast("int")), F.when(depth % 2 == 1, "[").otherwise(""))
+    closed = F.concat(F.when(depth % 2 == 1, "]").otherwise(""), F.repeat(F.lit("}]"), (depth / 2).cast("int")))
+    nested = F.concat(opened, F.when(F.col(_K) % 5 == 0, F.lit('{"@type":"Thing"}')).otherwise(inner), closed)
+    html = F.concat(F.lit('<script type="application/ld+json">['), nested, F.lit(',{"@type":"Product","name":"second"}]</script>'))
+    return pages.jsonld_products(part.select(F.concat(F.lit("p"), _K).alias("page_id"), html.alias("html"))).select("page_id", "name", *_blank("sku"))
+
+
+PAGE_JSONLD_DEEP = """SELECT 'p' || p_partkey AS page_id, CASE WHEN p_partkey % 5 = 0 THEN 'second' ELSE p_name END AS name,
+  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'S' || p_partkey END AS sku FROM part"""
+
+
 def page_spec_pairs(spark, sf):
     return pages.spec_pairs(product_pages(spark, sf))
 
@@ -136,11 +152,13 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS
 
 
 def gallery_images(spark, sf):
-    return pages.gallery_images(product_pages(spark, sf)).select("page_id", "url")
+    return pages.gallery_images(product_pages(spark, sf)).select("page_id", "seq", "url")
 
 
-GALLERY = f"""WITH {_PAGE_CTE} SELECT page_id, site || '/cat/g' || p_partkey || '.jpg' AS url FROM pg
-  UNION ALL SELECT page_id, site || '/cat/second.jpg' FROM pg WHERE p_partkey % 2 = 0"""
+# Images before those of the gallery: two where the page shows an animation.
+GALLERY = f"""WITH {_PAGE_CTE}, s AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS n FROM pg)
+SELECT page_id, CAST(n AS BIGINT) AS seq, site || '/cat/g' || p_partkey || '.jpg' AS url FROM s
+  UNION ALL SELECT page_id, CAST(n + 4 AS BIGINT), site || '/cat/second.jpg' FROM s WHERE p_partkey % 2 = 0"""
 
 
 def product_image(spark, sf):
@@ -338,6 +356,24 @@ def robots_sitemaps(spark, sf):
 ROBOTS_SITEMAPS = f"SELECT DISTINCT {_HOST} AS host, 'https://example.com/map.xml' AS url FROM pages WHERE length({_HOST}) % 4 = 2"
 
 
+def _nested_sitemaps(spark, sf):
+    """One sitemap per order, its location up to 15 elements deep; some are cut short, some close tags in the wrong order."""
+    o, n = c.read(spark, sf, "orders"), F.col("o_orderkey") % 12
+    deep = F.concat(F.repeat(F.lit("<x:e a='1'>"), n.cast("int")), F.lit("<loc>http://s.example.com/"), "o_orderkey", F.lit("</loc>"),
+                    F.when(F.col("o_orderkey") % 10 == 3, "</x:f>").otherwise(F.repeat(F.lit("</x:e>"), n.cast("int"))))
+    xml = F.concat(F.lit("<?xml version='1.0'?><urlset><url>"), deep, F.lit("</url>"), F.when(F.col("o_orderkey") % 10 == 4, "").otherwise("</urlset>"))
+    return o.select(F.col("o_orderkey").cast("string").alias("url"), xml.alias("xml"))
+
+
+def sitemap_dead_letters(spark, sf):
+    maps = _nested_sitemaps(spark, sf)
+    bad = sitemaps.sitemap_dead_letters(maps).select("url", F.lit("broken").alias("said"))
+    return bad.unionByName(sitemaps.sitemap_locations(maps).filter("size(locs) > 0").select("url", F.array_join("locs", "|").alias("said")))
+
+
+SITEMAP_DEAD_LETTERS = """SELECT CAST(o_orderkey AS VARCHAR) AS url, CASE WHEN o_orderkey % 10 IN (3, 4) THEN 'broken' ELSE 'http://s.example.com/' || o_orderkey END AS said FROM orders"""
+
+
 def sitemap_urls(spark, sf):
     from claimloom.functions import urls
 
@@ -504,7 +540,7 @@ SELECT job, record_id, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS capture, 0::
 UNION ALL SELECT job, record_id, 1, 1, 'finish', p_type FROM r WHERE NOT again UNION ALL SELECT job, record_id, 2, 1, 'color', 'red' FROM r WHERE again"""
 
 QUERIES = {
-    "page_jsonld": (page_jsonld, PAGE_JSONLD), "page_spec_pairs": (page_spec_pairs, PAGE_SPEC), "spec_evidence": (spec_evidence, SPEC_EVIDENCE),
+    "page_jsonld": (page_jsonld, PAGE_JSONLD), "page_jsonld_deep": (page_jsonld_deep, PAGE_JSONLD_DEEP), "sitemap_dead_letters": (sitemap_dead_letters, SITEMAP_DEAD_LETTERS), "page_spec_pairs": (page_spec_pairs, PAGE_SPEC), "spec_evidence": (spec_evidence, SPEC_EVIDENCE),
     "product_metadata": (product_metadata, PRODUCT_METADATA), "metadata_evidence": (metadata_evidence, METADATA_EVIDENCE),
     "page_media": (page_media, PAGE_MEDIA), "gallery_images": (gallery_images, GALLERY), "product_image": (product_image, PRODUCT_IMAGE),
     "product_links": (product_links, PRODUCT_LINKS), "classify_rank": (classify_rank, CLASSIFY_RANK), "classify_family_prefix": (classify_top, CLASSIFY_TOP),

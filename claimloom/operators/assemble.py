@@ -84,18 +84,15 @@ def spec_evidence(pairs: DataFrame) -> DataFrame:
     ).filter((F.col("field") != "") & ~t.is_blank(F.col("value")))
 
 
-def metadata_evidence(meta: DataFrame, structured: DataFrame) -> DataFrame:
-    """Name and description rows from page metadata, only where product markup states none.
+def metadata_evidence(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:
+    """(page_id, field, value, confidence): name and description from page metadata, only where product markup states none.
 
-    ``meta`` has (page_id, name, description); ``structured`` has (page_id, field).
+    One projection over the page: nothing is joined or moved.
     """
-    rows = meta.select(
-        "page_id",
-        F.explode(F.array(*[_row(F.lit(k), F.col(k), F.lit(LOOSE)) for k in ("name", "description")])).alias("r"),
-    ).select("page_id", "r.field", "r.value", "r.confidence")
-    return rows.filter(F.coalesce("value", F.lit("")) != "").join(
-        structured.select("page_id", "field"), ["page_id", "field"], "left_anti"
-    )
+    product = F.coalesce(product_struct(F.col("html"), max_depth), F.lit(None).cast("struct<" + ",".join(f"{k}:string" for k in PRODUCT_FIELDS) + ">"))
+    both = F.struct(product.alias("product"), best_metadata(page_summary(F.col("html"), F.col("url"))).alias("meta"))
+    return pages.select("page_id", F.explode(let(both, lambda b: _metadata_rows(b["product"], b["meta"]))).alias("r")).select(
+        "page_id", "r.field", "r.value", "r.confidence")
 
 
 def suggested_category(docs: DataFrame, templates: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.binding import let
 from ..session import settle
 
 MIN_SCORE = 0.03
@@ -51,23 +52,19 @@ def _common_prefix(low, high):
 def top_suggestion(ranked: DataFrame, templates: DataFrame) -> DataFrame:
     """One row per document with a hit: the single best path, or the part all equally good paths share.
 
-    Counts share the document's denominator, so ties are ties of integers.  The shared part of a set of paths is
-    found from its smallest and largest member, which keeps the aggregation state at two paths per document.
+    Counts share the document's denominator, so ties are ties of integers.  All of a document's categories are one
+    state, of at most as many as there are templates, so what is ranked is read once; the shared part of a set of
+    paths is found from its smallest and largest member.
     """
     paths = settle(templates.select("template_id", "category_path"))
-    hit = ranked.join(paths, "template_id")
-    best = hit.groupBy("doc_id").agg(F.max("matched").alias("matched"))
-    return (
-        hit.join(best, ["doc_id", "matched"])
-        .groupBy("doc_id", "matched", "n_words")
-        .agg(
-            F.min("category_path").alias("low"), F.max("category_path").alias("high"), F.count("*").alias("tied_count"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"),
-        )
-        .select(
-            "doc_id", _common_prefix(F.col("low"), F.col("high")).alias("path"),
-            (F.col("matched") / F.col("n_words")).alias("score"), "terms", "tied_count",
-        )
+    seen = ranked.join(paths, "template_id").groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"), F.collect_list(F.struct("matched", "category_path", "terms")).alias("all"))
+    best = let(F.array_max(F.transform("all", lambda x: x["matched"])), lambda most: F.filter("all", lambda x: x["matched"] == most))
+    tied = seen.select("doc_id", "n_words", best.alias("best"))
+    path = let(F.transform("best", lambda x: x["category_path"]), lambda p: _common_prefix(F.array_min(p), F.array_max(p)))
+    return tied.select(
+        "doc_id", path.alias("path"), (F.col("best")[0]["matched"] / F.col("n_words")).alias("score"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("best", lambda x: x["terms"])))).alias("terms"), F.size("best").cast("bigint").alias("tied_count"),
     )
 
 

@@ -402,17 +402,20 @@ def gallery_images(pages: DataFrame, min_px: int = MIN_GALLERY_PX) -> DataFrame:
     )
 
 
-def product_image_url(jsonld: DataFrame, meta: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(page_id, image_url): product markup first, then metadata, then the first gallery image."""
-    first = gallery.groupBy("page_id").agg(F.min_by("url", "seq").alias("third"))
-    joined = (
-        jsonld.select("page_id", F.col("image").alias("first"))
-        .join(metadata_fields(meta).select("page_id", F.col("image").alias("second")), "page_id", "full")
-        .join(first, "page_id", "full")
-    )
-    return joined.select("page_id", F.coalesce("first", "second", "third").alias("image_url")).filter(
-        "image_url IS NOT NULL"
-    )
+def product_image_url(pages: DataFrame, min_px: int = MIN_GALLERY_PX, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:
+    """(page_id, image_url): product markup first, then metadata, then the first gallery image.
+
+    Every page is read once.  Markup and metadata are looked at in the row; only pages that both leave open keep
+    their HTML for the walk over the tags.
+    """
+    html, url = F.col("html"), F.col("url")
+    stated = F.coalesce(product_struct(html, max_depth)["image"], best_metadata(page_summary(html, url))["image"])
+    read = cut_lineage(pages.select("page_id", "url", let(stated, lambda i: F.struct(i.alias("image_url"), F.when(i.isNull(), html).alias("html"))).alias("b")).select("page_id", "url", "b.*"))
+    found = read.filter("image_url IS NOT NULL").select("page_id", "image_url")
+    left = read.filter("html IS NOT NULL").select("page_id", "url", "html")
+    if left.isEmpty():
+        return found
+    return found.unionByName(gallery_images(left, min_px).groupBy("page_id").agg(F.min_by("url", "seq").alias("image_url")))
 
 
 def extract_pages(pages: DataFrame, max_depth: int = MAX_JSON_DEPTH) -> DataFrame:

@@ -161,7 +161,7 @@ _KEEP = """NOT (p_partkey % 9 = 0 AND k IN (2, 3, 4, 5, 11, 12)) AND NOT (p_part
 
 
 def _cells(spark, sf):
-    part = c.read(spark, sf, "part").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(34))))
+    part = c.spread(spark, c.read(spark, sf, "part"), "p_partkey").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(34))))
     return part.filter(_KEEP).select(
         F.col("p_partkey").alias("template_id"), F.expr(_SHEET).alias("sheet"), F.expr(_ROW).alias("row"), F.expr(_COL).alias("col"),
         F.expr(_TEXT).alias("text"), F.expr(_FORMAT).alias("number_format"), F.expr("k = 6").alias("locked"), F.expr("k = 10").alias("is_formula"))

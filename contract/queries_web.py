@@ -52,7 +52,7 @@ _URL = "concat('https://shop', p_partkey % 7, '.example.com/cat/p-', p_partkey,
 
 
 def product_pages(spark, sf):
-    part = c.read(spark, sf, "part")
+    part = c.spread(spark, c.read(spark, sf, "part").select(_K, "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), _K)
     return part.select(
         F.col(_K).alias("page_id"), F.expr(_URL).alias("url"), F.expr(_HTML).alias("html")
     )
@@ -128,11 +128,7 @@ PRODUCT_METADATA = f"""WITH {_PAGE_CTE} SELECT page_id, m_name AS name, coalesce
 
 
 def metadata_evidence(spark, sf):
-    p = product_pages(spark, sf)
-    own = pages.jsonld_products(p).select(
-        "page_id", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in pages.PRODUCT_FIELDS])).alias("field")
-    ).filter("field IS NOT NULL")
-    return assemble.metadata_evidence(pages.metadata_fields(pages.page_metadata(p)), own)
+    return assemble.metadata_evidence(product_pages(spark, sf))
 
 
 METADATA_EVIDENCE = f"""WITH {_PAGE_CTE} SELECT page_id, 'name' AS field, m_name AS value, 0.6 AS confidence FROM pg WHERE j_name IS NULL
@@ -162,8 +158,7 @@ SELECT page_id, CAST(n AS BIGINT) AS seq, site || '/cat/g' || p_partkey || '.jpg
 
 
 def product_image(spark, sf):
-    p = product_pages(spark, sf)
-    return pages.product_image_url(pages.jsonld_products(p), pages.page_metadata(p), pages.gallery_images(p))
+    return pages.product_image_url(product_pages(spark, sf))
 
 
 PRODUCT_IMAGE = f"""WITH {_PAGE_CTE} SELECT page_id, coalesce(j_image, m_image, site || '/cat/g' || p_partkey || '.jpg') AS image_url FROM pg"""

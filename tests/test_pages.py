@@ -73,7 +73,7 @@ def test_gallery(spark):
     got = {u.rsplit("/", 1)[-1] for _, u in rows(p.gallery_images(page(spark, html)))}
     assert got == {"a.jpg", "b.jpg", "c.jpg"}
     d = page(spark, html)
-    best = p.product_image_url(p.jsonld_products(d), p.page_metadata(d), p.gallery_images(d)).first()
+    best = p.product_image_url(d).first()
     assert best["image_url"] == "https://shop.example.com/cat/a.jpg"
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as t
 from claimloom.functions.text import STOP_WORDS
 from claimloom.operators import assemble, capture, classify, documents, pages
-from claimloom.session import shared_folder
+from claimloom.session import scratch_path
 from claimloom.sources import sitemaps
 from claimloom.streaming import staging
 
@@ -512,12 +510,12 @@ UNION ALL SELECT replace(file, '.pdf', '') || '-p' || page, CAST(idx + 1 AS BIGI
 # ---------------------------------------------------------------- streaming
 
 
-def staged_capture(spark, sf):
-    """Evidence staged as a stream of several files and batches, started twice, and finalised.
+def _staged(spark, sf):
+    """Evidence staged as a stream of several files and batches, started twice: the folder of what is staged.
 
     The two rows of a part's first capture come in different files; every third part is captured again, in two files.
     """
-    root = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "staged")
     part = c.read(spark, sf, "part").select(F.col("p_brand").alias("job"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"),
                                             "p_name", "p_type", (F.col("p_partkey") % 3 == 0).alias("again"))
     row = lambda n, field, value: part.select("job", "record_id", F.lit(n).cast("bigint").alias("capture"), F.lit(0 if field == "name" else 1).cast("bigint").alias("seq"), F.lit(field).alias("field"), F.expr(value).alias("value"), "again")
@@ -527,13 +525,32 @@ def staged_capture(spark, sf):
     rows = spark.readStream.schema(files[0].drop("again").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
     for _ in range(2):
         staging.stage_stream(rows, f"{root}/data", f"{root}/checkpoint").awaitTermination()
-    return staging.finalize(spark, f"{root}/data")
+    return root
+
+
+def staged_capture(spark, sf):
+    return staging.finalize(spark, f"{_staged(spark, sf)}/data")
 
 
 STAGED = """WITH r AS (SELECT p_brand AS job, 'P' || p_partkey AS record_id, p_partkey % 3 = 0 AS again, p_name, p_type FROM part)
 SELECT job, record_id, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS capture, 0::BIGINT AS seq, 'name' AS field, p_name || CASE WHEN again THEN ' new' ELSE '' END AS value FROM r
 UNION ALL SELECT job, record_id, 1, 1, 'finish', p_type FROM r WHERE NOT again UNION ALL SELECT job, record_id, 2, 1, 'color', 'red' FROM r WHERE again"""
 
+def final_pack(spark, sf):
+    """Manifests of the packs that two finalisings of the same staged rows give, in parts of 40 rows."""
+    root = _staged(spark, sf)
+    runs = [staging.finalize_pack(spark, f"{root}/data", part_rows=40).manifest for _ in range(2)]
+    return runs[0].unionByName(runs[1]).groupBy("pack", "path", "sha256").agg(F.count("*").alias("runs"))
+
+
+FINAL_PACK = """WITH r AS (SELECT p_brand AS job, 'P' || p_partkey AS record_id, p_partkey % 3 = 0 AS again, p_name, p_type FROM part),
+l AS (SELECT job, record_id, 0 AS seq, 'name' AS field, p_name || CASE WHEN again THEN ' new' ELSE '' END AS value FROM r
+  UNION ALL SELECT job, record_id, 1, 'finish', p_type FROM r WHERE NOT again UNION ALL SELECT job, record_id, 1, 'color', 'red' FROM r WHERE again),
+n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY record_id, seq) - 1 AS n, '{"record_id":' || to_json(record_id) || ',"seq":' || seq || ',"field":' || to_json(field) || ',"value":' || to_json(value) || '}' AS line FROM l),
+p AS (SELECT job AS pack, CASE WHEN n // 40 = 0 THEN 'evidence.jsonl' ELSE 'evidence-' || lpad(CAST(n // 40 AS VARCHAR), 5, '0') || '.jsonl' END AS path, string_agg(line, chr(10) ORDER BY n) || chr(10) AS content FROM n GROUP BY job, n // 40
+  UNION ALL SELECT job, 'datapackage.json', '{"version":"1.0","producer":{"program":"staging"},"product_count":' || count(*) || ',"media_count":0,"provenance_policy":"no-evidence-no-value"}' FROM r GROUP BY job)
+SELECT pack, path, sha256(content) AS sha256, 2::BIGINT AS runs FROM p"""
+
 QUERIES = {
     "page_jsonld": (page_jsonld, PAGE_JSONLD), "page_jsonld_deep": (page_jsonld_deep, PAGE_JSONLD_DEEP), "sitemap_dead_letters": (sitemap_dead_letters, SITEMAP_DEAD_LETTERS), "page_spec_pairs": (page_spec_pairs, PAGE_SPEC), "spec_evidence": (spec_evidence, SPEC_EVIDENCE),
     "product_metadata": (product_metadata, PRODUCT_METADATA), "metadata_evidence": (metadata_evidence, METADATA_EVIDENCE),
@@ -544,5 +561,5 @@ QUERIES = {
     "robots_filter": (robots_filter, ROBOTS_FILTER), "robots_sitemaps": (robots_sitemaps, ROBOTS_SITEMAPS), "sitemap_urls": (sitemap_urls, SITEMAP_URLS),
     "job_candidates": (job_candidates, JOB_CANDIDATES), "capture_plan": (capture_plan, CAPTURE_PLAN), "links_not_followed": (links_not_followed, NOT_FOLLOWED),
     "garbled_flag": (garbled_flag, GARBLED), "ocr_pages": (ocr_pages, OCR_PAGES), "image_filter": (image_filter, IMAGE_FILTER),
-    "doc_text_evidence": (doc_text_evidence, DOC_EVIDENCE), "staged_capture": (staged_capture, STAGED),
+    "doc_text_evidence": (doc_text_evidence, DOC_EVIDENCE), "staged_capture": (staged_capture, STAGED), "final_pack": (final_pack, FINAL_PACK),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -11,6 +11,7 @@ from ..functions.measures import from_mm, size_mm
 from ..session import settle
 from .numbering import number_rows
 
+# Rows of a sheet without a stated limit, reasons of cells, section of media columns.
 DEFAULT_ROW_LIMIT = 500
 BUCKETS = ("written", "needs_input", "invalid_dropdown", "unresolved_numeric", "never_populate", "variant_candidate")
 MEDIA_SECTION = "Media"
@@ -218,20 +219,34 @@ def reconcile_media(referenced: DataFrame, supplied: DataFrame, *keys: str) -> D
 
 # ---------------------------------------------------------------- reports
 
-def run_report(captures: DataFrame | None, outcomes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(section, label, n): records per outcome, captures per status, rows per sheet."""
-    report = outcomes.groupBy(F.col("status").alias("label")).agg(F.count("*").alias("n")).select(
-        F.lit("outcome").alias("section"), "label", "n"
-    )
-    report = report.unionByName(
-        parts.groupBy(F.col("sheet").alias("label")).agg(F.count("*").alias("n")).select(
-            F.lit("sheet").alias("section"), "label", "n"
-        )
-    )
+def run_report(
+    captures: DataFrame | None, outcomes: DataFrame, parts: DataFrame, *, variants: DataFrame | None = None, failures: DataFrame | None = None,
+    fill: DataFrame | None = None, media: DataFrame | None = None,
+) -> DataFrame:
+    """(section, label, n): everything a run has to say, one row per line of the report.
+
+    ``outcome`` records per status, ``sheet`` rows per sheet, ``capture`` candidates per status and ``image`` captured
+    pages with and without an image (if ``captures`` has ``image``), ``variant`` records per expanded field,
+    ``write_failure`` mismatches per category and part, ``written`` cells per column, ``media`` files per problem.
+    """
+    def section(name: str, rows: DataFrame, label: Column, n: Column) -> DataFrame:
+        return rows.groupBy(label.alias("label")).agg(n.cast("bigint").alias("n")).select(F.lit(name).alias("section"), "label", "n")
+
+    one = F.count("*")
+    sections = [section("outcome", outcomes, F.col("status"), one), section("sheet", parts, F.col("sheet"), one)]
     if captures is not None:
-        report = report.unionByName(
-            captures.groupBy(F.col("status").alias("label")).agg(F.count("*").alias("n")).select(
-                F.lit("capture").alias("section"), "label", "n"
-            )
-        )
+        sections.append(section("capture", captures, F.col("status"), one))
+        if "image" in captures.columns:
+            sections.append(section("image", captures.filter("status = 'captured'"), F.when(F.col("image"), "with image").otherwise("without image"), one))
+    if variants is not None:
+        sections.append(section("variant", variants, F.col("expanded_field"), one))
+    if failures is not None:
+        sections.append(section("write_failure", failures, F.concat_ws(" part ", "category_slug", F.col("part").cast("string")), F.sum("mismatches")))
+    if fill is not None:
+        sections.append(section("written", fill, F.concat_ws(".", "template_id", "name"), F.sum("written")))
+    if media is not None:
+        sections.append(section("media", media, F.col("problem"), one))
+    report = sections[0]
+    for other in sections[1:]:
+        report = report.unionByName(other)
     return report

@@ -18,6 +18,7 @@ from claimloom.sources import workbooks
 from claimloom.sources.evidence import evidence_problems
 
 from . import catalogue as c
+from . import queries_web
 from . import sql as q
 
 _MEMO: dict = {}
@@ -546,11 +547,12 @@ UNION ALL SELECT template_id, sheet, part, name, 'row ' || r || ' unexpected' FR
 
 
 def run_report(spark, sf):
-    return publish.run_report(None, outcomes(spark, sf), parts(spark, sf))
-
-
-RUN_REPORT = f"""{q.VARIANTS}, {_PARTS_CTE} SELECT 'outcome' AS section, status AS label, count(*) AS n FROM outcome GROUP BY 2
-  UNION ALL SELECT 'sheet', sheet, count(*) FROM parts GROUP BY 2"""
+    """The whole report: captures of the given pages, and what became of the evidence of the parts."""
+    given = queries_web._pages(spark, sf).select(F.col("page_id").alias("ord"), F.contains("html", F.lit("<img")).alias("image"))
+    captured = queries_web.capture_plan(spark, sf).join(given, "ord")
+    return publish.run_report(
+        captured, outcomes(spark, sf), parts(spark, sf), variants=variant_axis(spark, sf), failures=write_failures_all(spark, sf), fill=fill_stats(spark, sf),
+        media=media_reconcile(spark, sf))
 
 
 _MEASURED = sorted({name for *_, fields in c.TEMPLATES for name, kind, *_ in fields if kind == "numeric"})
@@ -679,6 +681,15 @@ SELECT 'S' || l_suppkey AS record_id, CAST(floor(l_partkey / 100) AS BIGINT) AS
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1, 2"""
 
 
+RUN_REPORT = f"""WITH cap AS ({queries_web.CAPTURE_PLAN})
+SELECT * FROM ({q.VARIANTS}, {_PARTS_CTE.strip()} SELECT 'outcome' AS section, status AS label, count(*) AS n FROM outcome GROUP BY 2 UNION ALL SELECT 'sheet', sheet, count(*) FROM parts GROUP BY 2)
+UNION ALL SELECT 'capture', status, count(*) FROM cap GROUP BY 2
+UNION ALL SELECT 'image', CASE WHEN contains(p.html, '<img') THEN 'with image' ELSE 'without image' END, count(*) FROM cap JOIN pages p ON p.page_id = cap.ord WHERE status = 'captured' GROUP BY 2
+UNION ALL SELECT 'variant', expanded_field, count(*) FROM ({VARIANT_AXIS}) GROUP BY 2
+UNION ALL SELECT 'write_failure', category_slug || ' part ' || part, sum(mismatches)::BIGINT FROM ({WRITE_FAILURES_ALL}) GROUP BY 2
+UNION ALL SELECT 'written', template_id || '.' || name, sum(written)::BIGINT FROM ({FILL_STATS}) GROUP BY 2
+UNION ALL SELECT 'media', problem, count(*) FROM ({MEDIA_RECONCILE}) GROUP BY 2"""
+
 QUERIES = {
     "evidence_jsonl": (evidence_jsonl, EVIDENCE_JSONL), "word_sets": (word_sets, WORD_SETS),
     "evidence_long": (evidence_long, EVIDENCE_LONG), "evidence_violations": (evidence_violations, EVIDENCE_VIOLATIONS),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as t
 from claimloom.operators import audit, classify, knowledge, match
+from claimloom.session import scratch_path
 from claimloom.sources import sheets, stores
 
 from . import catalogue as c
@@ -394,6 +395,58 @@ def pack_manifest(spark, sf):
 PACK_MANIFEST = f"""SELECT {_PACK} AS pack, 'datapackage.json' AS path, sha256({_HEADER}) AS sha256 FROM part WHERE p_partkey % 11 <> 0
 UNION ALL SELECT {_PACK}, 'evidence.jsonl', sha256({_LINES}) FROM part WHERE p_partkey % 13 <> 0 UNION ALL SELECT {_PACK}, 'media/a.webp', sha256(p_brand) FROM part WHERE p_partkey % 2 = 0"""
 
+# ---------------------------------------------------------------- stores of JSON documents: one per brand
+
+
+def _store(spark, docs):
+    """One JSON document per brand, each in a file of its own."""
+    path = scratch_path(spark, "store")
+    docs.repartition("p_brand").write.partitionBy("p_brand").option("ignoreNullFields", "false").json(path)
+    return path
+
+
+def template_store(spark, sf):
+    """Templates written as documents, read as a store, and one of them asked for by its path."""
+    part = c.read(spark, sf, "part")
+    field = F.struct(F.col("p_type").alias("name"), F.lit("A").alias("column"), F.lit("string").alias("type"), F.max(F.col("p_size") > 25).alias("required"))
+    by_type = part.groupBy("p_brand", "p_type").agg(field.alias("f"))
+    docs = by_type.groupBy("p_brand").agg(F.sort_array(F.collect_list("f")).alias("fields")).withColumn("category_path", F.array(F.lit("Brands"), "p_brand")).withColumn("filename", F.lit("x.xlsx"))
+    found, fields = stores.read_templates(spark, _store(spark, docs))
+    asked = stores.template_for(found, ["Brands", "Brand#11"]).select("template_id", F.lit(1).alias("asked"))
+    return fields.join(found.select("template_id", "template_ord"), "template_id").join(asked, "template_id", "left").select(
+        F.col("template_ord").alias("path"), F.col("field_ord").cast("int").alias("field_ord"), "name", F.col("required").cast("int").alias("required"), F.coalesce("asked", F.lit(0)).alias("asked"))
+
+
+TEMPLATE_STORE = """WITH f AS (SELECT p_brand, p_type AS name, max(p_size > 25) AS required FROM part GROUP BY 1, 2)
+SELECT 'Brands > ' || p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY name) - 1 AS INTEGER) AS field_ord, name, CAST(required AS INTEGER) AS required,
+  CASE WHEN p_brand = 'Brand#11' THEN 1 ELSE 0 END AS asked FROM f"""
+
+
+def knowledge_store(spark, sf):
+    """Knowledge documents, some without a status or references, read as a store."""
+    part = c.read(spark, sf, "part")
+    by_type = part.groupBy("p_brand", "p_type").agg(F.struct(
+        F.min("p_size").cast("double").alias("min"), F.max("p_size").cast("double").alias("max"), F.lit("mm").alias("unit"), F.lit("https://example.com/k").alias("source_url")).alias("r"))
+    docs = by_type.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "r"))).alias("plausible_ranges")).withColumn("category_path", F.array(F.lit("Brands"), "p_brand"))
+    known, ranges = stores.read_knowledge(spark, _store(spark, docs.withColumn("review_status", F.when(F.col("p_brand") < "Brand#3", "confirmed"))))
+    return ranges.join(known.select("ord", "review_status", F.size("industry_references").alias("n_references")), "ord").select(
+        F.col("ord").alias("path"), "field", "min", "max", "unit", "review_status", "n_references")
+
+
+KNOWLEDGE_STORE = """SELECT 'Brands > ' || p_brand AS path, p_type AS field, CAST(min(p_size) AS DOUBLE) AS min, CAST(max(p_size) AS DOUBLE) AS max, 'mm' AS unit,
+  CASE WHEN p_brand < 'Brand#3' THEN 'confirmed' ELSE 'pending_review' END AS review_status, 0 AS n_references FROM part GROUP BY p_brand, p_type"""
+
+
+def template_paths(spark, sf):
+    """Category paths of workbooks that state none: from archive and file names, and file-safe names of them."""
+    files = _files(spark, sf)
+    path = sheets.category_path(F.lit(None).cast("string"), F.col("archive"), F.col("filename"), "XX_")
+    return files.select("template_id", t.path_text(path).alias("path"), t.file_slug(F.concat(F.col("archive"), F.lit(": "), F.col("filename"))).alias("safe"), t.file_slug(F.when(F.col("template_id") % 2 == 0, "").otherwise("a?b")).alias("empty"))
+
+
+TEMPLATE_PATHS = f"""SELECT p_partkey AS template_id, 'Tools & Parts ' || p_type || ' > Big Things > ' || {c.NOUN} || ' ' || p_partkey AS path,
+  'zips_XX_Tools_&_Parts_' || replace(p_type, '.', '_') || '_zip_ Big_Things_-_' || {c.NOUN} || '_' || p_partkey || '_xlsx' AS safe, CASE WHEN p_partkey % 2 = 0 THEN 'unknown' ELSE 'a_b' END AS empty FROM part"""
+
 QUERIES = {
     "knowledge_prefix": (knowledge_prefix, KNOWLEDGE_PREFIX), "plausibility_verdict": (plausibility_verdict, PLAUSIBILITY),
     "plausibility_report": (plausibility_report, PLAUSIBILITY_REPORT), "admit_findings": (admit_findings, ADMIT),
@@ -403,6 +456,7 @@ QUERIES = {
     "template_failures": (template_failures, TEMPLATE_FAILURES), "template_totals": (template_totals, TEMPLATE_TOTALS),
     "parsed_fields": (parsed_fields, PARSED_FIELDS), "template_index": (template_index, TEMPLATE_INDEX),
     "writable_fields": (writable_fields, WRITABLE), "category_words": (category_words, CATEGORY_WORDS),
+    "template_store": (template_store, TEMPLATE_STORE), "knowledge_store": (knowledge_store, KNOWLEDGE_STORE), "template_paths": (template_paths, TEMPLATE_PATHS),
     "manifest_audit": (manifest_audit, _AUDIT), "audit_summary": (audit_summary, AUDIT_SUMMARY), "pack_header": (pack_header, PACK_HEADER),
     "pack_manifest": (pack_manifest, PACK_MANIFEST),
 }

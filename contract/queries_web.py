@@ -101,6 +101,18 @@ PAGE_JSONLD_DEEP = """SELECT 'p' || p_partkey AS page_id, CASE WHEN p_partkey %
   CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'S' || p_partkey END AS sku FROM part"""
 
 
+def page_extract(spark, sf):
+    """Everything of a page in one projection."""
+    e = pages.extract_pages(product_pages(spark, sf))
+    return e.select("page_id", F.coalesce("product.name", F.lit("")).alias("product"), F.size("pairs").alias("n_pairs"), F.col("meta.name").alias("meta_name"), F.size("media").alias("n_media"),
+                    F.coalesce(F.get("media", F.lit(0))["media_type"], F.lit("")).alias("first_media"))
+
+
+PAGE_EXTRACT = f"""WITH {_PAGE_CTE} SELECT page_id, coalesce(j_name, '') AS product, CAST((SELECT count(*) FROM pairs p WHERE p.page_id = pg.page_id) AS INTEGER) AS n_pairs, m_name AS meta_name,
+  CAST((CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END) + (CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END) AS INTEGER) AS n_media,
+  CASE WHEN p_partkey % 5 = 0 THEN 'video' WHEN p_partkey % 7 = 0 THEN 'gif' ELSE '' END AS first_media FROM pg"""
+
+
 def page_spec_pairs(spark, sf):
     return pages.spec_pairs(product_pages(spark, sf))
 
@@ -552,7 +564,7 @@ p AS (SELECT job AS pack, CASE WHEN n // 40 = 0 THEN 'evidence.jsonl' ELSE 'evid
 SELECT pack, path, sha256(content) AS sha256, 2::BIGINT AS runs FROM p"""
 
 QUERIES = {
-    "page_jsonld": (page_jsonld, PAGE_JSONLD), "page_jsonld_deep": (page_jsonld_deep, PAGE_JSONLD_DEEP), "sitemap_dead_letters": (sitemap_dead_letters, SITEMAP_DEAD_LETTERS), "page_spec_pairs": (page_spec_pairs, PAGE_SPEC), "spec_evidence": (spec_evidence, SPEC_EVIDENCE),
+    "page_jsonld": (page_jsonld, PAGE_JSONLD), "page_jsonld_deep": (page_jsonld_deep, PAGE_JSONLD_DEEP), "page_extract": (page_extract, PAGE_EXTRACT), "sitemap_dead_letters": (sitemap_dead_letters, SITEMAP_DEAD_LETTERS), "page_spec_pairs": (page_spec_pairs, PAGE_SPEC), "spec_evidence": (spec_evidence, SPEC_EVIDENCE),
     "product_metadata": (product_metadata, PRODUCT_METADATA), "metadata_evidence": (metadata_evidence, METADATA_EVIDENCE),
     "page_media": (page_media, PAGE_MEDIA), "gallery_images": (gallery_images, GALLERY), "product_image": (product_image, PRODUCT_IMAGE),
     "product_links": (product_links, PRODUCT_LINKS), "classify_rank": (classify_rank, CLASSIFY_RANK), "classify_family_prefix": (classify_top, CLASSIFY_TOP),

@@ -94,3 +94,20 @@ def test_contents_are_read_once_and_never_move(spark, tmp_path):
     assert plan.count("FileScan binaryFile") == 1 and "Exchange" not in plan
     errors = audit.audit_packs(audit.read_packs(spark, str(tmp_path)), spark.createDataFrame([], "pack string, path string, sha256 string"))
     assert "binaryFile" not in errors._jdf.queryExecution().executedPlan().toString()  # nothing but the narrow facts
+
+
+def test_packs_come_from_one_snapshot(spark, tmp_path):
+    from claimloom.streaming import staging
+
+    rows = [("j", f"r{i}", c, s, f"f{s}", f"v{c}") for i in range(5) for c in ((1, 2) if i % 2 else (1,)) for s in range(3)]
+    media = [("j", f"r{i}", c, 0, f"http://m/{i}-{c}.gif", "gif") for i in range(5) for c in (1, 2)]
+    spark.createDataFrame(rows, "job string, record_id string, capture long, seq long, field string, value string").write.parquet(str(tmp_path / "e" / "batch_id=0"))
+    spark.createDataFrame(media, "job string, record_id string, capture long, seq long, url string, media_type string").write.parquet(str(tmp_path / "m" / "batch_id=0"))
+    first, second = (staging.finalize_pack(spark, str(tmp_path / "e"), str(tmp_path / "m"), part_rows=4) for _ in range(2))
+    assert sorted(map(tuple, first.manifest.collect())) == sorted(map(tuple, second.manifest.collect())) and first.manifest.count() == 1 + 4
+    text = {r["path"]: bytes(r["content"]).decode() for r in first.parts.collect()}
+    lines = [json.loads(x) for name in sorted(text, key=lambda n: (n != "evidence.jsonl", n)) if name.startswith("evidence") for x in text[name].splitlines()]
+    assert [(x["record_id"], x["seq"], x["value"]) for x in lines] == [(f"r{i}", s, f"v{2 if i % 2 else 1}") for i in range(5) for s in range(3)]
+    assert json.loads(text["datapackage.json"]) | {"producer": 0} == {"version": "1.0", "producer": 0, "product_count": 5, "media_count": 5, "provenance_policy": "no-evidence-no-value"}
+    assert {(r["record_id"], r["refs"][0]["url"]) for r in first.media.collect()} == {(f"r{i}", f"http://m/{i}-{2 if i % 2 else 1}.gif") for i in range(5)}
+    assert audit.audit_packs(first.parts.unionByName(first.manifest.groupBy("pack").agg(F.lit("manifest-sha256.txt").alias("path"), F.lit(b"").alias("content"))), first.manifest).filter("NOT error LIKE '%source%'").collect() == []

@@ -2,8 +2,8 @@
 
 A shard is some megabytes of texts inside a task.  Words that no test phrase has are one symbol, and a run of them is
 kept once: no phrase can cross it.  All phrases are searched backwards at the same time; occurrences come from sampled
-suffix positions and are merged into removal spans.  Test phrases are handled in blocks of a stated size; every block
-is one more pass over the rows, without a shuffle, so the phrases' size is not limited.
+suffix positions and are merged into removal spans.  Test phrases are handled in blocks of a stated size, one pass over
+the rows after the other, without a shuffle; what a pass has found is written for the next.  One item is never split.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import wordspans as ws
 from .fmindex import FMIndex
+from .tables import cut_lineage
 
 WINDOW = 13
 #: Bytes of test texts in one block: the bound of what is collected and broadcast at a time.
@@ -149,6 +150,9 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, *, carry: list[str], win
         kept = [*carry] if b == blocks - 1 or text in carry else [*carry, text]
         out = StructType([*state.select(*kept).schema.fields, *StructType.fromDDL(_HITS).fields])
         state = state.mapInArrow(_search(text, lambda shared=shared: shared.value, to_arrow_schema(out), len(kept)), out)
+        if b < blocks - 1:  # one pass at a time: a chain would hold one worker and one broadcast per block
+            state = cut_lineage(state)
+            shared.unpersist()
     return state
 
 

@@ -24,6 +24,9 @@ from ..session import cut_lineage, settle
 MIN_PRECISION = 0.5
 MIN_RECALL = 0.5
 TOP_CANDIDATES = 8
+# Reasons given for an open decision.
+TIE_REASON = "unresolved tie among %d candidates at precision %.3f"
+NO_MATCH_REASON = "no schema cleared the match/recall thresholds"
 
 
 # ---------------------------------------------------------------- template side (small tables)
@@ -415,7 +418,7 @@ def outcomes(
         .otherwise("no_template_match")
     )
     tie_reason = F.format_string(
-        "unresolved tie among %d candidates at precision %.3f", F.size("tier"), t.python_round(confidence, 3)
+        TIE_REASON, F.size("tier"), t.python_round(confidence, 3)
     )
     return joined.select(
         "record_id",
@@ -423,7 +426,7 @@ def outcomes(
         winner.alias("template_id"),
         confidence.alias("confidence"),
         F.when(status == "category_ambiguous", tie_reason)
-        .when(status == "no_template_match", F.lit("no schema cleared the match/recall thresholds"))
+        .when(status == "no_template_match", F.lit(NO_MATCH_REASON))
         .alias("reason"),
         F.when((F.size("tier") > 1) & F.col("by_size").isNotNull(), "size")
         .when(from_word, "content_tie_break").alias("tie_method"),

@@ -15,7 +15,7 @@ from ..functions.binding import let
 from ..session import cut_lineage
 
 HEADER_SCAN = 6
-# Sheets every template needs, and the headings that end a block of instructions.
+# Sheets every template needs, headings that end a block of instructions, reason of a missing header.
 REQUIRED_SHEETS = ("Template", "Lookup", "Instructions")
 HEADINGS = (
     "general instructions", "template sections", "required fields", "product naming convention",

@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     judged = cut_lineage(near_duplicates(docs).select("row_key", "survives"))
-    gone = judged.filter(~F.col("survives")).select("row_key").distinct()
+    gone = settle(judged.filter(~F.col("survives")).select("row_key").distinct())
     # Rows that are there several times are few; only their texts are compared row by row.
     several = settle(judged.filter("survives").groupBy("row_key").count().filter("count > 1").select("row_key"))
     stays = with_row_key(docs.select(*COLUMNS), "row_key").join(gone, "row_key", "left_anti")

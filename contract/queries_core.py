@@ -593,7 +593,7 @@ SELECT record_id, CAST(variant_no AS INTEGER) AS variant_no, name, number, CAST(
 
 
 def _failures(spark, sf, diff):
-    p = parts(spark, sf).select("template_id", "record_id", "variant_no", "category_slug", "part")
+    p = parts(spark, sf).select("record_id", "variant_no", "category_slug", "part")
     return publish.write_failures(diff.join(p, ["record_id", "variant_no"]))
 
 

@@ -60,25 +60,14 @@ def clean_name(c: Column) -> Column:
     )
 
 
-def validation_columns(validations: DataFrame) -> DataFrame:
-    """(template_id, col, formula1): list validations per column, the last one standing."""
-    return (
-        validations.filter("kind = 'list' AND formula1 IS NOT NULL")
-        .select("template_id", "ord", "formula1", F.explode(F.sequence("min_col", "max_col")).alias("col"))
-        .groupBy("template_id", "col").agg(F.max_by("formula1", "ord").alias("formula1"))
-    )
-
-
 def lookups(cells: DataFrame) -> DataFrame:
     """(template_id, col, name, values): one row per lookup column, values in sheet order."""
-    rows = _sheet(cells, "Lookup")
-    named = rows.filter("row = 1").select("template_id", "col", F.col("text").alias("name"))
-    below = rows.filter("row > 1").groupBy("template_id", "col").agg(
-        F.array_sort(F.collect_list(F.struct("row", "text"))).alias("v")
+    found = _sheet(cells, "Lookup").groupBy("template_id", "col").agg(
+        F.max(F.when(F.col("row") == 1, F.col("text"))).alias("name"),
+        F.array_sort(F.collect_list(F.when(F.col("row") > 1, F.struct("row", "text")))).alias("v"),
     )
-    empty = F.array().cast("array<string>")
-    return named.join(below, ["template_id", "col"], "left").select(
-        "template_id", "col", "name", F.coalesce(F.transform("v", lambda x: x["text"]), empty).alias("values")
+    return found.filter("name IS NOT NULL").select(
+        "template_id", "col", "name", F.transform("v", lambda x: x["text"]).alias("values")
     )
 
 
@@ -87,70 +76,93 @@ def is_numeric_format(c: Column) -> Column:
     return ~fmt.isin("", "General", "@") & fmt.rlike("[0#]") & ~F.lower(fmt).rlike("yy|dd|hh|ss|am/pm")
 
 
+def _placed(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """``rows`` of templates with a header row, and that row; one shuffle by template.
+
+    The header rows come in by union and a window over one template's rows, not by a join: of tables with a row or
+    more per template, Spark would broadcast the one whose size it takes for small.
+    """
+    marked = rows.withColumn("_row", F.lit(True)).unionByName(headers.select("template_id", "header_row"), allowMissingColumns=True)
+    own = Window.partitionBy("template_id")
+    return marked.withColumn("header_row", F.max("header_row").over(own)).filter("_row AND header_row IS NOT NULL").drop("_row")
+
+
+def _template_rows(cells: DataFrame) -> DataFrame:
+    return cells.filter("sheet = 'Template'").select(
+        "template_id", "row", "col", F.when(~t.is_blank(F.col("text")), t.strip(F.col("text"))).alias("text"),
+        F.struct("number_format", "locked", "is_formula").alias("body"),
+    )
+
+
 def header_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(template_id, col, header_row, name, required, conditional) of every labelled header cell."""
     return (
-        _sheet(cells, "Template").join(headers, "template_id").filter("row = header_row")
+        _placed(_template_rows(cells).drop("body").filter("text IS NOT NULL"), headers).filter("row = header_row")
         .select("template_id", "col", "header_row", clean_name(F.col("text")).alias("n"))
         .select("template_id", "col", "header_row", "n.*")
     )
 
 
-def _columns(cells: DataFrame, validations: DataFrame, headers: DataFrame) -> DataFrame:
-    """Header cells with the type, lock and formula flags of their column and its validation."""
-    body = cells.filter("sheet = 'Template'").join(headers, "template_id").filter("row = header_row + 1").select(
-        "template_id", "col", "number_format", "locked", "is_formula"
+def columns(cells: DataFrame, validations: DataFrame, headers: DataFrame) -> DataFrame:
+    """Header cells with the type, lock and formula flags of their column and its validation, the last one standing.
+
+    Cells, validations and header rows meet in one shuffle by template.
+    """
+    rules = validations.filter("kind = 'list' AND formula1 IS NOT NULL").select(
+        "template_id", F.explode(F.sequence("min_col", "max_col")).alias("col"), F.struct("ord", "formula1").alias("rule")
+    )
+    placed = _placed(_template_rows(cells).unionByName(rules, allowMissingColumns=True), headers)
+    found = placed.filter("rule IS NOT NULL OR row IN (header_row, header_row + 1)").groupBy("template_id", "col").agg(
+        F.max("header_row").alias("header_row"),
+        F.max(F.when(F.col("row") == F.col("header_row"), F.col("text"))).alias("label"),
+        F.max(F.when(F.col("row") == F.col("header_row") + 1, F.col("body"))).alias("body"), F.max("rule")["formula1"].alias("formula1"),
     )
     kind = (
         F.when(F.col("formula1").isNotNull(), "dropdown")
-        .when(is_numeric_format(F.col("number_format")), "numeric").otherwise("string")
+        .when(is_numeric_format(F.col("body.number_format")), "numeric").otherwise("string")
     )
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return (
-        header_cells(cells, headers)
-        .join(body, ["template_id", "col"], "left")
-        .join(validation_columns(validations), ["template_id", "col"], "left")
-        .select(
-            "template_id", "col", "header_row", "name", "required", "conditional", kind.alias("type"), flag("locked"),
-            flag("is_formula"), "formula1",
-        )
+    flag = lambda c: F.coalesce(F.col(f"body.{c}"), F.lit(False)).alias(c)
+    return found.filter("label IS NOT NULL").withColumn("n", clean_name(F.col("label"))).select(
+        "template_id", "col", "header_row", "n.*", kind.alias("type"), flag("locked"), flag("is_formula"), "formula1"
     )
 
 
 def field_types(cells: DataFrame, validations: DataFrame, headers: DataFrame) -> DataFrame:
     """(template_id, col, type, locked, is_formula, formula1) from the row below the header and the validations."""
-    return _columns(cells, validations, headers).select(
+    return columns(cells, validations, headers).select(
         "template_id", "col", "type", "locked", "is_formula", "formula1"
     )
 
 
-def _with_vocabulary(columns: DataFrame, lookup_columns: DataFrame) -> DataFrame:
+def _with_vocabulary(fields: DataFrame, lookup_columns: DataFrame) -> DataFrame:
     f = t.strip(F.coalesce("formula1", F.lit("")))
     reference = r"^'?([^'!]+)'?!\$?([A-Za-z]+)\$?\d+(?::\$?[A-Za-z]+\$?\d+)?$"
     inline = F.startswith(f, F.lit('"')) & F.endswith(f, F.lit('"'))
     words = F.filter(F.transform(F.split(F.substring(f, F.lit(2), F.length(f) - 2), ","), t.strip), lambda w: w != "")
     by_letter = lookup_columns.select(
-        "template_id", column_letter(F.col("col")).alias("letters"), F.col("name").alias("lookup_name"), "values"
+        "template_id", column_letter(F.col("col")).alias("letters"), F.struct("name", "values").alias("lookup")
     )
     empty = F.array().cast("array<string>")
     is_dropdown, is_lookup = F.col("type") == "dropdown", F.col("letters").isNotNull()
     letters = F.when(
         is_dropdown & ~inline & (F.regexp_extract(f, reference, 1) == "Lookup"), F.regexp_extract(f, reference, 2)
     )
+    # A lookup column reaches the fields that name it by union and a window over the two of them, as in _placed.
+    both = fields.withColumn("letters", letters).withColumn("_row", F.lit(True)).unionByName(by_letter, allowMissingColumns=True)
+    own = Window.partitionBy("template_id", "letters")
     return (
-        columns.withColumn("letters", letters).withColumn("inline", inline)
-        .join(by_letter, ["template_id", "letters"], "left")
+        both.withColumn("lookup", F.first("lookup", ignorenulls=True).over(own)).filter("_row")
         .withColumn(
             "dropdown_source",
-            F.when(is_dropdown, F.when(F.col("inline"), "inline")
-                   .when(is_lookup, F.concat(F.lit("lookup:"), F.coalesce("lookup_name", F.lit("None"))))
+            F.when(is_dropdown, F.when(inline, "inline")
+                   .when(is_lookup, F.concat(F.lit("lookup:"), F.coalesce("lookup.name", F.lit("None"))))
                    .otherwise("reference")),
         )
         .withColumn(
             "vocabulary",
-            F.when(is_dropdown & F.col("inline"), words).when(is_lookup, F.coalesce("values", empty)).otherwise(empty),
+            F.when(is_dropdown & inline, words).when(is_lookup, F.coalesce("lookup.values", empty)).otherwise(empty),
         )
-        .drop("letters", "inline", "lookup_name", "values")
+        .drop("letters", "lookup", "_row")
     )
 
 
@@ -163,14 +175,14 @@ def field_vocabulary(types: DataFrame, lookup_columns: DataFrame) -> DataFrame:
 
 def sections(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(template_id, col, section): the label row above the header, carried to the right."""
-    labels = _sheet(cells, "Template").join(headers, "template_id").filter("row = header_row - 1").select(
-        "template_id", "col", F.col("text").alias("label")
-    )
-    columns = header_cells(cells, headers).filter("header_row > 1").select("template_id", "col", F.lit(True).alias("wanted"))
     right = Window.partitionBy("template_id").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _placed(_template_rows(cells).drop("body").filter("text IS NOT NULL"), headers).filter("row IN (header_row - 1, header_row)")
+    by_column = rows.groupBy("template_id", "col").agg(
+        F.max(F.when(F.col("row") < F.col("header_row"), F.col("text"))).alias("label"),
+        F.bool_or((F.col("row") == F.col("header_row")) & (F.col("header_row") > 1)).alias("wanted"),
+    )
     return (
-        columns.join(labels, ["template_id", "col"], "full")
-        .withColumn("section", F.last("label", ignorenulls=True).over(right))
+        by_column.withColumn("section", F.last("label", ignorenulls=True).over(right))
         .filter("wanted").select("template_id", "col", "section")
     )
 

@@ -175,7 +175,7 @@ def _files(spark, sf):
 
 
 def _validations(spark, sf):
-    p = c.read(spark, sf, "part").select(F.col("p_partkey").alias("template_id"))
+    p = c.spread(spark, c.read(spark, sf, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("template_id"))
     v = lambda o, lo, hi, kind, f: F.struct(
         F.lit(o).alias("ord"), F.lit(lo).alias("min_col"), F.lit(hi).alias("max_col"), F.lit(kind).alias("kind"), f.alias("formula1"))
     rows = F.array(
@@ -225,9 +225,7 @@ TEMPLATE_SECTIONS = f"""{_W} SELECT n.template_id, n.col, coalesce((SELECT s.tex
 
 def template_types(spark, sf):
     cells = _cells(spark, sf)
-    h = sheets.header_rows(cells)
-    names = sheets.header_cells(cells, h)
-    return names.join(sheets.field_types(cells, _validations(spark, sf), h), ["template_id", "col"]).select(
+    return sheets.columns(cells, _validations(spark, sf), sheets.header_rows(cells)).select(
         "template_id", "col", "name", *[F.col(x).cast("int").alias(x) for x in ("required", "conditional", "locked", "is_formula")], "type")
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.plans.resolve import publish, resolve
@@ -84,3 +85,27 @@ def test_sheets_of_equal_names_keep_apart(spark, tmp_path):
 
 def test_column_numbers(evaluate):
     assert evaluate(workbooks.column_number, ["A", "Z", "AA", "AB", "ZZ", "AAA"]) == [1, 26, 27, 28, 702, 703]
+
+
+@pytest.mark.parametrize("name", ["template_types", "template_vocabulary", "template_sections"])
+def test_sheets_of_one_row_per_template_are_never_broadcast(spark, name):
+    """A table with rows for every template is joined by no broadcast, however small Spark takes it to be."""
+    from contract import queries_store
+
+    plan = queries_store.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" in plan
+
+
+def test_vocabulary_of_named_missing_and_inline_lookups(spark):
+    cells = spark.createDataFrame(
+        [("a", "Template", 1, c, x, "General", False, False) for c, x in ((1, "Name*"), (2, "Brand"), (3, "Size"), (4, "Kind"))]
+        + [("a", "Template", 2, 3, "", "0.0", True, False), ("a", "Lookup", 1, 27, "Brand", None, None, None), ("a", "Lookup", 3, 27, "y", None, None, None), ("a", "Lookup", 2, 27, "x", None, None, None)],
+        "template_id string, sheet string, row int, col int, text string, number_format string, locked boolean, is_formula boolean")
+    rules = spark.createDataFrame(
+        [("a", 0, 2, 4, "list", '"p, q"'), ("a", 1, 2, 2, "list", "Lookup!$AA$2:$AA$9"), ("a", 2, 4, 4, "list", "Lookup!$C$2")],
+        "template_id string, ord int, min_col int, max_col int, kind string, formula1 string")
+    columns = sheets.columns(cells, rules, sheets.header_rows(cells))
+    assert {(r.col, r.name, r.required, r.type, r.locked) for r in columns.collect()} == {
+        (1, "Name", True, "string", False), (2, "Brand", False, "dropdown", False), (3, "Size", False, "dropdown", True), (4, "Kind", False, "dropdown", False)}
+    found = sheets.field_vocabulary(columns, sheets.lookups(cells)).collect()
+    assert {(r.col, r.dropdown_source, tuple(r.vocabulary)) for r in found} == {(2, "lookup:Brand", ("x", "y")), (3, "inline", ("p", "q")), (4, "lookup:None", ())}

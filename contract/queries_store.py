@@ -327,8 +327,12 @@ _LINES = """'{"record_id":"P' || CAST(p_partkey AS STRING) || '","field":"Name",
   WHEN 2 THEN '{"record_id":"P","field":"Brand","value":null,"absence":true}' WHEN 3 THEN '{"record_id":"P","field":"Brand","value":null}' ELSE '{"record_id":"P","field":"Brand","value":"x","absence":true}' END || chr(10)"""
 
 
+def _packed(spark, sf):
+    return c.spread(spark, c.read(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+
+
 def _pack_parts(spark, sf):
-    part = c.read(spark, sf, "part")
+    part = _packed(spark, sf)
     piece = lambda path, content, keep: F.when(F.expr(keep), F.struct(F.lit(path).alias("path"), F.expr(content).alias("content")))
     rows = F.array_compact(F.array(
         piece("datapackage.json", _HEADER, "p_partkey % 11 <> 0"), piece("evidence.jsonl", _LINES, "p_partkey % 13 <> 0"),
@@ -337,7 +341,7 @@ def _pack_parts(spark, sf):
 
 
 def _listed(spark, sf):
-    part = c.read(spark, sf, "part")
+    part = _packed(spark, sf)
     rows = F.array(
         F.struct(F.lit("datapackage.json").alias("path"), F.sha2(F.expr(_HEADER).cast("binary"), 256).alias("sha256")),
         F.struct(F.lit("evidence.jsonl").alias("path"), F.sha2(F.expr(f"CASE WHEN p_partkey % 7 = 0 THEN 'changed' ELSE {_LINES} END").cast("binary"), 256).alias("sha256")),

@@ -97,7 +97,7 @@ def _template_rows(cells: DataFrame) -> DataFrame:
 def header_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(template_id, col, header_row, name, required, conditional) of every labelled header cell."""
     return (
-        _placed(_template_rows(cells).drop("body").filter("text IS NOT NULL"), headers).filter("row = header_row")
+        _placed(_sheet(cells, "Template").select("template_id", "row", "col", "text"), headers).filter("row = header_row")
         .select("template_id", "col", "header_row", clean_name(F.col("text")).alias("n"))
         .select("template_id", "col", "header_row", "n.*")
     )
@@ -176,7 +176,7 @@ def field_vocabulary(types: DataFrame, lookup_columns: DataFrame) -> DataFrame:
 def sections(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(template_id, col, section): the label row above the header, carried to the right."""
     right = Window.partitionBy("template_id").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = _placed(_template_rows(cells).drop("body").filter("text IS NOT NULL"), headers).filter("row IN (header_row - 1, header_row)")
+    rows = _placed(_sheet(cells, "Template").select("template_id", "row", "col", "text"), headers).filter("row IN (header_row - 1, header_row)")
     by_column = rows.groupBy("template_id", "col").agg(
         F.max(F.when(F.col("row") < F.col("header_row"), F.col("text"))).alias("label"),
         F.bool_or((F.col("row") == F.col("header_row")) & (F.col("header_row") > 1)).alias("wanted"),

@@ -267,10 +267,14 @@ def compare_structure(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def write_workbooks(cells: DataFrame, validations: DataFrame, files: DataFrame, parts: DataFrame, path: str) -> None:
-    """Cells in one folder per category, template and part; rules and files as tables beside them."""
-    folder = parts.select(book_id().alias("template_id"), "category_slug", F.col("template_id").alias("template"), "part").distinct()
-    placed = cells.join(folder, "template_id").repartition("template_id")
-    placed.write.mode("overwrite").partitionBy("category_slug", "template", "part").parquet(f"{path}/cells")
+    """Cells with their category, template and part, rules and files: three tables.
+
+    A workbook lies whole and in order in one file, beside others: there are as many files as tasks, however many
+    sheets there are, and a reader finds a workbook by the columns that its rows are sorted by.
+    """
+    placing = parts.select(book_id().alias("template_id"), "category_slug", F.col("template_id").alias("template"), "part").distinct()
+    placed = cells.join(placing, "template_id").repartition("template_id").sortWithinPartitions("category_slug", "template", "part", "sheet", "row", "col")
+    placed.write.mode("overwrite").parquet(f"{path}/cells")
     validations.write.mode("overwrite").parquet(f"{path}/validations")
     files.write.mode("overwrite").parquet(f"{path}/files")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import pages
-from claimloom.sources import sitemaps
+from claimloom.sources import sitemaps, workbooks
 from contract import queries_store, queries_web
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,14 @@ def test_sitemaps_of_any_depth_and_kind_of_damage(spark):
     rows = sitemaps.read_sitemaps(spark.createDataFrame(list(maps.items()), "url string, xml string")).collect()
     assert {r.url: list(r.locs) for r in rows if r.sound} == {k: ["u"] for k in ("flat", "deep", "deeper", "empty element", "cdata")}
     assert all(not r.locs for r in rows if not r.sound)
+
+
+def test_many_sheets_lie_in_few_files_each_in_one(spark, tmp_path):
+    books = spark.range(60).select(F.concat_ws("/", F.lit("t"), F.concat(F.lit("s"), "id")).alias("template_id"))
+    cells = books.select("template_id", F.lit("Template").alias("sheet"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("row"), F.lit(1).alias("col"), F.lit("x").alias("text"))
+    parts = spark.range(60).select(F.lit("t").alias("template_id"), F.concat(F.lit("s"), "id").alias("sheet"), F.lit("c").alias("category_slug"), F.col("id").alias("part"))
+    workbooks.write_workbooks(cells, books, books, parts, str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    assert stored.count() == 240 and {"category_slug", "template", "part"} <= set(stored.columns)
+    assert len(list((tmp_path / "cells").rglob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert stored.select("template_id", F.input_file_name().alias("file")).distinct().count() == 60

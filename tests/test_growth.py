@@ -55,3 +55,10 @@ def test_many_sheets_lie_in_few_files_each_in_one(spark, tmp_path):
     assert stored.count() == 240 and {"category_slug", "template", "part"} <= set(stored.columns)
     assert len(list((tmp_path / "cells").rglob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert stored.select("template_id", F.input_file_name().alias("file")).distinct().count() == 60
+
+
+def test_summary_of_a_page_is_read_once_whatever_is_chosen_from_it(spark):
+    page = spark.createDataFrame([("u", "<h1>x</h1>")], "url string, html string")
+    summary = pages.page_summary(F.col("html"), F.col("url"))
+    looks = lambda c: page.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("<title(?=")
+    assert looks(F.struct(pages.best_metadata(summary))) == looks(F.struct(summary))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import pages
 from claimloom.sources import sitemaps, workbooks
-from contract import queries_store, queries_web
+from contract import queries_core, queries_store, queries_web
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +62,7 @@ def test_summary_of_a_page_is_read_once_whatever_is_chosen_from_it(spark):
     summary = pages.page_summary(F.col("html"), F.col("url"))
     looks = lambda c: page.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("<title(?=")
     assert looks(F.struct(pages.best_metadata(summary))) == looks(F.struct(summary))
+
+
+def test_sheets_are_numbered_once_for_all_who_ask(spark):
+    assert queries_core.parts(spark, SF) is queries_core.parts(spark, SF)

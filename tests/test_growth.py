@@ -7,9 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import pages
+from claimloom.operators import match, pages
 from claimloom.sources import sitemaps, workbooks
-from contract import queries_core, queries_store, queries_web
+from contract import catalogue, queries_core, queries_store, queries_web
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,6 +57,27 @@ def test_many_sheets_lie_in_few_files_each_in_one(spark, tmp_path):
     assert stored.select("template_id", F.input_file_name().alias("file")).distinct().count() == 60
 
 
+def test_steps_of_a_part_do_not_pass_through_the_branches_of_other_steps(spark):
+    plan = plan_of(catalogue.evidence(spark, SF))
+    assert not re.search(r"\bk#\d+", plan) and "REPARTITION_BY_NUM" in plan
+
+
+def test_sheets_are_numbered_once_for_all_who_ask(spark):
+    assert queries_core.parts(spark, SF) is queries_core.parts(spark, SF)
+
+
+def test_outcomes_compare_names_and_aggregate_values_once(spark, monkeypatch):
+    seen, first = [], match._first_values
+    monkeypatch.setattr(match, "_first_values", lambda evidence: seen.append(1) or first(evidence))
+    match.outcomes(queries_core.evidence(spark, SF), queries_core.index(spark))
+    assert len(seen) == 1
+
+
+def test_names_seen_a_second_time_only_where_the_first_look_fails(spark):
+    rows = queries_core.populate._routed(queries_core.evidence(spark, SF), queries_core.matched(spark, SF), queries_core.index(spark))
+    assert re.search(r"CASE WHEN isnull\(field_canon", plan_of(rows))
+
+
 def test_summary_of_a_page_is_read_once_whatever_is_chosen_from_it(spark):
     page = spark.createDataFrame([("u", "<h1>x</h1>")], "url string, html string")
     summary = pages.page_summary(F.col("html"), F.col("url"))
@@ -64,5 +85,8 @@ def test_summary_of_a_page_is_read_once_whatever_is_chosen_from_it(spark):
     assert looks(F.struct(pages.best_metadata(summary))) == looks(F.struct(summary))
 
 
-def test_sheets_are_numbered_once_for_all_who_ask(spark):
-    assert queries_core.parts(spark, SF) is queries_core.parts(spark, SF)
+def test_names_with_odd_ends(evaluate):
+    from claimloom.functions import text as t
+
+    names = ["Size (mm)", "Size (MM) \u2028", "(mm)", "Size (mm) x", "Size (mm", " <Dia (in)> ", "title", "Title\n", "titles", "cost", " _cost", "", None, "a)", "Price (usd)"]
+    assert evaluate(t.canonical, names) == ["size", "size", "", "size (mm) x", "size (mm", "dia", "name", "name", "titles", "price", "price", "", None, "a)", "price (usd)"]

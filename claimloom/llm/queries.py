@@ -50,7 +50,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return stored_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

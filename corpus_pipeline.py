@@ -62,7 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, stored in the mixed order they come in and read back: one row per document."""
     small_batches(spark)
-    return stored_ids(docs, public_tokenizers.path("word_bpe_49k.json"), by_id=False).drop("ids")
+    return stored_ids(docs, public_tokenizers.path("word_bpe_49k.json"), by_id=False, with_ids=False)
 
 
 STAGES = [("language id", language_id), ("near dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mixing), ("token ids", token_ids)]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import wordspans as ws
 from .components import components
-from .tables import cut_lineage, with_row_key
+from .tables import cut_lineage, settle, with_row_key
 
 WIDTH = 5
 #: A pair with similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**5)**32 > 1 - 4e-6.
@@ -156,7 +156,7 @@ _CELL = "key long, i int, j int"
 def _search_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
     """The pairs of a cell that no test rules out, as one row: the nodes in them and two lists of their numbers."""
     def run(table: pa.Table) -> pa.Table:
-        ws.give_back()  # of the cell before
+        ws.give_back(2 * table.nbytes)  # of the cells before
         table = table.combine_chunks()
         node, root = table["node"].to_numpy(), table["root"].to_numpy()
         sig = _signatures(table["sig"].combine_chunks())
@@ -201,7 +201,7 @@ def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _confirm_cell(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Links of a cell, decided on full sets; a pair that is joined through others already needs no link of its own."""
     def run(table: pa.Table) -> pa.Table:
-        ws.give_back()
+        ws.give_back(2 * table.nbytes)
         pairs = table.filter(pa.compute.is_valid(table["nodes"]))
         nodes = pairs["nodes"][0].as_py()
         left, right = (np.frombuffer(pairs[c][0].as_py(), "<u4").tolist() for c in ("left", "right"))
@@ -285,8 +285,9 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = 80, i
 
     # Shingle sets of those nodes, from one of their rows each.
     wanted = about.select("_row", "node")
+    # Which rows these are is written first: they are few beside the texts, and Spark sees it.
     sets_of = lambda needed: rows.select("_row", "_text").join(
-        wanted.join(needed, "node", "left_semi").select("_row", "node"), "_row").dropDuplicates(["node"]).select("node", "_text").mapInArrow(_sets(width), "node long, members binary")
+        settle(wanted.join(needed, "node", "left_semi").select("_row", "node")), "_row").dropDuplicates(["node"]).select("node", "_text").mapInArrow(_sets(width), "node long, members binary")
     nodes_of = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def confirmed(candidates: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path, shared_folder
+from ..session import cut_lineage, scratch_path, settle, shared_folder
 
-__all__ = ["cut_lineage", "learn_rows", "read_table", "scratch_path", "shared_folder", "small_batches", "with_row_key"]
+__all__ = ["cut_lineage", "learn_rows", "read_table", "scratch_path", "settle", "shared_folder", "small_batches", "with_row_key"]
 
 #: Bytes of an Arrow batch: rows here are whole texts and sets, and a batch is held by Spark and by Python.
 BATCH_BYTES = "16m"

@@ -110,8 +110,23 @@ def _trim() -> Callable[[int], int] | None:
         return None
 
 
-def give_back() -> None:
-    """Returns memory that Arrow and numpy have freed: a Python worker outlives its task and would keep it."""
+#: Bytes that small pieces of work may have used before their memory is given back.
+GIVE_BACK_BYTES = 64 << 20
+_used = 0
+
+
+def give_back(used: int | None = None) -> None:
+    """Returns memory that Arrow and numpy have freed: a Python worker outlives its task and would keep it.
+
+    That takes some milliseconds.  A caller with very many small pieces of work tells how many bytes it ``used``; memory
+    then goes back once these add up.
+    """
+    global _used
+    if used is not None:
+        _used += used
+        if _used < GIVE_BACK_BYTES:
+            return
+    _used = 0
     pa.default_memory_pool().release_unused()
     trim = _trim()
     if trim is not None:

@@ -28,13 +28,13 @@ END_ID = 1
 #: Bytes of text in a segment.
 SEGMENT_BYTES = 12 << 20
 #: Bytes of text whose distinct pieces are found together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SEGMENT = "part int, segment int, n_ids long, doc_ids array<{id}>, n_tokens array<int>, block_ids array<int>, block_crc32 array<long>, blocks array<binary>"
 
 
 #: Pieces whose ids a worker keeps; a table that is full starts anew.
-KNOWN_PIECES = 1 << 19
+KNOWN_PIECES = 1 << 18
 #: Pieces that the library encodes in one call.
 _TOGETHER = 500
 #: Code points below this, but one, are found alike before and after the library normalises a text.

@@ -111,7 +111,7 @@ def _trim() -> Callable[[int], int] | None:
 
 
 #: Bytes that small pieces of work may have used before their memory is given back.
-GIVE_BACK_BYTES = 64 << 20
+GIVE_BACK_BYTES = 16 << 20
 _used = 0
 
 

@@ -41,11 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     judged = cut_lineage(near_duplicates(docs).select("row_key", "survives"))
     gone = settle(judged.filter(~F.col("survives")).select("row_key").distinct())
-    # Rows that are there several times are few; only their texts are compared row by row.
-    several = settle(judged.filter("survives").groupBy("row_key").count().filter("count > 1").select("row_key"))
+    # Equal keys meet in the one exchange of the texts: the join and the choice of one row both deal by the key.
     stays = with_row_key(docs.select(*COLUMNS), "row_key").join(gone, "row_key", "left_anti")
-    once, more = stays.join(several, "row_key", "left_anti"), stays.join(several, "row_key", "left_semi")
-    return once.unionByName(more.dropDuplicates(["row_key"])).select(*COLUMNS)
+    return stays.dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Near-duplicates: memory is not given back for every small cell, and texts of few candidates are not shuffled."""
+"""Near-duplicates: memory is not given back for every small cell, and one exchange of the texts takes the rest out."""
 
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from claimloom.llm import neardup
 from claimloom.llm import wordspans as ws
 
@@ -26,24 +27,20 @@ def test_small_cells_do_not_trim_memory_one_by_one(monkeypatch):
     assert len(trims) >= 1
 
 
-def test_texts_stay_where_they_are_for_few_candidates(spark, monkeypatch, tmp_path):
+def test_texts_are_shuffled_once_to_take_the_rest_out(spark, tmp_path):
     known = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, f"{known} x{i}") for i in range(4)] + [(100 + i, " ".join(f"t{i}x{k}" for k in range(3000))) for i in range(200)]
+    rows = [(i, f"{known} x{i}", "en", "s", 9) for i in range(4)] + [(100 + i, f"text {i} " * 5, "en", "s", 9) for i in range(50)]
+    rows += [(7, "twice the same", "en", "s", 9)] * 2 + [(8, None, "en", "s", 9)] * 2
     path = str(tmp_path / "documents")
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
-    plans, cut = [], neardup.cut_lineage
-
-    def seen(df, *by):
-        if "members" in (names := df._jdf.queryExecution().optimizedPlan().toString()) and "_text" in names:
-            plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return cut(df, *by)
-
-    monkeypatch.setattr(neardup, "cut_lineage", seen)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.read.parquet(path)).collect()}
+        kept = corpus_pipeline.near_dedup(spark, spark.read.parquet(path), "")
+        got = sorted(tuple(r) for r in kept.collect())
+        plan = kept._jdf.queryExecution().sparkPlan().toString() + kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plans and all("BroadcastHashJoin [_row" in p for p in plans)
-    assert got == {i: 0 if i < 4 else i for i, _ in rows}
+    gone = {1, 2, 3}
+    assert [r[0] for r in got] == sorted({r[0] for r in rows} - gone)
+    assert len([line for line in plan.splitlines() if "Scan parquet [doc_id" in line or "FileScan parquet [doc_id" in line]) <= 2  # once in each of the two plans

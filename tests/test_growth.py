@@ -90,3 +90,11 @@ def test_names_with_odd_ends(evaluate):
 
     names = ["Size (mm)", "Size (MM) \u2028", "(mm)", "Size (mm) x", "Size (mm", " <Dia (in)> ", "title", "Title\n", "titles", "cost", " _cost", "", None, "a)", "Price (usd)"]
     assert evaluate(t.canonical, names) == ["size", "size", "", "size (mm) x", "size (mm", "dia", "name", "name", "titles", "price", "price", "", None, "a)", "price (usd)"]
+
+
+def test_values_are_looked_up_once_in_a_list_that_templates_share(spark):
+    fields = queries_core.index(spark).fields.filter("type = 'dropdown'")
+    lists = queries_core._vocabularies(spark)
+    owners = lists.select(F.explode("owners").alias("o")).select("o.*")
+    assert lists.count() == lists.select("canon", "vocabulary").distinct().count() < fields.count()
+    assert sorted(map(tuple, owners.collect())) == sorted(map(tuple, fields.select("template_id", "name").collect()))

@@ -98,3 +98,21 @@ def test_values_are_looked_up_once_in_a_list_that_templates_share(spark):
     owners = lists.select(F.explode("owners").alias("o")).select("o.*")
     assert lists.count() == lists.select("canon", "vocabulary").distinct().count() < fields.count()
     assert sorted(map(tuple, owners.collect())) == sorted(map(tuple, fields.select("template_id", "name").collect()))
+
+
+def test_regular_pages_are_walked_without_the_parser_and_others_alike(monkeypatch):
+    from claimloom.operators import image_walk as walk
+
+    def parsed(html):
+        parser = walk._ImageWalk()
+        parser.feed(html)
+        return parser.images
+
+    regular = [
+        "", "text", '<div class="product"><p>a<br><img src="a.jpg"></p><img data-src=\'b.jpg\' width="5"/></div><img src="c.jpg">', '<!DOCTYPE html><!-- <img> --><IMG SRC="d" src="e">',
+        '<script>var t="<td></td><img src=no>";</script><title>t</title><UL ID=gallery><li><img src="f" alt="a > b"><li></ul></b><img src="g">', '<div class="a"><span/></p></div><img>']
+    odd = [
+        '<div class="a&amp;b"><img src="a">', '<img src="a"class="b"><img src=b/>', "<div><img src='a", "a < b <img src=c>", "<!--><img src=d>-->", "<script><!-- <img src=e> </script>",
+        "<textarea><img src=f></textarea>", "<script>x", "</div x><img src=g>", "<div class = product><img src=h>", '<title>a <b class="p"><img src=i></title>', "<br class='x'></></ p><img src=j>"]
+    assert all(walk._regular_images(h) == parsed(h) for h in regular)
+    assert all(walk._regular_images(h) is None and walk._images(h) == parsed(h) for h in odd)

@@ -116,3 +116,19 @@ def test_regular_pages_are_walked_without_the_parser_and_others_alike(monkeypatc
         "<textarea><img src=f></textarea>", "<script>x", "</div x><img src=g>", "<div class = product><img src=h>", '<title>a <b class="p"><img src=i></title>', "<br class='x'></></ p><img src=j>"]
     assert all(walk._regular_images(h) == parsed(h) for h in regular)
     assert all(walk._regular_images(h) is None and walk._images(h) == parsed(h) for h in odd)
+
+
+def test_values_of_product_markup_are_taken_out_once(spark):
+    markup = spark.createDataFrame([('{"@type":"Product","sku":1.50}',)], "j string").select(F.parse_json("j").alias("v"))
+    looks = lambda c, path: markup.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count(path)
+    v = F.col("v")
+    assert looks(pages._scalar(v, "$.sku"), "$.sku") == looks(pages._string(v, "$.name"), "$.name") == 1
+    assert looks(pages._nodes(v, 0), "@graph") == 1
+
+
+def test_broken_markup_without_a_product_is_not_parsed_and_escapes_are_known(spark):
+    script = '<script type="application/ld+json">%s</script>'
+    page = spark.createDataFrame([(script % "{broken" + script % '{"@type":"Pro\\u0064uct","name":"a"}',)], "html string")
+    parsed = pages._parsed_markup(F.col("html"), pages._may_state_product)
+    row = page.select(F.size(parsed).alias("n"), pages.product_struct(F.col("html"))["name"].alias("name")).first()
+    assert (row["n"], row["name"]) == (1, "a")
